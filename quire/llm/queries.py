@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import table
+from quire.llm.langid import languages
 from quire.llm.minhash import near_duplicates
+from quire.llm.quality import classify
 
 
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_output_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_attention_quality": op5_attention_quality,
+    "op8_output_code_language": op8_output_code_language,
     "op7_circulant_minhash": op7_circulant_minhash,
 }
 
