@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import table
+from quire.llm.fingerprint import fingerprints
 from quire.llm.langid import languages
 from quire.llm.minhash import near_duplicates
 from quire.llm.quality import classify
 
 
+def op6_bottom_k_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -27,6 +32,7 @@ def op8_output_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_attention_quality": op5_attention_quality,
     "op8_output_code_language": op8_output_code_language,
+    "op6_bottom_k_fingerprint": op6_bottom_k_fingerprint,
     "op7_circulant_minhash": op7_circulant_minhash,
 }
 
