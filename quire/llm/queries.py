@@ -10,6 +10,7 @@ from quire.llm.common import table
 from quire.llm.fingerprint import fingerprints
 from quire.llm.langid import languages
 from quire.llm.minhash import near_duplicates
+from quire.llm.pii import find_private
 from quire.llm.quality import classify
 
 
@@ -29,11 +30,16 @@ def op8_output_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_attention_quality": op5_attention_quality,
     "op8_output_code_language": op8_output_code_language,
     "op6_bottom_k_fingerprint": op6_bottom_k_fingerprint,
     "op7_circulant_minhash": op7_circulant_minhash,
+    "op10_weak_supervision_pii": op10_weak_supervision_pii,
 }
 
 ORACLES: dict[str, str] = {}
