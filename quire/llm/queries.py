@@ -12,6 +12,7 @@ from quire.llm.langid import languages
 from quire.llm.minhash import near_duplicates
 from quire.llm.pii import find_private
 from quire.llm.quality import classify
+from quire.llm.warc import archive_round_trip
 
 
 def op6_bottom_k_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +40,7 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_chunks": op1_warc_chunks,
     "op5_attention_quality": op5_attention_quality,
     "op8_output_code_language": op8_output_code_language,
     "op6_bottom_k_fingerprint": op6_bottom_k_fingerprint,
@@ -42,4 +48,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_weak_supervision_pii": op10_weak_supervision_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_chunks": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        k as (select page_id, h, strlen(h) as n, sha1(h) as x from p),
+        g as (select x, n, max(page_id) as top from k where page_id is not null group by x, n),
+        a as (select range as i, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', range + 1, 1) as c from range(32)),
+        d as (select x, string_agg(c, '' order by j) as digest
+              from (select x, j, (('0x' || substr(x, 5 * (j // 4) + 1, 5))::bigint >> (15 - 5 * (j % 4))) & 31 as i
+                    from (select distinct x from k), (select range as j from range(32))) join a using (i)
+              group by x)
+        select k.page_id, k.n::bigint as payload_bytes, d.digest as payload_digest,
+               case when k.page_id < g.top then 'revisit' else 'response' end as record_type,
+               case when k.page_id < g.top then g.top end as refers_to,
+               greatest(1, case when k.page_id < g.top then 1 else ceil(k.n / 65536.0) end)::int as n_chunks
+        from k join d using (x) left join g on g.x = k.x and g.n = k.n
+    """,
+}
