@@ -12,6 +12,7 @@ from quire.llm.langid import languages
 from quire.llm.minhash import near_duplicates
 from quire.llm.pii import find_private
 from quire.llm.quality import classify
+from quire.llm.suffixdedup import remove_repeats
 from quire.llm.warc import archive_round_trip
 
 
@@ -35,6 +36,10 @@ def op8_output_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op9_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_output_code_language": op8_output_code_language,
     "op6_bottom_k_fingerprint": op6_bottom_k_fingerprint,
     "op7_circulant_minhash": op7_circulant_minhash,
+    "op9_deep_shallow_suffixes": op9_deep_shallow_suffixes,
     "op10_weak_supervision_pii": op10_weak_supervision_pii,
 }
 
