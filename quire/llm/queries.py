@@ -10,6 +10,7 @@ from quire.llm.common import table
 from quire.llm.fingerprint import fingerprints
 from quire.llm.langid import languages
 from quire.llm.minhash import near_duplicates
+from quire.llm.pieces import round_trip
 from quire.llm.pii import find_private
 from quire.llm.quality import classify
 from quire.llm.suffixdedup import remove_repeats
@@ -28,6 +29,17 @@ def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the box keeps the files of public tokenizers; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +58,7 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": op1_warc_chunks,
+    "op3_unigram_pieces": op3_unigram_pieces,
     "op5_attention_quality": op5_attention_quality,
     "op8_output_code_language": op8_output_code_language,
     "op6_bottom_k_fingerprint": op6_bottom_k_fingerprint,
