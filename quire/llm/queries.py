@@ -13,6 +13,7 @@ from quire.llm.minhash import near_duplicates
 from quire.llm.pieces import round_trip
 from quire.llm.pii import find_private
 from quire.llm.quality import classify
+from quire.llm.rangecoder import token_round_trip
 from quire.llm.suffixdedup import remove_repeats
 from quire.llm.warc import archive_round_trip
 
@@ -40,6 +41,10 @@ def op3_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=2)
+
+
 def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": op1_warc_chunks,
     "op3_unigram_pieces": op3_unigram_pieces,
+    "op4_range_coded_tokens": op4_range_coded_tokens,
     "op5_attention_quality": op5_attention_quality,
     "op8_output_code_language": op8_output_code_language,
     "op6_bottom_k_fingerprint": op6_bottom_k_fingerprint,
