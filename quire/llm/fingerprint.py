@@ -97,9 +97,11 @@ def fingerprints(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame:
     marked = plain.withColumn("n_chars", F.length("text").cast("bigint"))
     ids = marked.where("id is not null").groupBy("id").agg(F.max("n_chars").alias("n_chars"))
     order = neighbours(ids)
-    held = plain.withColumn("own", sketch(F.col("text"), k, size)).repartition("id")
-    lend = held.join(order.select("id", F.col("prev_id").alias("to"), (F.col("prev_chars") / 3).cast("bigint").alias("take")), "id")
-    lend = lend.select("to", F.expr("substring(text, 1, cast(take as int))").alias("head"), F.col("own").alias("next_own"), F.col("id").alias("from"), F.length("text").alias("whole"))
+    # Both sides below read the same rows dealt by id, so whole texts are shuffled once. A left join and a coalesced key
+    # keep either side from filtering nulls before the exchange, which would make two exchanges of it.
+    held = plain.withColumn("own", sketch(F.col("text"), k, size))
+    lend = held.join(order.select("id", F.col("prev_id").alias("to"), (F.col("prev_chars") / 3).cast("bigint").alias("take")), "id", "left")
+    lend = lend.select(F.coalesce("to", "id").alias("to"), F.expr("substring(text, 1, cast(coalesce(take, 0) as int))").alias("head"), F.col("own").alias("next_own"))
     lend = lend.groupBy("to").agg(F.min(F.struct("head", "next_own")).alias("got")).select("to", "got.*")
     both = held.join(lend, held["id"] == lend["to"], "left").select("id", "text", "own", F.coalesce("head", F.col("text")).alias("head"), F.coalesce("next_own", F.col("own")).alias("next_own"))
     both = both.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("third", (F.col("n_chars") / 3).cast("int"))

@@ -217,3 +217,9 @@ def links_within(sizes: np.ndarray, values: np.ndarray, comps: np.ndarray, sides
                 parent[max(a, b)] = min(a, b)
                 out.append((x, int(y)))
     return out
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group left, that of the least doc_id; its own columns."""
+    gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")

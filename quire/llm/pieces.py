@@ -349,3 +349,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     done = decode(encode(plain, path).withColumn("n_tokens", F.size("ids").cast("bigint")), path)
     return done.select("doc_id", "n_tokens", "ids_crc32", F.octet_length("decoded").cast("bigint").alias("n_bytes"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def encoded_corpus(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, ids_crc32, decoded_sha256) for every row of docs; the digest is of what the ids decode to."""
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    done = decode(encode(plain, path).withColumn("kept", F.col("ids")), path)
+    return done.select("doc_id", F.col("kept").alias("ids"), F.size("kept").cast("bigint").alias("n_tokens"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))

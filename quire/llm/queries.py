@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import table
+from quire.llm.decontam import contaminated
 from quire.llm.fingerprint import fingerprints
 from quire.llm.langid import languages
 from quire.llm.minhash import near_duplicates
@@ -30,6 +31,10 @@ def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the box keeps the files of public tokenizers; operators take the path as a parameter."""
     import public_tokenizers
@@ -63,6 +68,7 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": op1_warc_chunks,
+    "op2_simhash_decontamination": op2_simhash_decontamination,
     "op3_unigram_pieces": op3_unigram_pieces,
     "op4_range_coded_tokens": op4_range_coded_tokens,
     "op5_attention_quality": op5_attention_quality,
