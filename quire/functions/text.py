@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Presentation forms and what they stand for, characters that only steer line breaking, odd spaces.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij"}
@@ -20,7 +21,7 @@ STRUCTURAL = r"(?i)^(book|volume|part|chapter|canto|act|section)\s+([0-9]+|[ivxl
 NUMERAL_LINE = r"^[\s.\-–—\[\]()]*([0-9]{1,4}|[ivxlcdm]{1,7}|[IVXLCDM]{1,7})[\s.\-–—\[\]()]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 

@@ -90,7 +90,7 @@ def merge_updates(table: DataFrame, updates: DataFrame) -> DataFrame:
 
     table and updates: (id, status, progress, error, summary map<string,string>, updated_at). Progress is held in 0..99.
     """
-    bounded = updates.withColumn("progress", F.greatest(F.lit(0), F.least(F.lit(99), F.col("progress"))))
+    bounded = updates.withColumn("progress", F.when(F.col("progress").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(99), F.col("progress")))))
     rows = table.unionByName(bounded)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("updated_at"))).alias(c)
     pairs = rows.select("id", "updated_at", F.explode(F.coalesce("summary", F.create_map().cast("map<string,string>")))).groupBy("id", "key").agg(F.max_by("value", "updated_at").alias("value"))
