@@ -31,7 +31,7 @@ from quire.llm.words import column_bytes
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-CACHE = 200_000
+CACHE = 400_000
 #: Characters of a text that are parted at a time, and bytes of a stretch that goes through the vectorised search.
 SLICE, LANE = 1 << 20, 64
 #: What a character outside all pieces costs, below the least score.
@@ -251,21 +251,33 @@ class PieceModel:
             at = end
 
     def encode(self, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        out = []
-        for text in texts:
-            parts = []
-            for found in self.stretches(" " + text if text else ""):
-                new = [s for s in set(found) if s not in cache]
-                if len(cache) + len(new) > CACHE:
-                    cache.clear()
-                    new = list(set(found))
-                if new:
-                    for s, ids in zip(new, self.segment_all(new), strict=True):
-                        cache[s] = ids
-                parts.append(b"".join(map(cache.__getitem__, found)))
-            out.append(b"".join(parts))
-        return out
+        """Ids of each text as little-endian 32-bit integers; new stretches of about SLICE characters are segmented together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def settle() -> None:
+            nonlocal size
+            new = set().union(*(found for _, found in held)).difference(cache)
+            if len(cache) + len(new) > CACHE:
+                cache.clear()
+                new = set().union(*(found for _, found in held))
+            fresh = list(new)
+            cache.update(zip(fresh, self.segment_all(fresh), strict=True))
+            for k, found in held:
+                out[k].append(b"".join(map(cache.__getitem__, found)))
+            held.clear()
+            size = 0
+
+        for k, text in enumerate(texts):
+            if text:
+                for found in self.stretches(" " + text):
+                    held.append((k, found))
+                    size += len(found) * 6
+                    if size >= SLICE:
+                        settle()
+        settle()
+        return [b"".join(x) for x in out]
 
     # -- decoding -----------------------------------------------------------------------------------------------
 
@@ -297,18 +309,6 @@ def _encoder(model: PieceModel):
         cache: dict[str, bytes] = {}
         for batch in batches:
             texts = _texts(batch.column(1))
-            # New stretches of the whole batch are segmented together.
-            fresh: set[str] = set()
-            if model.parted:
-                for t in texts:
-                    if t and len(t) <= SLICE:
-                        fresh.update(STRETCH.findall(" " + t))
-                fresh.difference_update(cache.keys())
-                if len(cache) + len(fresh) > CACHE:
-                    cache.clear()
-                if len(fresh) <= CACHE:
-                    new = list(fresh)
-                    cache.update(zip(new, model.segment_all(new), strict=True))
             ids = model.encode([t or "" for t in texts], cache)
             valid = [t is not None for t in texts]
             count = np.array([len(x) // 4 for x in ids], np.int64)
