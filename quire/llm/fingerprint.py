@@ -5,6 +5,8 @@ A sketch is the K least distinct hashes of a text's shingles (SHINGLE words, A-Z
 From two sketches follow estimates of resemblance, containment and distinct shingle count; exact while sets are smaller
 than K. Equal texts have equal fingerprints; two empty sketches resemble each other with 1, an empty and another with 0.
 
+Whole texts are shuffled once, with their sketches; what a text lends its neighbour is shuffled besides.
+
 Nulls: a null text is empty; a null doc_id stays in the result, after all others, its own neighbour.
 """
 
