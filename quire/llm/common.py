@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A worker holds one Arrow batch at a time; long rows make short batches.
 ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+#: Bytes of a group after which its worker's memory is handed back.
+LARGE_GROUP = 1 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -67,5 +69,46 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """mapInArrow in bounded batches, by workers that give their memory back after each task."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def grouped_arrow(fn: Callable) -> Callable:
+    """A function for applyInArrow whose worker gives its memory back after large groups."""
+
+    def one(table):
+        out = fn(table)
+        if table.nbytes > LARGE_GROUP:
+            release_memory()
+        return out
+
+    def two(left, right):
+        out = fn(left, right)
+        if left.nbytes + right.nbytes > LARGE_GROUP:
+            release_memory()
+        return out
+
+    return two if fn.__code__.co_argcount == 2 else one
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system: workers live on, idle, beside those of the next stage."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library; it has its own way

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_arrow, small_batches, written
+from quire.llm.common import grouped_arrow, map_arrow, small_batches, written
 from quire.llm.components import components
 from quire.llm.words import mix, text_rows, shingle_hashes
 
@@ -154,7 +154,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "shingles")
     small_batches(sets.sparkSession)
-    more = dealt.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
+    more = dealt.groupBy("cluster", "i", "j").applyInArrow(grouped_arrow(_block_links(percent)), "a bigint, b bigint")
     return written(links.union(more), "minhash-links")
 
 

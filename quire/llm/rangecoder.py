@@ -33,7 +33,7 @@ from quire.llm.common import fresh_path, map_arrow, written
 from quire.llm.store import new_file, open_range
 from quire.llm.words import column_bytes
 
-BLOCK, SECTION = 8192, 6 << 20
+BLOCK, SECTION = 2048, 6 << 20
 MAGIC = b"QTOK"
 #: Slots of each table of a lane.
 SLOTS = 1024
@@ -41,7 +41,8 @@ TOTAL, DIGITS, RATE = 32768, 16, 4
 #: Least gap of an order-0 distribution's targets, and least weight of order 0 of 65,536.
 FLOOR, SHARE = 48, 4096
 TOP, BOTTOM = np.uint64(1 << 56), np.uint64(1 << 48)
-CACHE = 150_000
+#: Words held, and characters whose new words are tokenized together.
+CACHE, RUN = 400_000, 1 << 20
 
 _targets = np.stack([np.where(np.arange(DIGITS) <= s, np.arange(DIGITS) * FLOOR, TOTAL - (DIGITS - np.arange(DIGITS)) * FLOOR) for s in range(DIGITS)]).astype(np.int16)
 _ONES = np.uint64(0x0101010101010101)
@@ -292,17 +293,24 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Ids and the end id of each text, as little-endian 32-bit integers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*words) - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = set().union(*words)
-        fresh = list(new)
-        for w, e in zip(fresh, self.inner.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        stop = np.array([end], "<u4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, w)) + stop for w in words]
+        """Ids and the end id of each text, as little-endian 32-bit integers; new words of about RUN characters go together."""
+        stop, out, at = np.array([end], "<u4").tobytes(), [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= RUN):
+                size += len(texts[to])
+                to += 1
+            words = [t.replace("\n", " ").split(" ") for t in texts[at:to]]
+            new = set().union(*words).difference(self.cache)
+            if len(self.cache) + len(new) > CACHE:
+                self.cache.clear()
+                new = set().union(*words)
+            fresh = list(new)
+            for w, e in zip(fresh, self.inner.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+            out += [b"".join(map(self.cache.__getitem__, w)) + stop for w in words]
+            at = to
+        return out
 
 
 def _writer(folder: str, path: str, end: int):

@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import grouped_arrow, small_batches
 from quire.llm.words import MASK, column_bytes, mix, powers
 
 LENGTH, ANCHOR = 50, 20
@@ -481,11 +481,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     none = F.lit(None).cast("binary")
     keepers = plain.where("id is not null").groupBy(F.unhex(F.md5("text")).alias("digest"), F.octet_length("text")).agg(F.min("id").alias("id")).select(place("id"), "id", "digest", none.alias("d"), none.alias("s"), none.alias("e"))
     grouped = texts.groupBy("bucket")
-    found = grouped.cogroup(keepers.groupBy("bucket")).applyInArrow(_find_anchors(buckets), BLOB_SCHEMA)
+    found = grouped.cogroup(keepers.groupBy("bucket")).applyInArrow(grouped_arrow(_find_anchors(buckets)), BLOB_SCHEMA)
     # Known ones keep their documents' bucket, the others are dealt by their hash.
-    candidates = found.groupBy("bucket").applyInArrow(_find_candidates(buckets), BLOB_SCHEMA)
+    candidates = found.groupBy("bucket").applyInArrow(grouped_arrow(_find_candidates(buckets)), BLOB_SCHEMA)
     named = keepers.union(candidates.select("bucket", F.lit(None).cast("bigint"), none, "d", F.col("p"), none))
-    contexts = grouped.cogroup(named.groupBy("bucket")).applyInArrow(_cut_contexts(buckets), BLOB_SCHEMA)
-    ranges = contexts.groupBy("bucket").applyInArrow(_settle(buckets), SIDE_SCHEMA)
-    out = grouped.cogroup(keepers.union(ranges).groupBy("bucket")).applyInArrow(_remove(with_text), RESULT)
+    contexts = grouped.cogroup(named.groupBy("bucket")).applyInArrow(grouped_arrow(_cut_contexts(buckets)), BLOB_SCHEMA)
+    ranges = contexts.groupBy("bucket").applyInArrow(grouped_arrow(_settle(buckets)), SIDE_SCHEMA)
+    out = grouped.cogroup(keepers.union(ranges).groupBy("bucket")).applyInArrow(grouped_arrow(_remove(with_text)), RESULT)
     return out if with_text else out.drop("kept")
