@@ -62,17 +62,17 @@ class BlockIndex:
             own = ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
             keys = (own[:, None] ^ masks[None, :]).reshape(-1)
             order = np.argsort(keys, kind="stable")
-            start = np.searchsorted(keys[order], np.arange((1 << width) + 1))
-            self.lists.append((start.astype(np.int64), (order // len(masks)).astype(np.int32)))
+            self.lists.append((keys[order].astype(np.uint32), (order // len(masks)).astype(np.int32)))
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) pairs within the radius, each once."""
         found = []
-        for b, (start, items) in enumerate(self.lists):
-            key = ((queries >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-            size = start[key + 1] - start[key]
+        for b, (keys, items) in enumerate(self.lists):
+            key = ((queries >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
+            start = np.searchsorted(keys, key, "left")
+            size = np.searchsorted(keys, key, "right") - start
             q = np.repeat(np.arange(len(queries)), size)
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[key], size)
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
             i = items[at]
             near = np.bitwise_count(queries[q] ^ self.prints[i]) <= self.radius
             found.append(q[near] * np.int64(len(self.prints)) + i[near])
@@ -85,7 +85,7 @@ class Benchmark:
 
     def __init__(self, ids: list, texts: list[str | None], size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS):
         self.size, self.similarity = size, similarity
-        self.lengths: dict[int, tuple[list, list[dict[int, int]], BlockIndex]] = {}
+        self.lengths: dict[int, tuple[list, list[dict[int, int]], np.ndarray]] = {}
         by_length: dict[int, list] = {}
         every = []
         for (_, words), item in zip(text_rows(pa.array(texts, pa.string())), ids, strict=True):
@@ -100,7 +100,15 @@ class Benchmark:
             for _, s in items:
                 v, c = np.unique(s, return_counts=True)
                 weights.append(dict(zip(v.tolist(), c.tolist(), strict=True)))
-            self.lengths[n] = ([i for i, _ in items], weights, BlockIndex(prints, radius=radius))
+            self.lengths[n] = ([i for i, _ in items], weights, prints)
+        self.radius = radius
+        self._indexes: dict[int, BlockIndex] = {}
+
+    def index(self, length: int) -> BlockIndex:
+        """The index of the items of one length; each worker makes its own, so that only fingerprints travel."""
+        if length not in self._indexes:
+            self._indexes[length] = BlockIndex(self.lengths[length][2], radius=self.radius)
+        return self._indexes[length]
 
     def matches(self, words: np.ndarray) -> list[tuple]:
         """(item id, first word, words, similarity) of each item's best window in a text."""
@@ -118,7 +126,7 @@ class Benchmark:
                 continue
             count = np.concatenate([[0], np.cumsum(shared)])
             signs = None
-            for length, (ids, weights, index) in self.lengths.items():
+            for length, (ids, weights, _) in self.lengths.items():
                 if length > n or (size == self.size) != (length >= self.size) or (length < self.size and length != size):
                     continue
                 held = length - size + 1
@@ -131,7 +139,7 @@ class Benchmark:
                     signs = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bit_signs(shingles), axis=0, dtype=np.int32)])
                 for lo in range(0, len(start), WINDOWS):
                     here = start[lo : lo + WINDOWS]
-                    q, item = index.search(pack(signs[here + held] - signs[here]))
+                    q, item = self.index(length).search(pack(signs[here + held] - signs[here]))
                     for k, i in zip(here[q].tolist(), item.tolist(), strict=True):
                         like = _weighted(shingles[k : k + held], weights[i], held)
                         if like >= self.similarity and like > best.get(ids[i], (0, 0, -1.0))[2]:

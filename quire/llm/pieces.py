@@ -17,6 +17,7 @@ Nulls: null ids and null text; the query counts a null text as empty. Empty text
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,9 +32,9 @@ from quire.llm.words import column_bytes
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-CACHE = 400_000
+CACHE = 200_000
 #: Characters of a text that are parted at a time, and bytes of a stretch that goes through the vectorised search.
-SLICE, LANE = 1 << 20, 64
+SLICE, LANE = 1 << 19, 64
 #: What a character outside all pieces costs, below the least score.
 PENALTY = 10.0
 STRETCH = re.compile(r" *[^ \n]+|\n| +")
@@ -344,15 +345,29 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_arrow(encoded, _decoder(PieceModel(path)), schema)
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, n_bytes, decoded_sha256) for every row of docs, the last two of the decoded text."""
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    done = decode(encode(plain, path).withColumn("n_tokens", F.size("ids").cast("bigint")), path)
-    return done.select("doc_id", "n_tokens", "ids_crc32", F.octet_length("decoded").cast("bigint").alias("n_bytes"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def _coder(model: PieceModel):
+    """Encode, decode what came out, and say what that is; one worker for both."""
+    encoder = _encoder(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in encoder(batches):
+            sizes, digests = [], []
+            for ids in batch.column(1):
+                text = model.decode(ids.values.to_numpy().tolist()) if ids.is_valid else b""
+                sizes.append(len(text))
+                digests.append(hashlib.sha256(text).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], [*batch.schema.names, "n_bytes", "decoded_sha256"])
+
+    return run
 
 
 def encoded_corpus(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_crc32, decoded_sha256) for every row of docs; the digest is of what the ids decode to."""
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    done = decode(encode(plain, path).withColumn("kept", F.col("ids")), path)
-    return done.select("doc_id", F.col("kept").alias("ids"), F.size("kept").cast("bigint").alias("n_tokens"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, ids, n_tokens, ids_crc32, n_bytes, decoded_sha256) for every row of docs, the last two of what the ids decode to."""
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    done = map_arrow(plain, _coder(PieceModel(path)), "key bigint, ids array<int>, ids_crc32 bigint, n_bytes bigint, decoded_sha256 string")
+    return done.select(F.col("key").alias("doc_id"), "ids", F.size("ids").cast("bigint").alias("n_tokens"), "ids_crc32", "n_bytes", "decoded_sha256")
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """The same without the ids."""
+    return encoded_corpus(docs, path).drop("ids")

@@ -72,6 +72,9 @@ def test_rows_of_every_kind_come_back(spark):
     want = sorted((str(i), len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows)
     assert sorted((str(r.doc_id), r.n_bytes, r.decoded_sha256) for r in got) == want
     assert pieces.round_trip(corpus.empty(spark), tokenizer_path("piece_bpe_32k.model")).count() == 0
+    path = tokenizer_path("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(corpus.frame(spark), path), path).collect()
+    assert sorted((str(r.doc_id), r.decoded and bytes(r.decoded)) for r in back if r.decoded) == sorted((str(i), t.encode()) for i, t, *_ in rows if t)
     nulls = pieces.encode(corpus.frame(spark), tokenizer_path("piece_bpe_32k.model")).where("ids is null").count()
     assert nulls == sum(t is None for _, t, *_ in rows)
 
