@@ -40,4 +40,5 @@ def upper_median(values: Column) -> Column:
 def first_mode(df: DataFrame, by: list[str], value: str, order: str, step: float, name: str) -> DataFrame:
     """Per group the bin floor(value / step + 0.5) * step that occurs most; of equals the one seen first by `order`."""
     binned = df.withColumn("__bin", half_up(F.col(value) / step) * F.lit(step)).groupBy(*by, "__bin").agg(F.count("*").alias("__n"), F.min(order).alias("__first"))
-    return binned.groupBy(*by).agg(F.max_by("__bin", F.struct("__n", -F.col("__first"))).alias(name))
+    # The least of (fewer than the most, first seen) is the bin sought.
+    return binned.groupBy(*by).agg(F.min_by("__bin", F.struct(-F.col("__n"), "__first")).alias(name))
