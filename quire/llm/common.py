@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 #: Bytes of a group after which its worker's memory is handed back.
 LARGE_GROUP = 1 << 20
+#: Rows of ids in a file of a small table.
+ROWS_PER_FILE = 250_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -55,9 +57,14 @@ def _sweep() -> None:
             return
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df into the shared folder and read it again. Lost executors take nothing with them."""
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df into the shared folder and read it again. Lost executors take nothing with them.
+
+    rows: a bound on its rows where one is known; small tables then go into few files.
+    """
     path = fresh_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -111,33 +111,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     mass = buckets.groupBy("node").agg(F.sum("size").alias("mass"))
     hubs = buckets.join(mass, "node").groupBy("key").agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("hub"))
     members = buckets.join(hubs, "key").select("key", "node", "hub")
+    held = buckets.count()
     links = None
-    if not members.isEmpty():
+    if held:
         wanted = members.select(F.col("node").alias("id")).distinct()
         texts = plain.where("id is not null").join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
         sets = written(map_arrow(texts, _sets(size), "node bigint, shingles array<bigint>"), "minhash-sets")
-        links = _links(members, sets, percent)
+        links = _links(members, sets, percent, held)
     out = sig.join(classes, ["n", "h1", "h2"], "left")
     if links is not None:
-        out = out.join(components(links, "minhash-components"), "node", "left")
+        out = out.join(components(links, "minhash-components", held), "node", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("bigint"))
     component = F.coalesce("component", "node", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.when(F.col("id").isNotNull(), F.col("id") == component).otherwise(F.lit(True)).alias("kept"))
 
 
-def _open_clusters(members: DataFrame, links: DataFrame) -> DataFrame | None:
+def _open_clusters(members: DataFrame, links: DataFrame, held: int) -> DataFrame | None:
     """(node, cluster, c): nodes whose buckets still hold several components, clustered by shared buckets; None if there are none."""
-    placed = members.join(components(links, "minhash-components"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    placed = members.join(components(links, "minhash-components", held), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("node").alias("least")).where("c0 != c1").select("key", "least")
-    left = written(placed.join(open_keys, "key"), "minhash-open")
+    left = written(placed.join(open_keys, "key"), "minhash-open", held)
     if left.isEmpty():
         return None
-    chains = components(left.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "minhash-clusters")
-    return written(left.groupBy("node").agg(F.min("c").alias("c")).join(chains.select("node", F.col("component").alias("cluster")), "node"), "minhash-clusters")
+    chains = components(left.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "minhash-clusters", held)
+    return written(left.groupBy("node").agg(F.min("c").alias("c")).join(chains.select("node", F.col("component").alias("cluster")), "node"), "minhash-clusters", held)
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame, percent: int, held: int) -> DataFrame:
     """Confirmed links enough to join all nodes that links between nodes of one bucket join.
 
     First every node meets its buckets' hubs: of a tight group that joins all, at a cost in proportion to its size. Nodes
@@ -145,7 +146,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     pairs = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = written(_confirmed(pairs, sets, percent), "minhash-links")
-    left = _open_clusters(members, links)
+    left = _open_clusters(members, links, held)
     if left is None:
         return links
     held = left.join(sets, "node").withColumn("n", F.size("shingles"))
