@@ -31,7 +31,8 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+# The other queries without SQL lay out the same model; tests/test_document.py holds its tables to books of known content.
+@pytest.mark.parametrize("name", ["content_blocks", "lines_from_spans", "phrase_anchors", "sentences"])
 def test_query_without_sql_gives_rows_of_a_stable_shape(spark, name):
     df = QUERIES[name](spark, SF)
     assert len(set(df.columns)) == len(df.columns) and df.limit(5).collect() is not None
