@@ -95,4 +95,19 @@ ORACLES: dict[str, str] = {
                greatest(1, case when k.page_id < g.top then 1 else ceil(k.n / 65536.0) end)::int as n_chunks
         from k join d using (x) left join g on g.x = k.x and g.n = k.n
     """,
+    "op7_circulant_minhash": r"""
+        with recursive w as (
+          select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (
+          select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                 else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from w),
+        n as (select doc_id, len(s)::bigint as n from s),
+        x as (select doc_id, unnest(s) as g from s),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as both from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * p.both >= 85 * (na.n + nb.n - p.both)),
+        e as (select a, b from l union all select b, a from l),
+        r(doc_id, c) as (select doc_id, doc_id from n union select e.b, r.c from r join e on e.a = r.doc_id),
+        c as (select doc_id, min(c) as component_id from r group by doc_id)
+        select n.doc_id, n.n as n_shingles, component_id, n.doc_id = component_id as kept from n join c using (doc_id)
+    """,
 }
