@@ -7,6 +7,7 @@ them, furniture left out.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import regex as re
@@ -348,6 +349,52 @@ def embedded(blocks: list[dict], sections: list[dict], profile: Profile) -> None
         mark(k, end, kind, kind)
 
 
+WORD = "[A-Za-zÀ-ɏ]"
+FUSED, HALF, SEEN = (11, 28), 3, 4
+
+
+def repair_words(blocks: list[dict], lines: list[dict]) -> list[tuple[str, str]]:
+    """Part words that ran together and join words that a kept hyphen left in halves; what was changed, and into what.
+
+    The document's own lines are the evidence: a long word seen once at most is parted where its halves stand side by
+    side most often, four times at least; halves are joined if the whole word is printed and the two never are, neither
+    side by side nor as a compound.
+    """
+    words: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str]] = Counter()
+    for line in lines:
+        seq = re.findall("[a-zÀ-ɏ']+", line["text"].lower())
+        words.update(w for w in seq if len(w) >= 2)
+        pairs.update(zip(seq, seq[1:], strict=False))
+    compounds, done = compounds_of(lines), []
+
+    def part(m) -> str:
+        w = m[0].lower()
+        if not FUSED[0] <= len(w) <= FUSED[1] or words[w] > 1:
+            return m[0]
+        seen = [(pairs[w[:k], w[k:]], -k) for k in range(HALF, len(w) - HALF + 1)]
+        n, k = max(seen)
+        if n < SEEN:
+            return m[0]
+        done.append((m[0], f"{m[0][:-k]} {m[0][-k:]}"))
+        return done[-1][1]
+
+    def join(m) -> str:
+        a, b = m[1].lower(), m[2].lower()
+        if not words[a + b] or pairs[a, b] or f"{a}-{b}" in compounds:
+            return m[0]
+        done.append((m[0], m[1] + m[2]))
+        return done[-1][1]
+
+    for block in blocks:
+        before = len(done)
+        for r in block["runs"]:
+            r["t"] = re.sub(f"{WORD}{{7,}}", part, re.sub(f"({WORD}{{2,}})[-‐] +([a-zÀ-ɏ]{{2,}})", join, r["t"]))
+        if len(done) > before:
+            block["text"] = " ".join("".join(r["t"] for r in block["runs"]).split())
+    return done
+
+
 def assemble(lines: list[dict], outline: list[dict] | None = None, title: str = "Document", allowed=lambda line: True, profile: Profile | None = None) -> tuple[list[dict], list[dict], Profile]:
     """(blocks, sections, profile) of one document's lines in reading order.
 
@@ -369,6 +416,7 @@ def assemble(lines: list[dict], outline: list[dict] | None = None, title: str =
         a.page(pages[page], opened, allowed)
     while a.stack:
         a.leave()
+    repair_words(a.blocks, lines)
     embedded(a.blocks, a.sections, profile)
     for s in a.sections:
         s.pop("spine")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quire.functions.spans import inline_pieces
 from quire.functions.stats import first_mode
 from quire.operators import layout
 from quire.operators.content import Profile, assemble
@@ -144,6 +145,29 @@ def table_of(model: DataFrame, name: str) -> DataFrame:
     return model.select("doc_id", F.explode(name).alias("x")).select("doc_id", "x.*")
 
 
+PIECES = "doc_id string, block_id string, n int, start int, end int, kind string, ref string, text string"
+
+
+def inline_view(model: DataFrame) -> DataFrame:
+    """(doc_id, block_id, n, start, end, kind, ref, text): every block cut where its format or its references change."""
+
+    schema = to_arrow_schema(StructType.fromDDL(PIECES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc in batch.to_pylist():
+                refs: dict[str, list[dict]] = {}
+                for r in doc["refs"]:
+                    refs.setdefault(r["from"], []).append({"id": r["ref_id"], "start": r["start"], "end": r["end"], "link": r["provenance"] == "explicit-link"})
+                for b in doc["blocks"]:
+                    pieces = inline_pieces(b["text"], b["runs"], refs.get(b["block_id"], []))
+                    rows += [{"doc_id": doc["doc_id"], "block_id": b["block_id"], "n": k, **p} for k, p in enumerate(pieces)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return model.select("doc_id", "blocks", "refs").mapInArrow(run, PIECES)
+
+
 def reference_index(model: DataFrame, prose: list[str] | None = None) -> DataFrame:
     """Each reference with its source's page, section and sentence, its system's label and all of its destination's text."""
     from quire.operators.graph import continuation

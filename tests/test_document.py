@@ -2,12 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import graph, layout, report
-from quire.operators.content import heading_of, joiner
+from quire.operators.content import heading_of, joiner, repair_words
 from quire.operators.lines import build_lines, page_lines
 from quire.operators.references import Document, recognition, reconcile
 from quire.operators.systems import apparatus, census, longest_count, match_entry, opening_lemma, page_notes, Tree
 from quire.operators.verse import chains, detect_verse, smooth
-from quire.plans.document import analyse, analyse_documents, body_profile, reference_index, table_of
+from quire.plans.document import analyse, analyse_documents, body_profile, inline_view, reference_index, table_of
 from tests import books
 
 
@@ -42,6 +42,13 @@ def test_headings_and_joiners():
     assert [joiner("a well-", "known man", {"well-known"}), joiner("the hyphen-", "ated", set()), joiner("it was t", "oo late", set()), joiner("it is", "of use", set()), joiner("End.", "Next", set())] == ["-", "", "", " ", " "]
 
 
+def test_words_are_mended_on_the_documents_own_evidence():
+    lines = [{"text": t} for t in ["the great window", "a great window", "great window", "great window", "his knowledge grew", "everyday nobleman", "a well-known man"]]
+    blocks = [block(0, "The greatwindow of know- ledge, everyday, well- known.")]
+    assert repair_words(blocks, lines) == [("know- ledge", "knowledge"), ("greatwindow", "great window")]
+    assert blocks[0]["text"] == "The great window of knowledge, everyday, well- known."
+
+
 def test_noted_book():
     m = analyse(document(books.noted_book()))
     assert [s["label"] for s in m["sections"]] == ["A Book", "Chapter 1", "Chapter 2", "Notes"]
@@ -220,6 +227,10 @@ def test_documents_side_by_side(spark):
     assert {r.doc_id: r.readiness for r in report.readiness(m).collect()}["noted"] == "ready"
     tones = report.worst_tone(report.remarks(table_of(model, "blocks"), table_of(model, "refs"))).where("doc_id = 'noted'").collect()
     assert {t.tone for t in tones} <= {"ok", "warn", "bad"} and any(t.tone == "ok" for t in tones)
+    pieces = inline_view(model).where("doc_id = 'noted'").orderBy("block_id", "n").collect()
+    for b in got["noted"].blocks:
+        assert "".join(p.text for p in pieces if p.block_id == b.block_id) == b.text
+    assert sum(p.kind == "reference-marker" for p in pieces) == len(got["noted"].refs)
     hits = graph.search(table_of(model, "blocks"), "this note explains the STONE").collect()
     assert len(hits) == 1 and "explains" in hits[0].snippet
 
