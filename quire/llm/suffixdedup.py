@@ -23,6 +23,7 @@ are no source for one another. Texts are handled as bytes, whole, and never join
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -282,13 +283,18 @@ def _sides(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["bucket", "id", "digest", "d", "s", "e"])
 
 
+def _pack(column: np.ndarray) -> bytes:
+    """A column's bytes, deflated but for hashes, which do not get smaller."""
+    return column.tobytes() if column.dtype == np.uint64 else zlib.compress(column.tobytes(), 1)
+
+
 def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(bucket, bytes of each column's rows of that bucket), rows in their order."""
+    """(bucket, packed rows of each column of that bucket), rows in their order."""
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]])) if len(bucket) else [0]
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         take = order[lo:hi]
-        yield (int(bucket[take[0]]), *[c[take].tobytes() for c in columns])
+        yield (int(bucket[take[0]]), *[_pack(c[take]) for c in columns])
 
 
 def _find_anchors(buckets: int):
@@ -321,7 +327,8 @@ def _find_anchors(buckets: int):
 
 
 def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), kind)
+    parts = [x for x in table.column(name).to_pylist() if x]
+    return np.frombuffer(b"".join(parts if kind is np.uint64 else map(zlib.decompress, parts)), kind)
 
 
 def _find_candidates(buckets: int):
@@ -329,7 +336,7 @@ def _find_candidates(buckets: int):
         out = []
         known = table.filter(table.column("known"))
         if known.num_rows:
-            out.append((table.column("bucket")[0].as_py(), True, None, _joined(known, "d", np.int64).tobytes(), _joined(known, "p", np.int64).tobytes(), None, None))
+            out.append((table.column("bucket")[0].as_py(), True, None, _pack(_joined(known, "d", np.int64)), _pack(_joined(known, "p", np.int64)), None, None))
         other = table.filter(pa.compute.invert(table.column("known")))
         h, d, p = _joined(other, "h", np.uint64), _joined(other, "d", np.int64), _joined(other, "p", np.int64)
         order = np.lexsort((d, h))
@@ -414,7 +421,7 @@ def _settle(buckets: int):
         out = []
         known = table.filter(table.column("known"))
         if known.num_rows:
-            out += [(table.column("bucket")[0].as_py(), None, None, *(_joined(known, c, np.int64).tobytes() for c in ("d", "p", "l")))]
+            out += [(table.column("bucket")[0].as_py(), None, None, *(_pack(_joined(known, c, np.int64)) for c in ("d", "p", "l")))]
         other = table.filter(pa.compute.invert(table.column("known")))
         h, d, p = _joined(other, "h", np.uint64), _joined(other, "d", np.int64), _joined(other, "p", np.int64)
         left, right = (_joined(other, c, np.uint8).reshape(-1, SIDE + 1) for c in ("l", "r"))
