@@ -201,19 +201,40 @@ O["section_ancestors"] = """with recursive t as (select 'root' as section_id, nu
     select section_id, ancestor, distance::bigint as distance from up"""
 
 
-def _edges(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey <= 2000")
+def _links(li):
     return li.select((F.col("l_orderkey") % 7).alias("doc_id"), F.concat(F.lit("b"), "l_orderkey").alias("from"), F.when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("b"), (F.col("l_orderkey") + F.col("l_linenumber") * 7).cast("string"))).alias("to"), F.concat_ws("-", F.lit("r"), "l_orderkey", "l_linenumber").alias("ref_id"), F.col("l_returnflag").alias("type"))
 
 
+def _edges(spark, sf):
+    """The first orders' edges only, as the SQL of adjacency and counts_by_type has them; their _all forms cover the table."""
+    return _links(table(spark, sf, "lineitem").where("l_orderkey <= 2000"))
+
+
+def _adjacency(edges):
+    return graph.adjacency(edges).select("doc_id", "block_id", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"))
+
+
+def _counts_by_type(edges):
+    types = edges.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("type", F.lit(1))))).alias("m")).select("doc_id", F.array_join(F.map_keys("m"), ",").alias("types"))
+    return types.join(edges.groupBy("doc_id").agg(F.count("*").alias("refs"), F.count("to").alias("resolved")), "doc_id")
+
+
 _EDGES = """e as (select l_orderkey % 7 as doc_id, 'b' || l_orderkey as src, case when l_linenumber % 4 <> 0 then 'b' || (l_orderkey + l_linenumber * 7) end as dst, 'r-' || l_orderkey || '-' || l_linenumber as ref_id, l_returnflag as type from lineitem where l_orderkey <= 2000)"""
-Q["adjacency"] = lambda spark, sf: graph.adjacency(_edges(spark, sf)).select("doc_id", "block_id", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"))
+Q["adjacency"] = lambda spark, sf: _adjacency(_edges(spark, sf))
 O["adjacency"] = f"""with {_EDGES}, o as (select doc_id, src as block_id, string_agg(ref_id, ',' order by ref_id) as outgoing from e group by all), i as (select doc_id, dst as block_id, string_agg(ref_id, ',' order by ref_id) as incoming from e where dst is not null group by all)
     select coalesce(o.doc_id, i.doc_id) as doc_id, coalesce(o.block_id, i.block_id) as block_id, coalesce(outgoing, '') as outgoing, coalesce(incoming, '') as incoming from o full join i on o.doc_id = i.doc_id and o.block_id = i.block_id"""
 
-Q["counts_by_type"] = lambda spark, sf: _edges(spark, sf).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("type", F.lit(1))))).alias("m")).select("doc_id", F.array_join(F.map_keys("m"), ",").alias("types")).join(_edges(spark, sf).groupBy("doc_id").agg(F.count("*").alias("refs"), F.count("to").alias("resolved")), "doc_id")
+Q["counts_by_type"] = lambda spark, sf: _counts_by_type(_edges(spark, sf))
 O["counts_by_type"] = f"with {_EDGES} select doc_id, string_agg(distinct type, ',' order by type) as types, count(*) as refs, count(dst) as resolved from e group by doc_id"
 
+_ALL_EDGES = """e as (select l_orderkey % 7 as doc_id, 'b' || l_orderkey as src, case when l_linenumber % 4 <> 0 then 'b' || (l_orderkey + l_linenumber * 7) end as dst, 'r-' || l_orderkey || '-' || l_linenumber as ref_id, l_returnflag as type from lineitem)"""
+Q["adjacency_all"] = lambda spark, sf: _adjacency(_links(table(spark, sf, "lineitem")))
+O["adjacency_all"] = f"""with {_ALL_EDGES}, o as (select doc_id, src as block_id, string_agg(ref_id, ',' order by ref_id) as outgoing from e group by all), i as (select doc_id, dst as block_id, string_agg(ref_id, ',' order by ref_id) as incoming from e where dst is not null group by all)
+    select coalesce(o.doc_id, i.doc_id) as doc_id, coalesce(o.block_id, i.block_id) as block_id, coalesce(outgoing, '') as outgoing, coalesce(incoming, '') as incoming from o full join i on o.doc_id = i.doc_id and o.block_id = i.block_id"""
+
+Q["counts_by_type_all"] = lambda spark, sf: _counts_by_type(_links(table(spark, sf, "lineitem")))
+O["counts_by_type_all"] = f"with {_ALL_EDGES} select doc_id, string_agg(distinct type, ',' order by type) as types, count(*) as refs, count(dst) as resolved from e group by doc_id"
+
 
 def ref_groups(spark, sf):
     o = table(spark, sf, "orders")
