@@ -1,16 +1,20 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every benchmark item has a SimHash fingerprint of BITS bits over its weighted word shingles; so has every run of words of
-a document that is as long as an item, from running sums of its shingles' bits. Item fingerprints are indexed by BLOCKS
+a document that is as long as an item, from running sums of its shingles' bits. A document of fewer words than the item
+is one window, whole. Item fingerprints are indexed by BLOCKS
 blocks of bits: a fingerprint within RADIUS differs by at most RADIUS // BLOCKS bits in one block, and all values of a
 block within that distance are entered, so no fingerprint within the radius is missed. Candidates are verified exactly
 by the weighted Jaccard similarity of shingle counts. A shingle's weight is how often it occurs.
 
-Windows of every length between the items' least and greatest are looked at, but only where they can matter: of a
-window that reaches similarity s with an item, at least s of the item's weight are shingles of the item, so windows
-without that many benchmark shingles cannot pass and are not fingerprinted. A fingerprint's distance is a random
+Windows have the lengths that items have, or a shorter document's own, and are looked at only where they can matter: a
+window of weight v that reaches similarity s with an item of weight w shares at least s / (1 + s) of v + w with it, so
+windows without that many benchmark shingles cannot pass and are not fingerprinted; nor can a document that weighs less
+than s of the item. A fingerprint's distance is a random
 quantity: at similarity 0.8 it averages 9.6 bits of 64 with a deviation of 2.9; the default radius lies 3.9 deviations
-above and keeps more than 99.9 per cent of such windows, all exact copies (distance 0) among them.
+above and keeps more than 99.9 per cent of such windows, all exact copies (distance 0) among them. Where a whole
+document meets items of no more shingles than a shingle has words, signs tie too often for that; those items are all
+verified.
 
 The benchmark is broadcast with its index after its size is checked: MOST_ITEMS items of MOST_WORDS words in all, beyond
 which items are taken in runs of that size, each over all documents.
@@ -127,11 +131,15 @@ class Benchmark:
             count = np.concatenate([[0], np.cumsum(shared)])
             signs = None
             for length, (ids, weights, _) in self.lengths.items():
-                if length > n or (size == self.size) != (length >= self.size) or (length < self.size and length != size):
+                if (size == self.size) != (length >= self.size) or (length < self.size and length != size):
                     continue
-                held = length - size + 1
-                # Shared shingles that a window needs: s of the item's weight, which equals its own.
-                need = max(1, int(np.ceil(2 * self.similarity / (1 + self.similarity) * held - 1e-9)))
+                # A text shorter than the item is one window.
+                held_item, words_here = length - size + 1, min(length, n)
+                held = words_here - size + 1
+                if held < self.similarity * held_item - 1e-9:
+                    continue
+                # Shared shingles that a window needs, of its weight and the item's.
+                need = max(1, int(np.ceil(self.similarity / (1 + self.similarity) * (held + held_item) - 1e-9)))
                 start = np.flatnonzero(count[held:] - count[:-held] >= need)
                 if not len(start):
                     continue
@@ -139,23 +147,26 @@ class Benchmark:
                     signs = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bit_signs(shingles), axis=0, dtype=np.int32)])
                 for lo in range(0, len(start), WINDOWS):
                     here = start[lo : lo + WINDOWS]
-                    q, item = self.index(length).search(pack(signs[here + held] - signs[here]))
+                    if held < held_item <= self.size:
+                        q, item = np.zeros(len(ids), np.int64), np.arange(len(ids))
+                    else:
+                        q, item = self.index(length).search(pack(signs[here + held] - signs[here]))
                     for k, i in zip(here[q].tolist(), item.tolist(), strict=True):
-                        like = _weighted(shingles[k : k + held], weights[i], held)
+                        like = _weighted(shingles[k : k + held], weights[i], held + held_item)
                         if like >= self.similarity and like > best.get(ids[i], (0, 0, -1.0))[2]:
-                            best[ids[i]] = (k, length, like)
+                            best[ids[i]] = (k, words_here, like)
         return [(i, *v) for i, v in sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))]
 
 
 def _weighted(window: np.ndarray, item: dict[int, int], total: int) -> float:
-    """Weighted Jaccard similarity of shingle counts; both sides weigh `total`."""
+    """Weighted Jaccard similarity of shingle counts; the two sides weigh `total` together."""
     left = dict(item)
     both = 0
     for s in window.tolist():
         if left.get(s, 0):
             left[s] -= 1
             both += 1
-    return both / (2 * total - both)
+    return both / (total - both)
 
 
 def _finder(bench: Benchmark):

@@ -81,3 +81,34 @@ def test_most_windows_at_the_threshold_are_within_the_radius():
         words = next(text_rows(pa.array([" ".join(text)])))[1]
         missed += not bench.matches(words)
     assert missed <= 1
+
+
+def test_a_text_shorter_than_the_item_is_one_window(spark):
+    texts, bench = items(spark)
+    bench = bench.where("item_id < 5")
+    w, x = texts[4].split(), texts[0].split()
+    cut = [
+        (400, " ".join(w[:-3]), "aa", "s", 0),  # 50 of 53 shingles
+        (401, " ".join(w[5:]).upper(), "aa", "s", 0),  # 48 of 53
+        (402, " ".join(w[:40]), "aa", "s", 0),  # 36 of 53: not enough
+        (403, " ".join(x[:-2]), "aa", "s", 0),  # 9 of 11
+        (404, " ".join(x[:-3]), "aa", "s", 0),  # 8 of 11: not enough
+        (405, " ".join(w[:20] + ["zzz"] + w[21:-1]), "aa", "s", 0),  # 47 of 52 and 53
+    ]
+    docs = corpus.frame(spark, cut + corpus.rows())
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, round(r.similarity, 6)) for r in contaminated(docs, bench).collect() if r.doc_id is not None and r.doc_id >= 400}
+    want = {(400, 4): (0, 54, round(50 / 53, 6)), (401, 4): (0, 52, round(48 / 53, 6)), (403, 0): (0, 13, round(9 / 11, 6)), (405, 4): (0, 56, round(47 / 58, 6))}
+    assert got == want
+    assert {r.doc_id for r in decontaminate(docs, bench).collect()} & set(range(400, 406)) == {402, 404}
+
+
+def test_no_short_text_of_four_shingles_in_five_is_lost():
+    from quire.llm.words import text_rows
+    import pyarrow as pa
+
+    r = random.Random(31)
+    texts = [" ".join(corpus.words(r, 9)) + f" {k}" for k in range(3000)]
+    bench = Benchmark(list(range(3000)), [t.rsplit(" ", 1)[0] for t in texts])
+    short = pa.array([" ".join(t.split()[:8]) for t in texts[::10]])
+    for k, words in text_rows(short):
+        assert (10 * k, 0, 8, 0.8) in bench.matches(words)
