@@ -279,7 +279,8 @@ def unpack_section(f) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 class WordTokenizer:
     """Ids of whole texts; equal words between spaces and line feeds are tokenized once for each worker.
 
-    For a tokenizer whose pieces never cross white space, this equals encoding each text as a whole.
+    For a tokenizer whose pieces never cross white space, this equals encoding each text as a whole; special tokens that a
+    text spells out get their own ids, as the library gives them by default.
     """
 
     def __init__(self, path: str):
@@ -289,7 +290,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:

@@ -142,3 +142,19 @@ def test_files_hold_every_document_in_order(spark):
         at += len(ids)
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == want
     assert rangecoder.token_round_trip(corpus.empty(spark), path).count() == 0
+
+
+def test_special_tokens_in_texts_get_the_ids_of_the_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>\nIt's<|endoftext|>'s\t<|endoftext|>", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", " <|startoftext|>  é<|endoftext|>\u0301 ", "after"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+    got = rangecoder.read_tokens(rangecoder.write_tokens(corpus.frame(spark, [(i, x, "aa", "s", 0) for i, x in enumerate(texts)]), path)).orderBy("start").collect()
+    want, at = [], 0
+    for i, x in enumerate(texts):
+        ids = t.encode(x, add_special_tokens=False).ids + [2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
+        at += len(ids)
+    assert [tuple(r) for r in got] == want
