@@ -166,6 +166,19 @@ Q["chunk_lookup"] = lambda spark, sf: table(spark, sf, "documents").where(chunk_
 O["chunk_lookup"] = "select doc_id, lang, source from documents where (greatest(doc_id, 1) - 1) // 25 = 7"
 
 
+def chunk_firsts(spark, sf):
+    """Every document with the first document of its chunk."""
+    docs = table(spark, sf, "documents").withColumn("chunk", chunk_of(F.col("doc_id")).cast("bigint"))
+    firsts = docs.groupBy("chunk").agg(F.min("doc_id").alias("first_doc"))
+    found = firsts.join(docs.select(F.col("doc_id").alias("first_doc"), F.col("lang").alias("first_lang")), "first_doc")
+    return docs.join(found, "chunk").select("doc_id", "lang", "source", "chunk", "first_doc", "first_lang")
+
+
+Q["chunk_firsts"] = chunk_firsts
+O["chunk_firsts"] = """with d as (select doc_id, lang, source, ((greatest(doc_id, 1) - 1) // 25)::bigint as chunk from documents), f as (select chunk, min(doc_id) as first_doc from d group by 1)
+    select d.doc_id, d.lang, d.source, d.chunk, f.first_doc, a.lang as first_lang from d join f using (chunk) join d a on a.doc_id = f.first_doc"""
+
+
 def _glued(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(T.glued_symbols(F.col("text"))).alias("symbol"))
 

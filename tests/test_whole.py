@@ -21,3 +21,12 @@ def test_adjacency_covers_orders_of_any_key(spark, tmp_path):
     assert {tuple(r) for r in QUERIES["adjacency_all"](spark, str(tmp_path)).collect()} == want
     want = {(d, ",".join(sorted(t)), n, resolved) for d, (t, n, resolved) in counts.items()}
     assert {tuple(r) for r in QUERIES["counts_by_type_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_blocks_of_every_chunk_are_resolved(spark, tmp_path):
+    ids = [-3, 0, 1, 25, 26, 50, 51, 176, 200, 201, 7_000_000_007]
+    spark.createDataFrame([(i, f"l{i}", "s") for i in ids], "doc_id bigint, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    chunk = {i: (max(i, 1) - 1) // 25 for i in ids}
+    first = {i: min(j for j in ids if chunk[j] == chunk[i]) for i in ids}
+    got = QUERIES["chunk_firsts"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, f"l{i}", "s", chunk[i], first[i], f"l{first[i]}") for i in ids]
