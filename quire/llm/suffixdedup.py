@@ -8,7 +8,8 @@ what stands before them, read backwards.
 1. Exact copies answer to the document of their class with the least doc_id and take no further part.
 2. Anchors are dealt by hash; those that occur in two documents make candidates.
 3. Of a candidate, the LENGTH - ANCHOR bytes on either side are dealt by the anchor's hash. Anchored suffixes are
-   ordered by a multikey quicksort on 8-byte words to SHALLOW bytes, all groups of a level at once; blind tries order
+   ordered by their first SHALLOW bytes, an array sort by 8-byte words over all groups at once, which stands in for
+   the method's multikey quicksort; equal contexts are set together by a hash, and blind tries order
    the groups that still share their prefix. Common prefixes of neighbours then tell, for every length, which suffixes
    and which reversed prefixes agree; a string is the pair of the two, and its least doc_id decides.
 4. Covered ranges go back to their documents.
