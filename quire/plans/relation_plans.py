@@ -9,8 +9,8 @@ from quire.functions import numerals as N
 from quire.functions import text as T
 from quire.functions.stats import first_mode
 from quire.operators import graph, layout
-from quire.plans.common import table
-from quire.sources.texts import html_blocks, html_links
+from quire.plans.common import LINES, table
+from quire.sources.texts import document_lines, html_blocks, html_links
 
 Q, O = {}, {}
 
@@ -103,6 +103,30 @@ O["band_recurrence"] = r"""with t as (select conv_id, turn, trim(regexp_replace(
     select a.conv_id, a.turn, a.key, min(b.turn - a.turn)::bigint as step from t a join t b on a.conv_id = b.conv_id and a.key = b.key and b.turn - a.turn in (-2, -1, 1, 2) where length(a.key) >= 1 group by all"""
 
 
+#: Lines of a page where documents are taken as pages.
+PAGE_LINES = 4
+
+
+def band_line_recurrence(spark, sf):
+    """Documents as pages: the first and the last line of each, whole, that stand in the same band one or two pages away."""
+    # Dealt by document once; pages, bands and neighbours are found where the document is.
+    docs = table(spark, sf, "documents").where("doc_id is not null").repartition("doc_id")
+    lines = document_lines(docs).withColumn("page", F.floor(F.col("line_no") / PAGE_LINES).cast("bigint"))
+    edges = lines.groupBy("doc_id", "page").agg(F.min_by("line", "line_no").alias("top"), F.max_by("line", "line_no").alias("bottom"))
+    bands = F.array(*[F.struct(F.lit(band).alias("band"), T.head_key(F.col(band)).alias("key")) for band in ("top", "bottom")])
+    w = Window.partitionBy("doc_id", "band", "key").orderBy("page")
+    away = F.array(*[F.lag("page", k).over(w) - F.col("page") for k in (2, 1, -1)])
+    step = F.array_min(F.filter(away, lambda d: d.between(-2, 2)))
+    return edges.select("doc_id", "page", F.inline(bands)).where("key <> ''").withColumn("step", step).where("step is not null")
+
+
+Q["band_line_recurrence"] = band_line_recurrence
+O["band_line_recurrence"] = rf"""with {LINES}, g as (select doc_id, line_no // {PAGE_LINES} as page, arg_min(line, line_no) as top, arg_max(line, line_no) as bottom from lines group by all),
+    b as (select doc_id, page, 'top' as band, top as line from g union all select doc_id, page, 'bottom', bottom from g),
+    t as (select doc_id, page, band, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '[^\p{{L}}\p{{N}} ]', '', 'g'), '[0-9]+', '#', 'g'), '\s+', ' ', 'g')) as key from b)
+    select a.doc_id, a.page, a.band, a.key, min(b.page - a.page)::bigint as step from t a join t b on a.doc_id = b.doc_id and a.band = b.band and a.key = b.key and b.page - a.page in (-2, -1, 1, 2) where a.key <> '' group by all"""
+
+
 def asof_section(spark, sf):
     """The last error event of a user at or before each purchase."""
     ev = table(spark, sf, "events")
