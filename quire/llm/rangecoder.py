@@ -1,25 +1,32 @@
 """Token ids as files: tokenized whole texts, coded by an adaptive context-mixing range coder.
 
-An id is coded as four 4-bit digits, highest first. Three predictors share each digit's probability: order 0 has an
-adaptive distribution for every digit and what stands before it in the id; orders 1 and 2 each predict one whole id, the
-last that followed the same one or two ids, for as long as the digits so far agree with it. Their weights come from how
-often they were right at their present confidence, and follow each digit by Bayes' rule. All arithmetic is in integers,
-so any machine decodes alike.
-
-Ids are cut into blocks of BLOCK. Each block starts from fresh tables and carries the checksum of its ids; the blocks of
-a section are coded in step, one lane each. A section holds whole documents (about SECTION ids):
-
-    b"QTOK", uint32 length, zlib of (doc ids as int64, null flags as uint8, counts as int64),
+Three predictors share each id's probability. Orders 1 and 2 each predict one id, the last that followed the same one or
+two ids of the block, and count how often in turn they were right. Those counts, and whether the two agree, choose the
+pair of weights they get; each such pair follows how often they were right, within the block. What the two leave goes to
+order 0, the section's own shares of all its ids, which its header holds. An id is coded in the part of the highest order
+that says it: the weights' part first, and within order 0's part the id's share. All arithmetic is in integers, so any
+machine decodes alike.
+
+Ids are cut into blocks of BLOCK. Each block starts from fresh tables, weights and coder and carries the checksum of its
+ids, so any block can be read without the others; the blocks of a section are coded in step, one lane each, LANES of them
+at a time. A section holds whole documents (about SECTION ids):
+
+    b"QTK2", uint32 length, zlib of (doc ids as int64, null flags as uint8, counts as int64),
+    uint32 length, zlib of (present ids as uint16, their shares as uint32),
     uint32 blocks, then of each block uint32 ids, uint32 bytes, uint32 crc32; then the bytes of all blocks
 
-Numbers are little-endian; crc32 is of the ids as unsigned 32-bit integers. Ids are below 65,536.
+Numbers are little-endian; crc32 is of the ids as unsigned 32-bit integers. Ids of 65,536 and more are refused.
 
 Nulls: a null text is empty, and stands as its end id alone; documents with a null doc_id come first. Rows repeated under
-one doc_id are one document each, in the order of their texts.
+one doc_id are one document each, in the order of their texts; ties on both are equal rows. An empty table gives no
+section and no row. Long texts: a document's ids are held whole, two bytes each; the coder's own memory is that of LANES
+blocks. Other columns of docs are never read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,293 +38,397 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import fresh_path, map_arrow, written
 from quire.llm.store import new_file, open_range
-from quire.llm.words import column_bytes
+from quire.llm.words import LOWER, column_bytes
+
+BLOCK, LANES, SECTION = 2048, 4096, 8 << 20
+MAGIC = b"QTK2"
+#: Slots of each order's table of a lane.
+SLOTS = 512
+#: Weights are of FIRST, shares of WHOLE. The coder's window has 63 bits and lets go of 32 at a time.
+FIRST, ZEROTH = 1 << 16, 18
+WHOLE = 1 << ZEROTH
+SMALL, LOW31, WINDOW, WORD = 1 << 31, (1 << 31) - 1, (1 << 63) - 1, (1 << 32) - 1
+#: Two weights in one integer, order 2's in the upper half; a step of the weights takes a sixteenth and adds one of these.
+FIELDS = (0xFFFF << 32) | 0xFFFF
+STEP, LEAST, MOST = 4, 32, FIRST - 4096
+GAIN = np.array([(a << 32 | b) >> STEP for a, b in ((LEAST, LEAST), (LEAST, MOST), (MOST, LEAST))], np.int64)
+#: Words held by a worker, and bytes whose new words are tokenized together.
+CACHE, RUN = 1_000_000, 16 << 20
+
+
+def first_weights() -> np.ndarray:
+    """Of each (agreement, order 2's count, order 1's count), what a block starts from."""
+    sure = np.array([LEAST * 16, 20000, 36000, 52000])
+    two = np.repeat(sure, 4)
+    one = (FIRST - two) * np.tile(sure * 2 // 3, 4) >> 16
+    agreed = np.minimum(two + (FIRST - two) // 3, MOST)
+    return np.concatenate([two << 32 | np.maximum(one, LEAST), agreed << 32 | LEAST])
+
+
+class _Orders:
+    """What orders 1 and 2 of all lanes say of the id at hand. The first n lanes take part in a step."""
 
-BLOCK, SECTION = 2048, 6 << 20
-MAGIC = b"QTOK"
-#: Slots of each table of a lane.
-SLOTS = 1024
-TOTAL, DIGITS, RATE = 32768, 16, 4
-#: Least gap of an order-0 distribution's targets, and least weight of order 0 of 65,536.
-FLOOR, SHARE = 48, 4096
-TOP, BOTTOM = np.uint64(1 << 56), np.uint64(1 << 48)
-#: Words held, and characters whose new words are tokenized together.
-CACHE, RUN = 400_000, 1 << 20
+    def __init__(self, lanes: int):
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # an id and how often in turn it was right
+        self.weights = np.tile(first_weights(), lanes)
+        self.last, self.key = np.zeros(lanes, np.int64), np.zeros((2, lanes), np.int64)
+        self.home, self.states = np.arange(2 * lanes).reshape(2, lanes) * SLOTS, np.arange(lanes) * 32
+
+    def predict(self, n: int) -> None:
+        key = self.key[:, :n]
+        np.multiply(key[0], 23, out=key[1])
+        np.multiply(self.last[:n], 40503, out=key[0])
+        key[1] += key[0]
+        self.slot = key >> 5
+        self.slot &= SLOTS - 1
+        self.slot += self.home[:, :n]
+        held = self.table.take(self.slot)
+        self.guess = held >> 2
+        held &= 3
+        self.sure = held
+        state = held[1] << 2
+        state |= held[0]
+        state |= (self.guess[0] == self.guess[1]).view(np.int8) << np.int8(4)
+        self.state = self.states[:n] + state
+        self.pair = self.weights.take(self.state)
+        self.two = self.pair >> 32
+        self.both = (self.pair & WORD) + self.two
+
+    def learn(self, n: int, ids: np.ndarray, right: np.ndarray, one: np.ndarray) -> None:
+        """right: which guesses were; one: where order 1 alone was right."""
+        held = self.sure + 1
+        np.minimum(held, 3, out=held)
+        held *= right
+        held += ids << 2
+        self.table[self.slot] = held
+        kept = self.pair >> STEP
+        kept &= FIELDS
+        np.subtract(self.pair, kept, out=kept)
+        kept += GAIN.take((right[1].view(np.int8) << np.int8(1)) + one.view(np.int8))
+        self.weights[self.state] = kept
+        self.last[:n] = ids
 
-_targets = np.stack([np.where(np.arange(DIGITS) <= s, np.arange(DIGITS) * FLOOR, TOTAL - (DIGITS - np.arange(DIGITS)) * FLOOR) for s in range(DIGITS)]).astype(np.int16)
-_ONES = np.uint64(0x0101010101010101)
 
+def shares(ids: np.ndarray) -> np.ndarray:
+    """Order 0 of a section: of WHOLE, at least one for every id that is there."""
+    counts = np.bincount(ids, minlength=1 << 16)
+    there = int((counts > 0).sum())
+    out = np.where(counts > 0, 1 + counts * (WHOLE - there) // max(1, len(ids)), 0)
+    out[np.argmax(out)] += WHOLE - out.sum()
+    return out
 
-class _Predictors:
-    """The tables of all lanes, and what they say of the id at hand. The first n lanes take part in a step."""
 
-    def __init__(self, lanes: int):
-        self.cdf = np.tile((np.arange(DIGITS) * (TOTAL // DIGITS)).astype(np.int16), (lanes * SLOTS, 1))
-        self.flat = self.cdf.reshape(-1)
-        self.id = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        # Of each order and confidence, how often its id was right, of 65,536.
-        self.right = [np.tile(np.array([0, 8192, 20480, 32768], np.int64), lanes) for _ in range(2)]
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.home, self.four = np.arange(lanes) * SLOTS, np.arange(lanes) * 4
-
-    def begin(self, n: int) -> None:
-        """Look up the predictions for the next id of the first n lanes."""
-        self.n = n
-        a, b, home = self.last[:n], self.before[:n], self.home[:n]
-        x = a * 40503
-        self.slot = [home + ((x >> 4) & (SLOTS - 1)), home + (((x + b * 60493 + (b >> 3)) >> 5) & (SLOTS - 1))]
-        self.guess = [self.id[k].take(self.slot[k]) for k in (0, 1)]
-        self.conf = [self.sure[k].take(self.slot[k]) for k in (0, 1)]
-        self.seen = [self.four[:n] + self.conf[k] for k in (0, 1)]
-        w2 = self.right[1].take(self.seen[1])
-        self.w = [(65536 - w2) * self.right[0].take(self.seen[0]) >> 16, w2]
-        self._bound()
-        self.prefix = np.ones(n, np.int64)
-
-    def _bound(self) -> None:
-        """Whatever the predictions weigh, order 0 keeps a share."""
-        both = self.w[0] + self.w[1]
-        over = np.flatnonzero(both > 65536 - SHARE)
-        if len(over):
-            for k in (0, 1):
-                self.w[k][over] = self.w[k][over] * (65536 - SHARE) // both[over]
-            both = self.w[0] + self.w[1]
-        self.w0 = 65536 - both
-
-    def digit(self, place: int) -> None:
-        """Set up the distribution of the digit at a place, 3 the highest."""
-        self.row = self.home[: self.n] + (((self.prefix * 31153 >> 3) ^ self.prefix) & (SLOTS - 1))
-        self.said = [(g >> (4 * place)) & 15 for g in self.guess]
-        self.dist = self.cdf.take(self.row, axis=0)
-
-    def bounds(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where symbol s starts, and how much of 65,536 it has."""
-        at = self.row * DIGITS + s
-        low = self.flat.take(at).astype(np.int64)
-        high = self.flat.take(np.minimum(at + 1, len(self.flat) - 1)).astype(np.int64)
-        high[s == 15] = TOTAL
-        self.p0 = high - low
-        start = low * self.w0 >> 15
-        part = (high * self.w0 >> 15) - start
-        self.hit = []
-        for k in (0, 1):
-            start += self.w[k] * (self.said[k] < s)
-            self.hit.append(self.w[k] * (self.said[k] == s))
-            part += self.hit[k]
-        return start, part
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The symbol whose part holds value: taking out the predicted parts below it leaves a place in order 0 alone."""
-        first = self.said[0] <= self.said[1]
-        a, b = np.where(first, self.said[0], self.said[1]), np.where(first, self.said[1], self.said[0])
-        wa, wb = np.where(first, self.w[0], self.w[1]), np.where(first, self.w[1], self.w[0])
-        base = self.row * DIGITS
-        ea = self.flat.take(base + a).astype(np.int64) * self.w0 >> 15
-        eb = self.flat.take(base + b).astype(np.int64) * self.w0 >> 15
-        # Within a predicted part any place at its start will do; equal predictions add up.
-        rest = np.where(value < ea, value, np.maximum(value - wa, ea))
-        rest = np.where(rest < eb, rest, np.maximum(rest - wb, eb))
-        top = np.minimum((((rest + 1) << 15) - 1) // self.w0, TOTAL - 1).astype(np.int16)
-        below = (self.dist <= top[:, None]).view(np.uint64)
-        return ((((below[:, 0] + below[:, 1]) * _ONES) >> np.uint64(56)).astype(np.int64)) - 1
-
-    def learn_digit(self, s: np.ndarray) -> None:
-        step = _targets.take(s, axis=0)
-        step -= self.dist
-        step >>= RATE
-        step += self.dist
-        self.cdf[self.row] = step
-        self.prefix = self.prefix * 16 + s
-        total = self.hit[0] + self.hit[1] + np.maximum(1, self.w0 * self.p0 >> 15)
-        self.w = [(v << 16) // total for v in self.hit]
-        self._bound()
-
-    def learn_id(self, ids: np.ndarray) -> None:
-        for k in (0, 1):
-            hit, conf = self.guess[k] == ids, self.conf[k]
-            old = self.right[k].take(self.seen[k])
-            self.right[k][self.seen[k]] = old + (((hit * 65536) - old) >> 5)
-            self.id[k][self.slot[k]] = np.where(hit | (conf <= 1), ids, self.guess[k])
-            self.sure[k][self.slot[k]] = np.where(hit, np.minimum(conf + 1, 3), np.where(conf > 1, conf - 1, 1))
-        n = self.n
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+def _lookup(share: np.ndarray) -> np.ndarray:
+    """Where each id's part of WHOLE starts, and its size, in one integer."""
+    return (np.cumsum(share) - share) << 20 | share
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, share: np.ndarray) -> list[bytes]:
     """Each BLOCK of ids, coded on its own."""
+    if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
+        raise ValueError("ids are below 65,536")
+    parts, out = _lookup(share), []
+    for at in range(0, len(ids), BLOCK * LANES):
+        out += _encode_lanes(ids[at : at + BLOCK * LANES], parts)
+    return out
+
+
+def _encode_lanes(ids: np.ndarray, parts: np.ndarray) -> list[bytes]:
     lanes = -(-len(ids) // BLOCK)
-    if not lanes:
-        return []
     short = len(ids) - (lanes - 1) * BLOCK
-    grid = np.zeros((lanes, BLOCK), np.int64)
-    grid.reshape(-1)[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.T)
-    m = _Predictors(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out, at = np.zeros((lanes, BLOCK), np.uint8), np.zeros(lanes, np.int64)
-
-    def put(lane: np.ndarray) -> None:
-        out[lane, at[lane]] = (low[lane] >> np.uint64(56)).astype(np.uint8)
-        at[lane] += 1
-        low[lane] <<= np.uint64(8)
-        span[lane] <<= np.uint64(8)
-
+    grid = np.zeros(lanes * BLOCK, np.int32)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
+    m = _Orders(lanes)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, WINDOW, np.int64)
+    words, at = np.zeros((256, lanes), np.uint32), np.zeros(lanes, np.int64)
     for t in range(BLOCK if lanes > 1 else short):
         n = lanes if t < short else lanes - 1  # only the last block is short
-        if t % 64 == 0 and at.max() + 1024 > out.shape[1]:
-            out = np.concatenate([out, np.zeros_like(out)], axis=1) if out.shape[1] > 1024 else np.concatenate([out, np.zeros((lanes, 2048), np.uint8)], axis=1)
-        m.begin(n)
+        if t % 64 == 0 and at.max() + 66 > len(words):
+            words = np.concatenate([words, np.zeros_like(words)])
+        m.predict(n)
         now = grid[t, :n]
-        for place in (3, 2, 1, 0):
-            m.digit(place)
-            s = (now >> (4 * place)) & 15
-            start, part = m.bounds(s)
-            r = span[:n] >> np.uint64(16)
-            low[:n] += start.view(np.uint64) * r
-            np.multiply(part.view(np.uint64), r, out=span[:n])
-            m.learn_digit(s)
-            if place in (2, 0):
-                _renew(low, span, n, put)
-        m.learn_id(now)
+        right = m.guess == now
+        two = right[1]
+        one = right[0] > two
+        rest = np.flatnonzero(~(right[0] | two))
+        start = np.where(one, m.two, m.both)
+        size = np.where(one, m.both, FIRST)
+        np.copyto(size, m.two, where=two)
+        start *= ~two
+        size -= start
+        room = span[:n] >> 16
+        start *= room
+        room *= size
+        part, inner = parts.take(now.take(rest)), room.take(rest) >> ZEROTH
+        room[rest] = (part & 0xFFFFF) * inner
+        part >>= 20
+        part *= inner
+        part += start.take(rest)
+        start[rest] = part
+        base = low[:n]
+        base += start
+        over = np.flatnonzero(base < 0)  # past the window: one is carried into the words already let go
+        if len(over):
+            base[over] &= WINDOW
+            back = at[over] - 1
+            while len(over):
+                more = words[back, over] + np.uint32(1)
+                words[back, over] = more
+                over, back = over[more == 0], back[more == 0] - 1
+        done = np.flatnonzero(room < SMALL)
+        settled, where = base.take(done), at.take(done)
+        words[where, done] = settled >> 31
+        base[done] = (settled & LOW31) << 32
+        room[done] = room.take(done) << 32
+        at[done] = where + 1
+        span[:n] = room
+        m.learn(n, now, right, one)
+    if at.max() + 2 > len(words):
+        words = np.concatenate([words, np.zeros((2, lanes), np.uint32)])
     every = np.arange(lanes)
-    if at.max() + 8 > out.shape[1]:
-        out = np.concatenate([out, np.zeros((lanes, 16), np.uint8)], axis=1)
-    for _ in range(8):
-        put(every)
-    return [out[i, : at[i]].tobytes() for i in range(lanes)]
-
-
-def _renew(low: np.ndarray, span: np.ndarray, n: int, shift) -> None:
-    """Shift out settled bytes of the first n lanes; where the span grows too small unsettled, cut it at the next border."""
-    live = None
-    while True:
-        a, w = (low[:n], span[:n]) if live is None else (low[live], span[live])
-        settled = (a ^ (a + w)) < TOP
-        small = w < BOTTOM
-        small &= ~settled
-        if small.any():
-            i = np.flatnonzero(small) if live is None else live[small]
-            span[i] = (np.uint64(0) - low[i]) & (BOTTOM - np.uint64(1))
-            settled |= small
-        live = np.flatnonzero(settled) if live is None else live[settled]
-        if not len(live):
-            return
-        shift(live)
-
-
-def decode_blocks(blocks: list[bytes], sizes: list[int]) -> np.ndarray:
+    words[at, every], words[at + 1, every] = low >> 31, (low & LOW31) << 1
+    rows = np.ascontiguousarray(words.T)
+    return [rows[i, : at[i] + 2].astype("<u4").tobytes() for i in range(lanes)]
+
+
+def decode_blocks(blocks: list[bytes], sizes: list[int], share: np.ndarray) -> np.ndarray:
     """The ids of blocks of the sizes given; all but the last have BLOCK."""
-    lanes = len(blocks)
-    if not lanes:
-        return np.zeros(0, np.int64)
-    width = max(map(len, blocks)) + 16
-    data = np.zeros((lanes, width), np.uint8)
-    for i, b in enumerate(blocks):
-        data[i, : len(b)] = np.frombuffer(b, np.uint8)
-    m = _Predictors(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(8):
-        code = (code << np.uint64(8)) | data[:, k].astype(np.uint64)
-    at = np.full(lanes, 8)
-
-    def take(lane: np.ndarray) -> None:
-        code[lane] = (code[lane] << np.uint64(8)) | data[lane, np.minimum(at[lane], width - 1)].astype(np.uint64)
-        at[lane] += 1
-        low[lane] <<= np.uint64(8)
-        span[lane] <<= np.uint64(8)
-
-    grid = np.zeros((BLOCK, lanes), np.int64)
-    for t in range(max(sizes)):
-        n = lanes if t < sizes[-1] else lanes - 1
-        m.begin(n)
-        now = np.zeros(n, np.int64)
-        for place in (3, 2, 1, 0):
-            m.digit(place)
-            r = span[:n] >> np.uint64(16)
-            value = np.minimum((code[:n] - low[:n]) // r, np.uint64(65535)).view(np.int64)
-            s = m.find(value)
-            start, part = m.bounds(s)
-            low[:n] += start.view(np.uint64) * r
-            np.multiply(part.view(np.uint64), r, out=span[:n])
-            m.learn_digit(s)
-            now = now * 16 + s
-            if place in (2, 0):
-                _renew(low, span, n, take)
+    parts, which = _lookup(share), np.repeat(np.arange(len(share)), share).astype(np.uint16)
+    out = [_decode_lanes(blocks[i : i + LANES], sizes[i : i + LANES], parts, which) for i in range(0, len(blocks), LANES)]
+    return np.concatenate(out) if out else np.zeros(0, np.uint16)
+
+
+def _decode_lanes(blocks: list[bytes], sizes: list[int], parts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    lanes, short = len(blocks), sizes[-1]
+    words = np.frombuffer(b"".join(blocks) + bytes(8), "<u4")
+    end = np.cumsum([len(b) // 4 for b in blocks])
+    at = np.concatenate([[0], end[:-1]])
+    m = _Orders(lanes)
+    span = np.full(lanes, WINDOW, np.int64)
+    # The window has 63 bits, so what is taken in lies one bit across the words.
+    code = words[at].astype(np.int64) << 31 | words[at + 1] >> np.uint32(1)
+    at += 1
+    grid = np.zeros((BLOCK, lanes), np.uint16)
+    for t in range(BLOCK if lanes > 1 else short):
+        n = lanes if t < short else lanes - 1
+        m.predict(n)
+        room, place = span[:n] >> 16, code[:n]
+        edge2, edge1 = m.two * room, m.both * room
+        two, one = place < edge2, place < edge1
+        rest = np.flatnonzero(~one)
+        one &= ~two
+        now = np.where(two, m.guess[1], m.guess[0])
+        start = np.where(one, edge2, edge1)
+        start *= ~two
+        size = np.where(one, m.both - m.two, FIRST - m.both)
+        np.copyto(size, m.two, where=two)
+        room *= size
+        place -= start
+        left, inner = place.take(rest), room.take(rest) >> ZEROTH
+        ids = which.take(np.clip(left // np.maximum(inner, 1), 0, WHOLE - 1))
+        now[rest] = ids
+        part = parts.take(ids)
+        room[rest] = (part & 0xFFFFF) * inner
+        part >>= 20
+        part *= inner
+        left -= part
+        place[rest] = left
+        done = np.flatnonzero(room < SMALL)
+        where = np.minimum(at.take(done), len(words) - 2)
+        fresh = (words.take(where).astype(np.int64) << 32 | words.take(where + 1)) >> 1 & WORD
+        place[done] = place.take(done) << 32 | fresh
+        room[done] = room.take(done) << 32
+        at[done] = where + 1
+        span[:n] = room
         grid[t, :n] = now
-        m.learn_id(now)
+        m.learn(n, now, m.guess == now, one)
     return np.ascontiguousarray(grid.T).reshape(-1)[: sum(sizes)]
 
 
+def _packed(data: bytes) -> bytes:
+    data = zlib.compress(data)
+    return struct.pack("<I", len(data)) + data
+
+
+def _unpacked(f) -> bytes:
+    return zlib.decompress(f.read(struct.unpack("<I", f.read(4))[0]))
+
+
 def pack_section(docs: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
-    head = zlib.compress(np.array([d or 0 for d in docs], "<i8").tobytes() + bytes(d is None for d in docs) + np.array(counts, "<i8").tobytes())
-    blocks = encode_blocks(ids)
+    share = shares(ids) if len(ids) and ids.max() <= 0xFFFF else np.zeros(1 << 16, np.int64)
+    blocks = encode_blocks(ids, share)
+    there = np.flatnonzero(share)
+    head = np.array([d or 0 for d in docs], "<i8").tobytes() + bytes(d is None for d in docs) + np.array(counts, "<i8").tobytes()
     table = b"".join(struct.pack("<III", len(part := ids[i * BLOCK : (i + 1) * BLOCK]), len(b), zlib.crc32(part.astype("<u4").tobytes())) for i, b in enumerate(blocks))
-    return MAGIC + struct.pack("<I", len(head)) + head + struct.pack("<I", len(blocks)) + table + b"".join(blocks)
+    return MAGIC + _packed(head) + _packed(there.astype("<u2").tobytes() + share[there].astype("<u4").tobytes()) + struct.pack("<I", len(blocks)) + table + b"".join(blocks)
 
 
 def unpack_section(f) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc ids, counts, ids) of the section at an open file's place; raises where a block does not have its checksum."""
     if f.read(4) != MAGIC:
         raise ValueError("not a section of token ids")
-    raw = zlib.decompress(f.read(struct.unpack("<I", f.read(4))[0]))
+    raw = _unpacked(f)
     n = len(raw) // 17
     docs, null, counts = np.frombuffer(raw[: 8 * n], "<i8"), raw[8 * n : 9 * n], np.frombuffer(raw[9 * n :], "<i8")
+    raw = _unpacked(f)
+    k = len(raw) // 6
+    share = np.zeros(1 << 16, np.int64)
+    share[np.frombuffer(raw[: 2 * k], "<u2")] = np.frombuffer(raw[2 * k :], "<u4")
     blocks = struct.unpack("<I", f.read(4))[0]
-    table = [struct.unpack("<III", f.read(12)) for _ in range(blocks)]
-    ids = decode_blocks([f.read(size) for _, size, _ in table], [k for k, _, _ in table])
+    table = np.frombuffer(f.read(12 * blocks), "<u4").reshape(blocks, 3)
+    ids = decode_blocks([f.read(size) for size in table[:, 1].tolist()], table[:, 0].tolist(), share)
     at = 0
-    for k, _, crc in table:
+    for k, _, crc in table.tolist():
         if zlib.crc32(ids[at : at + k].astype("<u4").tobytes()) != crc:
             raise ValueError("a block of token ids does not have its checksum")
         at += k
     return [None if null[i] else int(docs[i]) for i in range(n)], counts, ids
 
 
+#: Kinds of bytes: white space, letters, digits, other ASCII, the apostrophe, the rest.
+_KIND = np.full(256, 5, np.uint8)
+_KIND[:128] = 3
+_KIND[[32, *range(9, 14)]] = 0
+_KIND[97:123] = _KIND[65:91] = 1
+_KIND[48:58] = 2
+_KIND[39] = 4
+#: Between which kinds a text is cut. Past white space always; the others only where a pre-tokenizer tells letters, digits
+#: and the rest apart, and never before a letter that an apostrophe may take with it, nor beside what is not ASCII.
+_CUT = np.zeros((2, 8, 8), bool)
+_CUT[:, 0, 1:6] = True
+_CUT[1, 1, 2:5] = _CUT[1, 2, [1, 3, 4]] = _CUT[1, 3, 1:3] = _CUT[1, 4, 2] = True
+#: Fixed value: the pre-tokenizing pattern whose pieces are letters, single digits, runs of the rest, and contractions.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordTokenizer:
-    """Ids of whole texts; equal words between spaces and line feeds are tokenized once for each worker.
+    """Ids of whole texts; a word is tokenized once for each worker while the worker holds it.
 
-    For a tokenizer whose pieces never cross white space, this equals encoding each text as a whole; special tokens that a
-    text spells out get their own ids, as the library gives them by default.
+    Texts are cut where no piece of the tokenizer crosses: past white space, and between letters, digits and other ASCII
+    where its pattern keeps them apart. Letter case is dropped first where the tokenizer drops it. For a tokenizer whose
+    pieces never cross white space this equals encoding each text as a whole. A text that spells out a special token, in
+    any case, is given to the library whole.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Ids and the end id of each text, as little-endian 32-bit integers; new words of about RUN characters go together."""
-        stop, out, at = np.array([end], "<u4").tobytes(), [], 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= RUN):
-                size += len(texts[to])
-                to += 1
-            words = [t.replace("\n", " ").split(" ") for t in texts[at:to]]
-            new = set().union(*words).difference(self.cache)
-            if len(self.cache) + len(new) > CACHE:
-                self.cache.clear()
-                new = set().union(*words)
-            fresh = list(new)
-            for w, e in zip(fresh, self.inner.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-            out += [b"".join(map(self.cache.__getitem__, w)) + stop for w in words]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = json.dumps(spec.get("pre_tokenizer"))
+        self.cut = _CUT[int(json.dumps(LETTERS_APART) in pre)].reshape(-1)
+        self.fold = LOWER if '"Lowercase"' in json.dumps(spec.get("normalizer")) else np.arange(256, dtype=np.uint8)
+        self.special = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Tokenize words that are not held; the white space after a word is no part of it, but of its key."""
+        bare = [w.rstrip(b" \t\n\v\f\r") for w in words]
+        once = dict.fromkeys(bare)
+        at = []
+        for e in self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in once], add_special_tokens=False):
+            ids = e.ids
+            at.append((self.used, len(ids)))
+            while len(self.ids) < self.used + len(ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        n = len(self.words)
+        while len(self.size) < n + len(words):
+            self.size, self.first = (np.concatenate([a, np.zeros_like(a)]) for a in (self.size, self.first))
+        place = dict(zip(once, at, strict=True))
+        self.first[n : n + len(words)], self.size[n : n + len(words)] = np.array([place[w] for w in bare], np.int64).T
+        self.words.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.inner.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of the texts between the offsets, the end id after each; runs of RUN bytes go together."""
+        ids, counts, at, n = [], [], 0, len(offsets) - 1
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + RUN, "right")) - 1)
+            got = self._run(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], end)
+            ids.append(got[0])
+            counts.append(got[1])
             at = to
-        return out
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _run(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(offsets) - 1
+        low = self.fold[data]
+        raw = low.tobytes()
+        kind = _KIND[data]
+        pair = kind[:-1] << 3
+        pair |= kind[1:]
+        cut = self.cut[pair]
+        inside = offsets[1:-1]
+        cut[inside[(inside > 0) & (inside < len(data))] - 1] = True
+        edges = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(data)]]).astype(np.int32) if len(data) else np.zeros(1, np.int32)
+        keys = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+        spelt = keys.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.words) + len(spelt) > CACHE or self.used > 8 * CACHE:
+            self.clear()
+        known = list(map(self.words.get, spelt))
+        if None in known:
+            self.learn([w for w, k in zip(spelt, known, strict=True) if k is None])
+            known = list(map(self.words.get, spelt))
+        word = np.array(known, np.int64)[keys.indices.to_numpy()]
+        size = self.size[word]
+        first = self.first[word]
+        # Where each text's words end; a text spelling out a special token is put in whole, in place of its words.
+        stops = np.searchsorted(edges, offsets)
+        lasts = np.concatenate([[0], np.cumsum(size)])
+        counts = np.diff(lasts[stops])
+        total = int(lasts[-1])
+        ids = self.ids[np.repeat(first - lasts[:-1], size) + np.arange(total)] if total else np.zeros(0, np.int32)
+        odd = self._special_texts(raw, offsets)
+        if odd:
+            pieces = np.split(ids, lasts[stops[1:-1]]) if n > 1 else [ids]
+            for k in odd:
+                pieces[k] = self.whole(data[offsets[k] : offsets[k + 1]].tobytes())
+                counts[k] = len(pieces[k])
+            ids = np.concatenate(pieces)
+        out = np.full(len(ids) + n, end, np.int32)
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(counts + 1) - 1] = False
+        out[keep] = ids
+        return out, counts + 1
+
+    def _special_texts(self, raw: bytes, offsets: np.ndarray) -> list[int]:
+        odd: set[int] = set()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(offsets, at, "right")) - 1
+                odd.add(k)
+                at = raw.find(token, int(offsets[k + 1]))
+        return sorted(odd)
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The worker's tokenizer for a file, with the words that it holds."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def _writer(folder: str, path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         part = TaskContext.get().partitionId()
         uri = out = None
         at, done, docs, counts, held, waiting = 0, [], [], [], [], 0
@@ -326,20 +437,27 @@ def _writer(folder: str, path: str, end: int):
             nonlocal uri, out, at, docs, counts, held, waiting
             if out is None:
                 uri, out = new_file(folder, ".tok")
-            data = pack_section(docs, counts, np.frombuffer(b"".join(held), "<u4").astype(np.int64))
+            data = pack_section(docs, counts, np.concatenate(held))
             out.write(data)
             done.append((uri, at, part, len(done), sum(counts)))
             at += len(data)
             docs, counts, held, waiting = [], [], [], 0
 
         for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace") for k in range(batch.num_rows)]
-            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(texts, end), strict=True):
-                docs.append(doc)
-                counts.append(len(ids) // 4)
-                held.append(ids)
-                waiting += counts[-1]
+            ids, sizes = tokenizer.encode(*column_bytes(batch.column(1)), end)
+            if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
+                raise ValueError("ids are below 65,536")
+            doc, to = batch.column(0).to_pylist(), np.cumsum(sizes)
+            first = 0
+            while first < len(doc):  # whole documents up to a section's ids
+                last = max(first + 1, int(np.searchsorted(to, (to[first - 1] if first else 0) + SECTION - waiting)))
+                last = min(last, len(doc))
+                lo, hi = (int(to[first - 1]) if first else 0), int(to[last - 1])
+                docs += doc[first:last]
+                counts += sizes[first:last].tolist()
+                held.append(ids[lo:hi].astype(np.uint16))
+                waiting += hi - lo
+                first = last
                 if waiting >= SECTION:
                     flush()
         if docs:
@@ -360,20 +478,25 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, end: int
     return written(map_arrow(ordered, _writer(folder, path, end), "uri string, offset bigint, part int, section int, ids bigint"), "tokens-manifest")
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for m in batch.to_pylist():
-            with open_range(m["uri"], m["offset"]) as f:
-                docs, counts, ids = unpack_section(f)
-            ends = np.cumsum(counts)
-            raw = ids.astype("<u4").tobytes()
-            crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-            where = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(m["base"] + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(where, pa.array(ids.astype(np.int32)))], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+def _reader(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m in batch.to_pylist():
+                with open_range(m["uri"], m["offset"]) as f:
+                    docs, counts, ids = unpack_section(f)
+                ends = np.cumsum(counts)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
+                columns = {"doc_id": pa.array(docs, pa.int64()), "start": pa.array(m["base"] + ends - counts), "n_tokens": pa.array(counts.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())}
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of the files that a manifest lists; start counts over all files.
+def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of the files that a manifest lists; start counts over all files.
 
     Only a sum for each file comes to the driver.
     """
@@ -387,9 +510,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     inner = Window.partitionBy("part").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("inside", F.coalesce(F.sum("ids").over(inner), F.lit(0))).join(F.broadcast(bases), "part").select("uri", "offset", (F.col("before") + F.col("inside")).alias("base"))
     spread = placed.repartition(max(1, manifest.count()))
-    return map_arrow(spread, _reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return map_arrow(spread, _reader(with_ids), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def token_round_trip(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) for every row of docs, as read back from the files."""
-    return read_tokens(write_tokens(docs, path, end=end)).drop("ids")
+    return read_tokens(write_tokens(docs, path, end=end), with_ids=False)
