@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -52,8 +53,8 @@ SMALL, LOW31, WINDOW, WORD = 1 << 31, (1 << 31) - 1, (1 << 63) - 1, (1 << 32) -
 FIELDS = (0xFFFF << 32) | 0xFFFF
 STEP, LEAST, MOST = 4, 32, FIRST - 4096
 GAIN = np.array([(a << 32 | b) >> STEP for a, b in ((LEAST, LEAST), (LEAST, MOST), (MOST, LEAST))], np.int64)
-#: Words held by a worker, and bytes whose new words are tokenized together.
-CACHE, RUN = 1_000_000, 16 << 20
+#: Words held by a worker, bytes whose new words are tokenized together, and plain words to a call.
+CACHE, RUN, LINE = 1_200_000, 16 << 20, 500
 
 
 def first_weights() -> np.ndarray:
@@ -298,6 +299,7 @@ _KIND[39] = 4
 _CUT = np.zeros((2, 8, 8), bool)
 _CUT[:, 0, 1:6] = True
 _CUT[1, 1, 2:5] = _CUT[1, 2, [1, 3, 4]] = _CUT[1, 3, 1:3] = _CUT[1, 4, 2] = True
+PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
 #: Fixed value: the pre-tokenizing pattern whose pieces are letters, single digits, runs of the rest, and contractions.
 LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -318,9 +320,20 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = json.dumps(spec.get("pre_tokenizer"))
-        self.cut = _CUT[int(json.dumps(LETTERS_APART) in pre)].reshape(-1)
+        apart = json.dumps(LETTERS_APART) in json.dumps(spec.get("pre_tokenizer"))
+        self.cut = _CUT[int(apart)].reshape(-1)
         self.fold = LOWER if '"Lowercase"' in json.dumps(spec.get("normalizer")) else np.arange(256, dtype=np.uint8)
+        self.plain, mark = None, spec["model"].get("end_of_word_suffix")
+        if apart and mark:
+            # A word of small letters is one piece of the pattern and its own normal form; nothing but bytes is left to do.
+            from tokenizers import normalizers, pre_tokenizers
+
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.inner.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(mark)]] = True
         self.special = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
         self.clear()
 
@@ -330,23 +343,31 @@ class WordTokenizer:
         self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        """Tokenize words that are not held; the white space after a word is no part of it, but of its key."""
-        bare = [w.rstrip(b" \t\n\v\f\r") for w in words]
-        once = dict.fromkeys(bare)
-        at = []
-        for e in self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in once], add_special_tokens=False):
-            ids = e.ids
-            at.append((self.used, len(ids)))
-            while len(self.ids) < self.used + len(ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        """Tokenize words that are not held: plain ones many to a call, each up to the id that ends a word."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [bool(PLAIN_WORD(t)) for t in texts] if self.plain else [False] * len(texts)
+        order = [w for w, p in zip(words, plain, strict=True) if p] + [w for w, p in zip(words, plain, strict=True) if not p]
+        ready = [t for t, p in zip(texts, plain, strict=True) if p]
+        other = [t for t, p in zip(texts, plain, strict=True) if not p]
+        lines = [" ".join(ready[i : i + LINE]) for i in range(0, len(ready), LINE)]
+        fresh = [np.array(e.ids, np.int32) for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)] if lines else []
+        ends = np.concatenate([[0], np.flatnonzero(self.ends[np.concatenate(fresh)]) + 1]) if fresh else np.zeros(1, np.int64)
+        size = [np.diff(ends)]
+        if len(size[0]) != len(ready):
+            raise ValueError("a plain word does not end with a piece that ends words")
+        found = [e.ids for e in self.inner.encode_batch_fast(other, add_special_tokens=False)]
+        size.append(np.fromiter(map(len, found), np.int64, len(found)))
+        fresh.append(np.fromiter((i for ids in found for i in ids), np.int32, int(size[1].sum())))
+        ids, size = np.concatenate(fresh), np.concatenate(size)
         n = len(self.words)
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.size) < n + len(words):
             self.size, self.first = (np.concatenate([a, np.zeros_like(a)]) for a in (self.size, self.first))
-        place = dict(zip(once, at, strict=True))
-        self.first[n : n + len(words)], self.size[n : n + len(words)] = np.array([place[w] for w in bare], np.int64).T
-        self.words.update(zip(words, range(n, n + len(words)), strict=True))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[n : n + len(words)], self.first[n : n + len(words)] = size, self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        self.words.update(zip(order, range(n, n + len(words)), strict=True))
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.inner.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
@@ -364,16 +385,19 @@ class WordTokenizer:
 
     def _run(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
-        low = self.fold[data]
-        raw = low.tobytes()
+        raw = self.fold[data].tobytes()
         kind = _KIND[data]
         pair = kind[:-1] << 3
         pair |= kind[1:]
         cut = self.cut[pair]
         inside = offsets[1:-1]
         cut[inside[(inside > 0) & (inside < len(data))] - 1] = True
-        edges = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(data)]]).astype(np.int32) if len(data) else np.zeros(1, np.int32)
-        keys = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+        # White space is left out; what is between edges is then all of a word.
+        solid = kind != 0
+        before = np.concatenate([[0], np.cumsum(solid, dtype=np.int32)])
+        edges = before[np.concatenate([[0], np.flatnonzero(cut) + 1, [len(data)]])]
+        edges = edges[np.concatenate([[True], edges[1:] > edges[:-1]])].astype(np.int32)
+        keys = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(self.fold[data[solid]])]).dictionary_encode()
         spelt = keys.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) + len(spelt) > CACHE or self.used > 8 * CACHE:
             self.clear()
@@ -385,7 +409,7 @@ class WordTokenizer:
         size = self.size[word]
         first = self.first[word]
         # Where each text's words end; a text spelling out a special token is put in whole, in place of its words.
-        stops = np.searchsorted(edges, offsets)
+        stops = np.searchsorted(edges, before[offsets])
         lasts = np.concatenate([[0], np.cumsum(size)])
         counts = np.diff(lasts[stops])
         total = int(lasts[-1])
