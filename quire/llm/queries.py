@@ -110,4 +110,21 @@ ORACLES: dict[str, str] = {
         c as (select doc_id, min(c) as component_id from r group by doc_id)
         select n.doc_id, n.n as n_shingles, component_id, n.doc_id = component_id as kept from n join c using (doc_id)
     """,
+    "op9_deep_shallow_suffixes": """
+        with b as (select doc_id, encode(coalesce(text, '')) as b from documents),
+        n as (select doc_id, b, octet_length(b) as n from b),
+        w as (select doc_id, i, b[i + 1 : i + 50] as s from (select doc_id, b, unnest(range(n - 49)) as i from n where n >= 50)),
+        g as (select s, min(doc_id) as least from w group by s),
+        h as (select w.doc_id, w.i from w join g using (s) where w.doc_id > g.least),
+        o as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from h),
+        r as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from o),
+        c as (select doc_id, run, min(i) as a, max(i) + 50 as z from r group by doc_id, run),
+        k as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as lo, a as hi from c
+              union all select doc_id, max(z), null from c group by doc_id),
+        p as (select k.doc_id, string_agg(hex(b[lo + 1 : coalesce(hi, n)]), '' order by lo) as kept from k join n using (doc_id) where lo < coalesce(hi, n) group by k.doc_id),
+        t as (select doc_id, sum(z - a)::bigint as removed, count(*) as spans from c group by doc_id)
+        select n.doc_id, n.n::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+               case when t.doc_id is null then sha256(b) else sha256(unhex(coalesce(kept, ''))) end as kept_sha256
+        from n left join t using (doc_id) left join p using (doc_id)
+    """,
 }

@@ -8,17 +8,21 @@ what stands before them, read backwards.
 1. Exact copies answer to the document of their class with the least doc_id and take no further part.
 2. Anchors are dealt by hash; those that occur in two documents make candidates.
 3. Of a candidate, the LENGTH - ANCHOR bytes on either side are dealt by the anchor's hash. Anchored suffixes are
-   ordered by their first SHALLOW bytes, an array sort by 8-byte words over all groups at once, which stands in for
-   the method's multikey quicksort; equal contexts are set together by a hash, and blind tries order
-   the groups that still share their prefix. Common prefixes of neighbours then tell, for every length, which suffixes
-   and which reversed prefixes agree; a string is the pair of the two, and its least doc_id decides.
+   ordered by their first SHALLOW bytes in a multikey quicksort whose characters are 8-byte words, all groups a round at
+   a time; blind tries order the runs that still share their prefix, one of each equal text. Common prefixes of
+   neighbours then tell, for every length, which suffixes and which reversed prefixes agree; a string is the pair of the
+   two, and its least doc_id decides.
 4. Covered ranges go back to their documents.
 
 Copies in one batch settle there: of equal contexts only that of the least doc_id travels, of an anchor only one
-occurrence, so a passage in a third of all documents costs each bucket one row for each batch.
+occurrence, so a passage in a third of all documents costs each bucket one row for each batch. Contexts and texts are
+compared byte for byte; only anchors (64-bit hashes of 20 bytes, whose surroundings must agree too) and exact copies (md5
+and length) are known by hash.
 
 Nulls and empty texts: nothing removed. A null doc_id: neither removed from nor a source. Rows repeated under one doc_id
-are no source for one another. Texts are handled as bytes, whole, and never joined.
+are no source for one another; of ties on the least doc_id no one row is chosen. Texts are handled as bytes, whole, and
+never joined; time grows with their length, however much of itself a text repeats. An empty table gives no rows. Other
+columns of docs are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +34,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ from quire.llm.words import MASK, column_bytes, mix, powers
 LENGTH, ANCHOR = 50, 20
 SIDE = LENGTH - ANCHOR
 #: Bytes of text of a bucket, and bytes of the right-hand context that the shallow sort looks at.
-BUCKET, SHALLOW = 4 << 20, 8
+BUCKET, SHALLOW = 4 << 20, 16
 #: Anchors at a time when a document is longer.
 PIECE = 1 << 20
 
@@ -55,45 +58,29 @@ def anchors(data: np.ndarray, width: int = SIDE + 1, size: int = ANCHOR) -> tupl
         c = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p[: len(part)], out=c[1:])
         h = mix((c[size:] - c[:-size]) * q[: len(c) - size])
-        least, span = h, 1
-        while span * 2 <= width:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < width:
-            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        m = len(least)
-        pos = _leftmost(h, least, width) + at
+        pos = leftmost_least(h, width) + at
         new = np.concatenate([[pos[0] != last], pos[1:] != pos[:-1]])
         pos = pos[new]
         out_p.append(pos)
         out_h.append(h[pos - at])
         if len(pos):
             last = int(pos[-1])
-        at += m
+        at += len(h) - width + 1
     if not out_p:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out_h), np.concatenate(out_p)
 
 
-def _leftmost(h: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
-    """For each window start i, the first position in [i, i + width) whose hash is the window's least."""
-    m = len(least)
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    order = np.argsort(h, kind="stable")
-    ranked = h[order]
-    # Within a run of equal leasts the position is fixed unless the value occurs twice; look each run's value up.
-    lo = np.searchsorted(ranked, least[starts], "left")
-    hi = np.searchsorted(ranked, least[starts], "right")
-    ends = np.concatenate([starts[1:], [m]])
-    single = hi - lo == 1
-    fixed = order[np.minimum(lo, len(order) - 1)]
-    run = np.repeat(np.arange(len(starts)), ends - starts)
-    out = fixed[run]
-    for r in np.flatnonzero(~single):
-        places = np.sort(order[lo[r] : hi[r]])
-        i = np.arange(starts[r], ends[r])
-        out[starts[r] : ends[r]] = places[np.searchsorted(places, i)]
-    return out
+def leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
+    """For each run [i, i + width), the first position that holds its least value; runs double, so all are found in few passes."""
+    least, where, span = h, np.arange(len(h), dtype=np.int64), 1
+    while span < width:
+        step = min(span, width - span)  # two runs of `span`, the last pair overlapping, make one of span + step
+        later = least[step:] < least[:-step]
+        where = np.where(later, where[step:], where[:-step])
+        least = np.minimum(least[step:], least[:-step])
+        span += step
+    return where
 
 
 def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -155,6 +142,49 @@ def _common(a: bytes, b: bytes) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
+def multikey_quicksort(groups: np.ndarray, words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, number of the run) by the first `depth` words within groups, in ascending order of groups.
+
+    A string's characters are its 8-byte words. Every run that is not settled is parted into those below, at and above a
+    pivot, the median of its first, middle and last word; those at it go on with the next word. All runs of a round are
+    parted together, each by counting.
+    """
+    m = len(groups)
+    order = np.argsort(groups, kind="stable")
+    first = np.concatenate([[True], groups[order][1:] != groups[order][:-1]]) if m else np.zeros(0, bool)
+    start = np.flatnonzero(first)
+    level = np.zeros(len(start), np.int64)
+    while True:
+        size = np.diff(np.concatenate([start, [m]]))
+        todo = np.flatnonzero((size > 1) & (level < depth))
+        if not len(todo):
+            return order, np.repeat(np.arange(len(start)), size)
+        lo, n = start[todo], size[todo]
+        run = np.repeat(np.arange(len(todo)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = np.repeat(lo, n) + at
+        key = words[order[place], level[todo][run]]
+        edge = np.cumsum(n) - n
+        pivot = np.sort(np.stack([key[edge], key[edge + n // 2], key[edge + n - 1]]), axis=0)[1]
+        side = (key > pivot[run]).astype(np.int8) - (key < pivot[run]) + np.int8(1)
+        counts = np.stack([np.add.reduceat((side == k).astype(np.int64), edge) for k in range(3)])
+        base = np.stack([np.zeros_like(lo), counts[0], counts[0] + counts[1]]) + lo
+        moved = np.empty_like(place)
+        for k in range(3):
+            mine = side == k
+            rank = np.cumsum(mine) - mine
+            moved[mine] = base[k][run[mine]] + (rank - rank[edge][run])[mine]
+        order[moved] = order[place]
+        # The runs of the next round: three for each that was parted, where there is anything in them.
+        parts = base.T.reshape(-1)[(counts > 0).T.reshape(-1)]
+        deeper = np.stack([level[todo], level[todo] + 1, level[todo]]).T.reshape(-1)[(counts > 0).T.reshape(-1)]
+        others = np.setdiff1d(np.arange(len(start)), todo, assume_unique=True)
+        start = np.concatenate([start[others], parts])
+        level = np.concatenate([level[others], deeper])
+        by = np.argsort(start, kind="stable")
+        start, level = start[by], level[by]
+
+
 def deep_shallow(groups: np.ndarray, texts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, common prefix with the one before; -1 at the start of a group) of texts[i, :lengths[i]] within groups."""
     m, width = texts.shape
@@ -162,22 +192,20 @@ def deep_shallow(groups: np.ndarray, texts: np.ndarray, lengths: np.ndarray) ->
     padded = np.zeros((m, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = shown
     words = padded.view(">u8").astype(np.uint64)
-    # Shallow: every group is parted by its next word, a level at a time.
-    order = np.argsort(groups, kind="stable")
-    tied = np.concatenate([[0], np.cumsum(groups[order][1:] != groups[order][:-1])]) if m else np.zeros(0, np.int64)
-    for w in range(SHALLOW // 8):
-        inner = np.lexsort((words[order, w], tied))
-        order, tied = order[inner], tied[inner]
-        key = words[order, w]
-        tied = np.concatenate([[0], np.cumsum((tied[1:] != tied[:-1]) | (key[1:] != key[:-1]))]) if m else tied
-    # Deep: equal texts stand together, one of each goes into its group's blind trie.
+    order, tied = multikey_quicksort(groups, words, SHALLOW // 8)
+    # Deep: equal texts stand together, and one of each goes into its run's blind trie. Equal ones are gathered by a hash
+    # and then compared; where a hash meets two texts, the run is gathered by the texts themselves.
     rest = np.full(m, 0x51ED270B, np.uint64) + lengths.astype(np.uint64)
     for w in range(SHALLOW // 8, words.shape[1]):
         rest = mix(rest ^ words[:, w])
-    inner = np.lexsort((rest[order], tied))
-    order, tied = order[inner], tied[inner]
+    order = order[np.lexsort((rest[order], tied))]
     if m:
-        same = np.concatenate([[False], (tied[1:] == tied[:-1]) & (rest[order][1:] == rest[order][:-1])])
+        alike = (tied[1:] == tied[:-1]) & (rest[order][1:] == rest[order][:-1])
+        equal = (words[order[1:]] == words[order[:-1]]).all(1) & (lengths[order[1:]] == lengths[order[:-1]])
+        if (alike & ~equal).any():
+            order = order[np.lexsort((lengths[order], *(words[order, w] for w in range(words.shape[1])), tied))]
+            equal = (words[order[1:]] == words[order[:-1]]).all(1) & (lengths[order[1:]] == lengths[order[:-1]])
+        same = np.concatenate([[False], (tied[1:] == tied[:-1]) & equal])
         first = np.flatnonzero(~same)
         group = tied[first]
         edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
@@ -395,8 +423,9 @@ def _cut_contexts(buckets: int):
         key = mix(h ^ mix(_row_hash(l) ^ mix(_row_hash(r))))
         order = np.lexsort((d, key))
         start = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        least = d[order][np.flatnonzero(start)][np.cumsum(start) - 1]
-        settled = d[order] > least
+        head = order[np.flatnonzero(start)[np.cumsum(start) - 1]]
+        alike = (h[order] == h[head]) & (l[order] == l[head]).all(1) & (r[order] == r[head]).all(1)
+        settled = (d[order] > d[head]) & alike
         out = []
         if settled.any():
             i = order[settled]
@@ -483,9 +512,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     buckets = max(1, -(-int(total) // BUCKET))
 
     def place(c: str) -> Column:
-        return F.coalesce(F.pmod(F.xxhash64(c), F.lit(buckets)), F.lit(0)).cast("int").alias("bucket")
+        return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket")
 
-    texts = plain.select(place("id"), "id", "text")
+    # Rows without a doc_id meet no other; they are dealt by their texts.
+    texts = plain.select(F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(buckets)).cast("int").alias("bucket"), "id", "text")
     none = F.lit(None).cast("binary")
     keepers = plain.where("id is not null").groupBy(F.unhex(F.md5("text")).alias("digest"), F.octet_length("text")).agg(F.min("id").alias("id")).select(place("id"), "id", "digest", none.alias("d"), none.alias("s"), none.alias("e"))
     grouped = texts.groupBy("bucket")

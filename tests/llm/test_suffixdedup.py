@@ -1,11 +1,12 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.suffixdedup import ANCHOR, LENGTH, BlindTrie, anchors, bucket_of, deep_shallow, remove_repeats
+from quire.llm.suffixdedup import ANCHOR, LENGTH, BlindTrie, anchors, bucket_of, deep_shallow, leftmost_least, multikey_quicksort, remove_repeats
 from tests.llm import corpus
 
 
@@ -104,3 +105,33 @@ def test_buckets_are_sparks(spark):
     ids = [0, 1, -1, 5, 2**62, -(2**63), 123456789]
     want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i bigint").selectExpr("pmod(xxhash64(i), 97)").collect()]
     assert bucket_of(np.array(ids, np.int64), 97).tolist() == want
+
+
+def test_leftmost_least_of_every_run():
+    r = np.random.Generator(np.random.PCG64(3))
+    for width in (1, 2, 5, 16, 31, 33):
+        h = r.integers(0, 9, 400).astype(np.uint64)
+        assert leftmost_least(h, width).tolist() == [i + int(np.argmin(h[i : i + width])) for i in range(len(h) - width + 1)]
+
+
+def test_multikey_quicksort_parts_groups_by_their_words():
+    r = np.random.Generator(np.random.PCG64(4))
+    for n in (0, 1, 2, 50, 900):
+        groups, words = r.integers(0, 6, n), r.integers(0, 3, (n, 4)).astype(np.uint64)
+        words[: n // 2] = 7
+        for depth in (0, 1, 2):
+            order, run = multikey_quicksort(groups, words, depth)
+            keys = [(int(groups[i]), *words[i, :depth].tolist()) for i in order]
+            assert sorted(order.tolist()) == list(range(n)) and keys == sorted(keys)
+            assert [a == b for a, b in zip(keys, keys[1:])] == (np.diff(run) == 0).tolist()
+
+
+def test_texts_that_repeat_themselves_take_time_by_their_length(spark):
+    line = ("".join(random.Random(5).choices("abcdefgh ", k=99)) + "\n").encode()
+    start = time.process_time()
+    h, p = anchors(np.frombuffer(line * 100_000, np.uint8))
+    assert time.process_time() - start < 20 and len(np.unique(h)) < 40 and len(p) > 100_000
+    text = line.decode() * 3000
+    rows = [(1, "x" + text, "aa", "s", 0), (2, text + "y", "aa", "s", 0), (None, text, "aa", "s", 0), (None, text, "aa", "s", 0)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeats(corpus.frame(spark, rows)).collect()}
+    assert got == {1: (0, 0), 2: (300_000, 1), None: (0, 0)}
