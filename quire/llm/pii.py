@@ -8,7 +8,10 @@ each labeler's reliability without labels, and a logistic span classifier is tra
 as a column expression. Spans that pass the base rules always stay; looser ones join where the classifier accepts them
 and they overlap no span found before. Offsets are code points, ends exclusive.
 
-Nulls and empty texts: no spans. A null doc_id stays a row. Repeated rows are answered each.
+Nulls and empty texts: no spans. A null doc_id stays a row. Repeated rows are answered each. Ties: of loose spans that
+overlap, the first by kind stays. Long texts: work grows with the text and its spans (and their number squared / 64 in
+sums of blocks). An empty table gives no rows, and a classifier that accepts nothing. Other columns of docs are never read
+by find_private; redact packs a row into one struct, so their names cannot clash with its own.
 """
 
 from __future__ import annotations
@@ -61,16 +64,39 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit>> of the leftmost non-overlapping matches, in code points.
+def _running_max(values: Column) -> Column:
+    """Of each place of an array of bigint, the greatest value before it (null at first), by blocks of O(BLOCK) each."""
+    top = lambda xs: F.array_max(xs)
 
-    Starts are running sums of what lies between and in the matches, by blocks, so that they take O(BLOCK) each.
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: top(F.slice(v, b * BLOCK + 1, BLOCK)))
+
+    def placed(p: Column) -> Column:
+        return F.transform(p["v"], lambda x, i: F.greatest(F.get(p["before"], F.floor(i / BLOCK).cast("int")), top(F.slice(p["v"], (F.floor(i / BLOCK) * BLOCK + 1).cast("int"), (i % BLOCK).cast("int")))))
+
+    def whole(v: Column) -> Column:
+        before = _let(blocks(v), lambda m: F.transform(m, lambda x, i: top(F.slice(m, F.lit(1), i))))
+        return _let(F.struct(v.alias("v"), before.alias("before")), placed)
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<bigint>")))
+
+
+_HITS = "array<struct<start:bigint,end:bigint,hit:string,ahead:string>>"
+
+
+def _matches(text: Column, pattern: str, least: int = 1) -> Column:
+    """array<struct<start, end, hit, ahead>> of the leftmost non-overlapping matches of at least so many code points.
+
+    Offsets are code points. Starts are running sums of what lies between and in the matches, by blocks, so that they take
+    O(BLOCK) each; ahead is the CONTEXT code points before a match, put together from what lies just before it, so that
+    no match walks through the text.
     """
     found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
 
     def spans(f: Column) -> Column:
-        gaps, hits = F.transform(f["gaps"], lambda x: F.length(x).cast("bigint")), f["hits"]
-        return _let(F.struct(gaps.alias("gaps"), hits.alias("hits"), F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: g + F.length(h)).alias("steps")), placed)
+        gaps = F.transform(f["gaps"], lambda x: F.length(x).cast("bigint"))
+        steps = F.zip_with(F.slice(gaps, 1, F.size(f["hits"])), f["hits"], lambda g, h: g + F.length(h))
+        return _let(F.struct(gaps.alias("gaps"), f["gaps"].alias("between"), f["hits"].alias("hits"), steps.alias("steps")), placed)
 
     def placed(p: Column) -> Column:
         n = F.size(p["hits"])
@@ -78,16 +104,31 @@ def _matches(text: Column, pattern: str) -> Column:
         sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: add(F.slice(p["steps"], b * BLOCK + 1, BLOCK)))
         before = _let(sums, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda b: add(F.slice(s, F.lit(1), b))))
 
+        def ahead(i: Column) -> Column:
+            # A match and what is before it have two code points at least, so half of CONTEXT of them reach CONTEXT back.
+            k = F.least(i, F.lit(CONTEXT // 2))
+            near = F.zip_with(F.slice(p["between"], i - k + 1, k), F.slice(p["hits"], i - k + 1, k), lambda g, h: F.concat(_last(g), h))
+            return _last(F.concat(F.array_join(near, ""), _last(F.get(p["between"], i))))
+
         def one(b: Column) -> Column:
-            return F.transform(p["hits"], lambda h, i: _let(F.get(b, F.floor(i / BLOCK).cast("int")) + add(F.slice(p["steps"], F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)) + F.get(p["gaps"], i), lambda at: F.struct(at.alias("start"), (at + F.length(h)).alias("end"), h.alias("hit"))))
+            def at(h: Column, i: Column) -> Column:
+                start = F.get(b, F.floor(i / BLOCK).cast("int")) + add(F.slice(p["steps"], F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)) + F.get(p["gaps"], i)
+                return _let(start, lambda s: F.struct(s.alias("start"), (s + F.length(h)).alias("end"), h.alias("hit"), F.when(F.length(h) >= least, ahead(i)).alias("ahead")))
 
-        return F.when(n > 0, _let(before, one)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>"))
+            return F.filter(F.transform(p["hits"], at), lambda s: s["end"] - s["start"] >= least)
+
+        return F.when(n > 0, _let(before, one)).otherwise(F.array().cast(_HITS))
 
     return _let(found, spans)
 
 
+def _last(x: Column) -> Column:
+    """The last CONTEXT code points."""
+    return F.when(F.length(x) > CONTEXT, F.right(x, F.lit(CONTEXT))).otherwise(x)
+
+
 def _if(test: Column, spans: Column) -> Column:
-    return F.when(test, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>"))
+    return F.when(test, spans).otherwise(F.array().cast(_HITS))
 
 
 def _digits(hit: Column) -> Column:
@@ -115,16 +156,14 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, 0).otherwise(-1)
 
 
-def _labeled(text: Column, kind: str, spans: Column, base: Callable[[Column], Column], loose: bool, gazetteer, shape) -> Column:
+def _labeled(kind: str, spans: Column, base: Callable[[Column], Column], loose: bool, gazetteer, shape) -> Column:
     def one(s: Column) -> Column:
-        ahead = F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), s["start"]).cast("int"))
-
         def seen(x: Column) -> Column:
             passed = x["passed"]
             rule = F.lit(-1) if loose else F.when(passed, 1).otherwise(0)
             return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(False) if loose else passed).alias("base"), F.lit(loose).alias("loose"), rule.alias("rule"), gazetteer(s["hit"], x["digits"]).alias("gazetteer"), _vote(x["ahead"].rlike(YES_WORDS[kind]), x["ahead"].rlike(NO_WORDS)).alias("context"), shape(s["hit"], x["digits"]).alias("shape"))
 
-        return _let(F.struct(ahead.alias("ahead"), _digits(s["hit"]).alias("digits"), base(s["hit"]).alias("passed")), seen)
+        return _let(F.struct(s["ahead"].alias("ahead"), _digits(s["hit"]).alias("digits"), base(s["hit"]).alias("passed")), seen)
 
     return F.transform(spans, one).cast(_SPAN)
 
@@ -147,18 +186,18 @@ def candidates(text: Column) -> Column:
     has = lambda s: F.contains(text, F.lit(s))
     digit = text.rlike("[0-9]")
     never = lambda h: F.lit(False)
-    numbers = _if(digit, F.filter(_matches(text, DIGITS), lambda s: (s["end"] - s["start"] >= 13)))
+    numbers = _if(digit, _matches(text, DIGITS, 13))
     parts = [
-        _labeled(text, "email", _if(has("@"), _matches(text, EMAIL)), lambda h: F.lit(True), False, gaz["email"], shape["email"]),
-        _labeled(text, "email", _if(has("(at)") | has("[at]"), _matches(text, LOOSE_EMAIL)), never, True, gaz["email"], shape["email"]),
-        _labeled(text, "ip", _if(digit, _matches(text, IP)), _octets, False, gaz["ip"], shape["ip"]),
-        _labeled(text, "ip", _if(digit & has(":"), _matches(text, LOOSE_IP)), never, True, gaz["ip"], shape["ip"]),
+        _labeled("email", _if(has("@"), _matches(text, EMAIL)), lambda h: F.lit(True), False, gaz["email"], shape["email"]),
+        _labeled("email", _if(has("(at)") | has("[at]"), _matches(text, LOOSE_EMAIL)), never, True, gaz["email"], shape["email"]),
+        _labeled("ip", _if(digit, _matches(text, IP)), _octets, False, gaz["ip"], shape["ip"]),
+        _labeled("ip", _if(digit & has(":"), _matches(text, LOOSE_IP)), never, True, gaz["ip"], shape["ip"]),
         _let(numbers, lambda ns: F.concat(
-            _labeled(text, "card", F.filter(ns, lambda s: n(_digits(s["hit"])).between(16, 19)), lambda h: _luhn(_digits(h)), False, gaz["card"], shape["card"]),
-            _labeled(text, "card", F.filter(ns, lambda s: n(_digits(s["hit"])).between(13, 15) & _luhn(_digits(s["hit"]))), never, True, gaz["card"], shape["card"]),
+            _labeled("card", F.filter(ns, lambda s: n(_digits(s["hit"])).between(16, 19)), lambda h: _luhn(_digits(h)), False, gaz["card"], shape["card"]),
+            _labeled("card", F.filter(ns, lambda s: n(_digits(s["hit"])).between(13, 15) & _luhn(_digits(s["hit"]))), never, True, gaz["card"], shape["card"]),
         )),
-        _labeled(text, "phone", _if(has("+"), _matches(text, PHONE)), lambda h: n(_digits(h)).between(8, 15), False, gaz["phone"], shape["phone"]),
-        _labeled(text, "phone", _if(digit, _matches(text, LOOSE_PHONE)), never, True, gaz["phone"], shape["phone"]),
+        _labeled("phone", _if(has("+"), _matches(text, PHONE)), lambda h: n(_digits(h)).between(8, 15), False, gaz["phone"], shape["phone"]),
+        _labeled("phone", _if(digit, _matches(text, LOOSE_PHONE)), never, True, gaz["phone"], shape["phone"]),
     ]
     return F.concat(*parts)
 
@@ -225,27 +264,43 @@ def fit(held: DataFrame, column: str = "spans") -> SpanClassifier:
     return SpanClassifier([tuple(r) for r in votes.groupBy("kind", "loose", *VOTERS).count().collect()])
 
 
-def _overlaps(s: Column, others: Column) -> Column:
-    return F.exists(others, lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+def add_clear(df: DataFrame, name: str, spans: Column, others: Column) -> DataFrame:
+    """df with a column of those of spans that overlap none of others.
 
+    In order of starts, no other that began before may reach into a span, and the next other begins at its end or later.
+    Steps are columns of their own, for Spark resolves nested functions a level at a time.
+    """
+    low, plain = F.lit(-1).cast("bigint"), F.array().cast("array<struct<start:bigint,mine:boolean,end:bigint,kind:string>>")
 
-def accepted(cands: Column, model: SpanClassifier) -> Column:
-    """Base spans and the loose ones that the classifier accepts, by kind as listed, then by start."""
-    base = F.filter(cands, lambda s: s["base"])
+    def marked(xs: Column, mine: bool) -> Column:
+        return F.transform(xs, lambda s: F.struct(s["start"].alias("start"), F.lit(mine).alias("mine"), s["end"].alias("end"), s["kind"].alias("kind")))
 
-    def grown(b: Column) -> Column:
-        extra = F.filter(cands, lambda s: s["loose"] & (model.probability(s) >= ACCEPT))
+    # Others come before spans of the same start, for they then reach into them. Nothing to compare: nothing is sorted.
+    both = F.when((F.size(spans) > 0) & (F.size(others) > 0), F.array_sort(F.concat(marked(others, False), marked(spans, True)))).otherwise(plain)
+    df = df.withColumns({"_spans": spans, "_all": both})
+    df = df.withColumn("_reach", _running_max(F.transform("_all", lambda s: F.when(s["mine"], low).otherwise(s["end"]))))
+    df = df.withColumn("_next", F.reverse(_running_max(F.transform(F.reverse("_all"), lambda s: F.when(~s["mine"], -s["start"])))))
+    # Bound, or the optimiser would put the running values' whole expressions where each element asks for its own.
+    free = _let(F.struct(F.col("_all").alias("all"), F.col("_reach").alias("reach"), F.col("_next").alias("next")), lambda p: F.transform(p["all"], lambda s, i: F.when(s["mine"] & (F.coalesce(F.get(p["reach"], i), low) <= s["start"]) & F.coalesce(-F.get(p["next"], i) >= s["end"], F.lit(True)), F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))))
+    alone = F.transform("_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    df = df.withColumn(name, F.when(F.size("_all") > 0, F.filter(free, lambda s: s.isNotNull())).otherwise(alone))
+    return df.drop("_spans", "_all", "_reach", "_next")
 
-        def clear(x: Column) -> Column:
-            kept = F.filter(x, lambda s: ~_overlaps(s, b))
-            # Of loose spans that overlap one another, the first by kind, then by start, stays.
-            return F.filter(kept, lambda s, i: ~_overlaps(s, F.slice(kept, F.lit(1), i)))
 
-        both = _let(extra, lambda x: F.when(F.size(x) > 0, F.concat(b, _let(x, clear))).otherwise(b))
-        rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
-        return F.transform(F.sort_array(F.transform(both, lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+def add_accepted(df: DataFrame, name: str, cands: str, model: SpanClassifier) -> DataFrame:
+    """df with the base spans and the loose ones that the classifier accepts, by kind as listed, then by start.
 
-    return _let(base, grown)
+    Loose spans are taken kind by kind; each that overlaps no base span and no loose one taken before joins. Spans of one
+    kind do not overlap one another, so a rejected span keeps no other out.
+    """
+    plain = lambda xs: F.transform(xs, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    df = df.withColumns({"_held": plain(F.filter(cands, lambda s: s["base"])), "_extra": plain(F.filter(cands, lambda s: s["loose"] & (model.probability(s) >= ACCEPT)))})
+    for kind in KINDS:
+        df = add_clear(df, "_more", F.filter("_extra", lambda s: s["kind"] == kind), F.col("_held"))
+        df = df.withColumn("_held", F.concat("_held", "_more")).drop("_more")
+    rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
+    ordered = F.sort_array(F.transform("_held", lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return df.withColumn(name, plain(ordered)).drop("_held", "_extra")
 
 
 def spans_text(spans: Column) -> Column:
@@ -259,7 +314,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     model = fit(held, "cands")
     base = F.filter("cands", lambda s: s["base"])
     count = lambda k: F.size(F.filter("cands", lambda s: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}")
-    done = held.withColumn("found", accepted(F.col("cands"), model))
+    done = add_accepted(held, "found", "cands", model)
     return done.select("doc_id", *[count(k) for k in KINDS], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"), (F.size("found") - F.size(base)).cast("bigint").alias("n_added"))
 
 
@@ -268,17 +323,32 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
     held = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text")).select("row", "text", candidates(F.coalesce("text", F.lit(""))).alias("cands")), "pii-redaction")
     model = fit(held, "cands")
-    by_start = F.sort_array(F.transform(accepted(F.col("cands"), model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = add_accepted(held, "found", "cands", model)
+    by_start = F.sort_array(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def cut(spans: Column) -> Column:
-        none = F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast("array<string>").alias("parts"))
+        """Spans by start; the text is cut a BLOCK of spans at a time, and each such stretch at its spans."""
+        reach = _running_max(F.transform(spans, lambda s: s["end"]))
+        done = lambda p, i: F.coalesce(F.get(p["reach"], i), F.lit(0).cast("bigint"))
+
+        def stretch(p: Column, b: Column) -> Column:
+            low = done(p, b * BLOCK)
+            last = F.least((b + 1) * BLOCK, F.size(p["spans"])) - 1
+            part = F.substring(F.col("text"), (low + 1).cast("int"), F.greatest(F.lit(0), F.get(p["spans"], last)["start"] - low).cast("int"))
+
+            def tag(q: Column, s: Column, i: Column) -> Column:
+                at = done(p, b * BLOCK + i)
+                return F.when(s["start"] >= at, F.concat(F.substring(q, (at - low + 1).cast("int"), (s["start"] - at).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
+
+            return _let(part, lambda q: F.array_join(F.transform(F.slice(p["spans"], b * BLOCK + 1, BLOCK), lambda s, i: tag(q, s, i)), ""))
 
-        def step(a: Column, s: Column) -> Column:
-            tag = F.concat(F.substring(F.col("text"), (a["end"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - a["end"]).cast("int")), F.when(s["start"] >= a["end"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(""))
-            return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.concat(a["parts"], F.array(tag)).alias("parts"))
+        def whole(p: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p["spans"]) - 1) / BLOCK).cast("int")), lambda b: stretch(p, b))
+            end = F.array_max(F.transform(p["spans"], lambda s: s["end"]))
+            return F.concat(F.array_join(blocks, ""), F.substring(F.col("text"), (end + 1).cast("int"), F.length("text")))
 
-        return F.aggregate(spans, none, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), (a["end"] + 1).cast("int"), F.length("text"))))
+        return _let(F.struct(spans.alias("spans"), reach.alias("reach")), whole)
 
-    clean = held.withColumn("found", by_start).withColumn("clean", F.when(F.size("found") > 0, _let(F.col("found"), cut)).otherwise(F.col("text")))
+    clean = found.withColumn("found", by_start).withColumn("clean", F.when(F.size("found") > 0, _let(F.col("found"), cut)).otherwise(F.col("text")))
     out = [F.col("clean").cast(docs.schema[c].dataType).alias(c) if c == "text" else F.when(F.size("found") > 0, F.length("clean")).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in names]
     return clean.select(*out)

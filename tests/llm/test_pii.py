@@ -1,9 +1,13 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
-from quire.llm.pii import KINDS, SpanClassifier, find_private, redact
+from pyspark.sql import functions as F
+
+from quire.llm.pii import CONTEXT, KINDS, PHONE, SpanClassifier, _matches, add_accepted, add_clear, candidates, find_private, fit, redact
 from tests.llm import corpus
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -89,3 +93,50 @@ def test_model_tells_good_labelers_from_bad():
     m = SpanClassifier(patterns)
     assert min(m.reliability["rule"]) > 0.85 and max(m.reliability["gazetteer"]) < 0.75
     assert SpanClassifier([]).weights[0] < 0
+
+
+def test_spans_clear_of_others_are_those_of_brute_force(spark):
+    r = random.Random(6)
+    span = lambda: (a := r.randint(0, 400), a + r.randint(1, 12))
+    rows = [(k, [span() for _ in range(r.choice((0, 1, 5, 90)))], [span() for _ in range(r.choice((0, 1, 30, 150)))]) for k in range(60)]
+    kind = "array<struct<kind:string,start:bigint,end:bigint>>"
+    named = [(k, [("ip", *s) for s in own], [("card", *s) for s in others]) for k, own, others in rows]
+    got = add_clear(spark.createDataFrame(named, f"k int, own {kind}, others {kind}"), "c", F.col("own"), F.col("others")).select("k", "c").collect()
+    for k, c in got:
+        own, others = rows[k][1:]
+        assert sorted(tuple(s) for s in c) == sorted(("ip", a, b) for a, b in own if not any(a < d and x < b for x, d in others))
+
+
+def test_what_stands_before_a_match(spark):
+    t = "é" * 40 + "+12345678 a +87654321b+11111111 c " + "x" * 50 + "+22222222"
+    got = spark.createDataFrame([(t,)], "t string").select(_matches(F.col("t"), PHONE).alias("m")).first().m
+    assert len(got) == 4 and all(t[m.start : m.end] == m.hit and m.ahead == t[max(0, m.start - CONTEXT) : m.start] for m in got)
+
+
+def test_added_spans_are_those_taken_one_by_one(spark, data):
+    """The method's part: the classifier's loose spans, in order of kind and start, each clear of all held before."""
+    held = corpus.frame(spark, data).select("doc_id", candidates(F.coalesce("text", F.lit(""))).alias("c")).cache()
+    model = fit(held, "c")
+    rows = add_accepted(held.withColumn("p", F.transform("c", model.probability)), "a", "c", model).select("c", "p", "a").collect()
+    added = 0
+    for r in rows:
+        taken = [(s.kind, s.start, s.end) for s in r.c if s.base]
+        n = len(taken)
+        for s, p in sorted(((s, p) for s, p in zip(r.c, r.p, strict=True) if s.loose and p >= 0.5), key=lambda x: (KINDS.index(x[0].kind), x[0].start)):
+            if not any(s.start < b and a < s.end for _, a, b in taken):
+                taken.append((s.kind, s.start, s.end))
+        added += len(taken) - n
+        assert [tuple(x) for x in r.a] == sorted(taken, key=lambda x: (KINDS.index(x[0]), *x[1:]))
+    assert added > 0
+
+
+def test_a_hundred_thousand_candidates_in_one_text(spark):
+    one = "+49 170 1234567, tel 743-555-3824 x; "
+    text = one * 34_000
+    docs = corpus.frame(spark, [(1, text, "aa", "s", len(text)), (2, one, "aa", "s", len(one))])
+    start = time.monotonic()
+    got = {r.doc_id: r for r in find_private(docs).collect()}
+    assert got[1].n_phone == 34_000 and got[1].n_added in (0, 34_000)
+    clean = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert clean[1] == clean[2] * 34_000 and "<PHONE>" in clean[2]
+    assert time.monotonic() - start < 200
