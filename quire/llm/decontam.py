@@ -11,7 +11,7 @@ Windows have the lengths that items have, or a shorter document's own, and are l
 window of weight v that reaches similarity s with an item of weight w shares at least s / (1 + s) of v + w with it, so
 windows without that many benchmark shingles cannot pass and are not fingerprinted; nor can a document that weighs less
 than s of the item. A fingerprint's distance is a random
-quantity: at similarity 0.8 it averages 9.6 bits of 64 with a deviation of 2.9; the default radius lies 3.9 deviations
+quantity: at similarity 0.8 it averages 39 bits of 256 with a deviation of 5.7; the default radius lies 3.7 deviations
 above and keeps more than 99.9 per cent of such windows, all exact copies (distance 0) among them. Where a whole
 document meets items of no more shingles than a shingle has words, signs tie too often for that; those items are all
 verified.
@@ -20,7 +20,10 @@ The benchmark is broadcast with its index after its size is checked: MOST_ITEMS
 which items are taken in runs of that size, each over all documents.
 
 Items of fewer words than a shingle are one shingle, compared with windows of their own length; items without words are
-never found. Nulls and empty texts: no match. A null id: reported as it is. Rows repeated: each is answered.
+never found. Nulls and empty texts: no match. A null id: reported as it is. Rows repeated: each is answered. Ties: of
+windows equally like an item, the first is reported. Long texts: sums are held for STRETCH words at a time. An empty table
+of documents or items gives no match. Other columns of docs and items are never read by contaminated; decontaminate packs
+a row into one struct, so their names cannot clash with its own.
 """
 
 from __future__ import annotations
@@ -33,55 +36,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_arrow
-from quire.llm.words import mix, shingle_hashes, text_rows
+from quire.llm.common import map_arrow, written
+from quire.llm.words import MASK, mix, shingle_hashes, text_rows
 
-BITS, BLOCKS, RADIUS = 64, 4, 21
+BITS, BLOCKS, RADIUS = 256, 16, 60
 SHINGLE, SIMILARITY = 5, 0.8
 MOST_ITEMS, MOST_WORDS = 20_000, 2_000_000
-WINDOWS = 4096
+#: Windows fingerprinted together, and words of text whose bits are summed at a time.
+WINDOWS, STRETCH = 512, 8192
 
 
 def bit_signs(shingles: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each of the bits of each shingle's hash."""
-    bits = np.unpackbits(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return bits.astype(np.int32) * 2 - 1
+    """+1 or -1 for each of the bits of each shingle's hash, 64 to a word of it."""
+    words = [mix(shingles ^ np.uint64((0x5851F42D4C957F2D * (2 * k + 1)) & MASK)) for k in range(BITS // 64)]
+    bits = np.unpackbits(np.stack(words, axis=1).astype(">u8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
+    return bits.view(np.int8) * np.int8(2) - np.int8(1)
 
 
 def pack(sums: np.ndarray) -> np.ndarray:
-    """Fingerprints from the sums of signs, a row each."""
-    return np.packbits(sums > 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
+    """Fingerprints from the sums of signs, a row of 16-bit blocks each."""
+    return np.packbits(sums > 0, axis=1).view(">u2").astype(np.uint16)
 
 
 class BlockIndex:
-    """Finds every indexed fingerprint within the radius of a query."""
-
-    def __init__(self, prints: np.ndarray, blocks: int = BLOCKS, radius: int = RADIUS):
-        self.prints, self.blocks, self.radius = prints, blocks, radius
-        width = BITS // blocks
-        self.width, spread = width, radius // blocks
-        masks = np.array([sum(1 << b for b in some) for k in range(spread + 1) for some in combinations(range(width), k)], np.int64)
-        self.lists: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in range(blocks):
-            own = ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            keys = (own[:, None] ^ masks[None, :]).reshape(-1)
-            order = np.argsort(keys, kind="stable")
-            self.lists.append((keys[order].astype(np.uint32), (order // len(masks)).astype(np.int32)))
+    """Finds every indexed fingerprint within the radius of a query.
+
+    Of BLOCKS blocks, a fingerprint within the radius lies within radius // BLOCKS bits in one of the first
+    radius % BLOCKS + 1, or within one bit less in one of the others. Items are listed by each block's value, six bytes a
+    block; a query looks up all values that near its own.
+    """
+
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
+        self.prints, self.radius = prints, radius
+        self.lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for b in range(BLOCKS):
+            near = radius // BLOCKS - (b > radius % BLOCKS)
+            masks = np.array([sum(1 << i for i in some) for k in range(near + 1) for some in combinations(range(16), k)], np.uint16)
+            order = np.argsort(prints[:, b], kind="stable").astype(np.int32)
+            self.lists.append((masks, prints[order, b], order))
+
+    def met(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, item) pairs that share a near block, each once."""
+        found = [np.zeros(0, np.int64)]
+        for b, (masks, keys, items) in enumerate(self.lists):
+            tried = (queries[:, b][:, None] ^ masks[None, :]).reshape(-1)
+            start, end = np.searchsorted(keys, tried, "left"), np.searchsorted(keys, tried, "right")
+            hit = np.flatnonzero(end > start)
+            start, size = start[hit], (end - start)[hit]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+            found.append(np.repeat(hit // max(1, len(masks)), size) * np.int64(max(1, len(self.prints))) + items[at])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) pairs within the radius, each once."""
-        found = []
-        for b, (keys, items) in enumerate(self.lists):
-            key = ((queries >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
-            start = np.searchsorted(keys, key, "left")
-            size = np.searchsorted(keys, key, "right") - start
-            q = np.repeat(np.arange(len(queries)), size)
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-            i = items[at]
-            near = np.bitwise_count(queries[q] ^ self.prints[i]) <= self.radius
-            found.append(q[near] * np.int64(len(self.prints)) + i[near])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
+        q, i = self.met(queries)
+        near = np.bitwise_count(queries[q] ^ self.prints[i]).sum(1) <= self.radius
+        return q[near], i[near]
 
 
 class Benchmark:
@@ -99,7 +110,7 @@ class Benchmark:
                 every.append(s)
         self.known = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
         for n, items in sorted(by_length.items()):
-            prints = pack(np.stack([bit_signs(s).sum(0) for _, s in items]))
+            prints = pack(np.stack([bit_signs(s).sum(0, dtype=np.int32) for _, s in items]))
             weights = []
             for _, s in items:
                 v, c = np.unique(s, return_counts=True)
@@ -129,7 +140,6 @@ class Benchmark:
             if not shared.any():
                 continue
             count = np.concatenate([[0], np.cumsum(shared)])
-            signs = None
             for length, (ids, weights, _) in self.lengths.items():
                 if (size == self.size) != (length >= self.size) or (length < self.size and length != size):
                     continue
@@ -143,14 +153,19 @@ class Benchmark:
                 start = np.flatnonzero(count[held:] - count[:-held] >= need)
                 if not len(start):
                     continue
-                if signs is None:
-                    signs = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bit_signs(shingles), axis=0, dtype=np.int32)])
-                for lo in range(0, len(start), WINDOWS):
-                    here = start[lo : lo + WINDOWS]
+                lo = 0
+                while lo < len(start):
+                    # Windows that lie near one another, from running sums over their stretch alone.
+                    hi = min(lo + WINDOWS, int(np.searchsorted(start, start[lo] + STRETCH)))
+                    here = start[lo:hi]
+                    lo = hi
                     if held < held_item <= self.size:
                         q, item = np.zeros(len(ids), np.int64), np.arange(len(ids))
                     else:
-                        q, item = self.index(length).search(pack(signs[here + held] - signs[here]))
+                        first = int(here[0])
+                        signs = np.zeros((int(here[-1]) + held - first + 1, BITS), np.int32)
+                        np.cumsum(bit_signs(shingles[first : int(here[-1]) + held]), axis=0, dtype=np.int32, out=signs[1:])
+                        q, item = self.index(length).search(pack(signs[here + held - first] - signs[here - first]))
                     for k, i in zip(here[q].tolist(), item.tolist(), strict=True):
                         like = _weighted(shingles[k : k + held], weights[i], held + held_item)
                         if like >= self.similarity and like > best.get(ids[i], (0, 0, -1.0))[2]:
@@ -202,11 +217,13 @@ def _benchmarks(items: DataFrame, size: int, similarity: float) -> Iterator[Benc
 def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): the best window of each item found in each document."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
+    out = part = None
     for bench in _benchmarks(items, size, similarity):
+        if part is not None:  # another run follows: this one ends first, so that one run's items are held at a time
+            part = written(part, "contaminated")
+            out = part if out is None else out.union(part)
         part = map_arrow(plain, _finder(bench), "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double")
-        out = part if out is None else out.union(part)
-    return out
+    return part if out is None else out.union(part)
 
 
 def _clean(bench: Benchmark):
@@ -224,6 +241,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SHINGLE, simila
     """The rows of docs that hold no benchmark item, with their own columns."""
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"), F.col("text").cast("string").alias("text"))
     schema = f"key {wide.schema['key'].dataType.simpleString()}, text string"
-    for bench in _benchmarks(items, size, similarity):
-        wide = map_arrow(wide, _clean(bench), schema)
+    for k, bench in enumerate(_benchmarks(items, size, similarity)):
+        wide = map_arrow(wide if k == 0 else written(wide, "clean"), _clean(bench), schema)
     return wide.select("key.*")

@@ -1,8 +1,11 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
-from quire.llm.decontam import BlockIndex, Benchmark, contaminated, decontaminate
+from quire.llm import decontam
+from quire.llm.decontam import BITS, RADIUS, Benchmark, BlockIndex, contaminated, decontaminate, pack
 from tests.llm import corpus
 
 
@@ -52,19 +55,68 @@ def test_empty_tables(spark):
 
 def test_index_finds_all_within_the_radius():
     r = np.random.Generator(np.random.PCG64(2))
-    prints = r.integers(0, 2**63, 50).astype(np.uint64)
-    queries = []
+    bits = r.integers(0, 2, (50, BITS)).astype(bool)
+    queries = bits[np.arange(400) % 50]
     for k in range(400):
-        q = int(prints[k % 50])
-        for b in r.choice(64, k % 30, replace=False):
-            q ^= 1 << int(b)
-        queries.append(q)
-    queries = np.array(queries, np.uint64)
-    for radius in (3, 12, 21):
-        index = BlockIndex(prints, radius=radius)
-        q, i = index.search(queries)
-        near = np.bitwise_count(queries[:, None] ^ prints[None, :]) <= radius
-        assert set(zip(q.tolist(), i.tolist(), strict=True)) == set(zip(*map(list, np.nonzero(near)), strict=True))
+        at = r.choice(BITS, k % 70, replace=False)
+        queries[k, at] = ~queries[k, at]
+    prints, queries = pack(bits), pack(queries)
+    far = np.bitwise_count(queries[:, None] ^ prints[None, :]).sum(2)
+    for radius in (0, 3, 17, 40, RADIUS):
+        q, i = BlockIndex(prints, radius=radius).search(queries)
+        assert set(zip(q.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True))
+
+
+def test_index_is_small_and_meets_few_unrelated_items():
+    r = np.random.Generator(np.random.PCG64(7))
+    index = BlockIndex(pack(r.integers(0, 2, (20_000, BITS))))
+    assert sum(k.nbytes + i.nbytes for _, k, i in index.lists) == 96 * 20_000
+    q, _ = index.met(pack(r.integers(0, 2, (20, BITS))))
+    assert len(q) < 0.2 * 20 * 20_000
+
+
+def test_same_as_all_windows_by_brute_force(spark):
+    """Every window of every document against every item, weighted Jaccard on counted shingles."""
+    texts, bench = items(spark)
+    r = random.Random(14)
+    rows = planted(texts) + [x for x in corpus.rows() if x[1] and len(x[1]) < 3000]
+    for k in range(40):  # items with some words changed or gone, among others
+        w = texts[r.choice((0, 1, 2, 3, 4))].split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(("zzz", w[0], w[-1]))
+        rows.append((500 + k, " ".join(corpus.words(r, r.randint(0, 30)) + w[r.randint(0, 2) :] + corpus.words(r, r.randint(0, 30))), "aa", "s", 0))
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+    def shingles(w, n):
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    want = {}
+    for i, t, *_ in rows:
+        words = split(t)
+        for item, text in enumerate(texts):
+            w = split(text)
+            n = min(5, len(w))
+            if not w or len(words) < n:
+                continue
+            length, own = min(len(w), len(words)), shingles(w, n)
+            for k in range(len(words) - length + 1):
+                here = shingles(words[k : k + length], n)
+                both = sum((own & here).values())
+                like = both / (sum(own.values()) + sum(here.values()) - both)
+                if like >= 0.8 and like > want.get((i, item), (0, 0, -1.0))[2]:
+                    want[i, item] = (k, length, like)
+    got = {(x.doc_id, x.item_id): (x.first_word, x.n_words, x.similarity) for x in contaminated(corpus.frame(spark, rows), bench).collect()}
+    assert len(want) > 20 and got == want
+
+
+def test_runs_of_the_benchmark_give_what_one_run_gives(spark, monkeypatch):
+    texts, bench = items(spark)
+    docs = corpus.frame(spark, corpus.rows() + planted(texts))
+    one = sorted(map(str, contaminated(docs, bench).collect()))
+    kept = decontaminate(docs, bench.where("item_id < 5")).count()
+    monkeypatch.setattr(decontam, "MOST_ITEMS", 3)
+    assert sorted(map(str, contaminated(docs, bench).collect())) == one
+    assert decontaminate(docs, bench.where("item_id < 5")).count() == kept
 
 
 def test_most_windows_at_the_threshold_are_within_the_radius():
