@@ -1,15 +1,19 @@
 """Near-duplicate grouping by circulant MinHash, banding and exact Jaccard verification.
 
-sigma is a hash of a shingle into a universe of 2**UNIVERSE_BITS places; pi is one random permutation of the
-universe. Coordinate k of a signature is the least pi[(sigma(s) + k) mod D] over the document's shingles: one
-permutation, shifted circularly, gives every coordinate, and a shingle's K values are one slice of pi.
+A shingle's hash has a place in a universe of D = 2**UNIVERSE_BITS. sigma and pi are two random permutations of the
+universe. Coordinate k of a signature is the least pi[(sigma[place] + k) mod D] over the document's shingles: sigma breaks
+up what structure the places have, pi, shifted circularly, gives every coordinate, and a shingle's K values are one slice
+of pi.
 
 Bands propose links, exact sets confirm them. Documents with equal sets are one node. Every node is compared with
 its buckets' hubs, the nodes that share most buckets; nodes of buckets that then still hold several components are
 compared in full, in blocks of bounded size. So only links that no band proposes can be missed: with 32 bands of 5 rows a pair at Jaccard 0.8 shares none with probability 3e-6, at 0.85 with 7e-9.
 
 Nulls, empty texts: no shingles, linked with nothing. A null doc_id: never linked, kept. Rows repeated under one
-doc_id: one document; all of them stay or go. Fewer words than the shingle size: the whole sequence is one shingle.
+doc_id: one document, linked by any of its texts; all of them stay or go. Ties: the least doc_id stays. Fewer words than
+the shingle size: the whole sequence is one shingle. Long texts: sets are built BLOCK shingles at a time from whole texts.
+An empty table gives no rows. Other columns of docs are never read by near_duplicates; drop_near_duplicates keeps them, and
+its own column's name starts with two underscores.
 """
 
 from __future__ import annotations
@@ -35,13 +39,16 @@ COLUMNS = 2048
 #: Shingles whose slices of pi are held at a time.
 BLOCK = 4096
 
+#: Members of a hub after which its set goes to several tasks, and over how many a hot key's rows are spread.
+HEAVY, SPREAD = 1000, 64
+
 _pi: dict[int, np.ndarray] = {}
 
 
 def permutation(k: int) -> np.ndarray:
-    """pi, with its first k places again at its end."""
+    """pi, with its first k places again at its end; for 0, sigma."""
     if k not in _pi:
-        p = np.random.Generator(np.random.PCG64(SEED)).permutation(1 << UNIVERSE_BITS).astype(np.uint32)
+        p = np.random.Generator(np.random.PCG64(SEED + (k == 0))).permutation(1 << UNIVERSE_BITS).astype(np.uint32)
         _pi[k] = np.concatenate([p, p[:k]])
     return _pi[k]
 
@@ -49,7 +56,7 @@ def permutation(k: int) -> np.ndarray:
 def signature(shingles: np.ndarray, k: int) -> np.ndarray:
     """K coordinates of a set of shingle hashes, which is not empty."""
     rows = np.lib.stride_tricks.sliding_window_view(permutation(k), k)
-    places = (mix(shingles) >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
+    places = permutation(0).take((mix(shingles) >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64))
     out = np.full(k, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(places), BLOCK):
         np.minimum(out, rows[places[i : i + BLOCK]].min(axis=0), out=out)
@@ -90,12 +97,22 @@ def _sets(size: int):
     return run
 
 
+def _spread_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with few keyed rows, a hot key's rows over SPREAD tasks by what `by` hashes to."""
+    salted = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).join(salted, [key, "salt"], how).drop("salt")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union, on whole sets."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    """Of pairs (a, b), those with 100 * intersection >= percent * union, on whole sets; the set of a b of many goes to several tasks."""
+    pairs = written(pairs, "minhash-pairs")
+    heavy = pairs.groupBy("b").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("parts")).where("parts > 1")
+    dealt = _spread_join(pairs, heavy, "b", "a", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.join(heavy.withColumnRenamed("b", "node"), "node", "left").select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     both = F.size(F.array_intersect("x", "y"))
     near = F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent
-    return pairs.join(left, "a").join(right, "b").where(near).where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return dealt.join(left, "a").join(right, ["b", "part"]).where(near).where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -119,11 +136,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         sets = written(map_arrow(texts, _sets(size), "node bigint, shingles array<bigint>"), "minhash-sets")
         links = _links(members, sets, percent, held)
     out = sig.join(classes, ["n", "h1", "h2"], "left")
+    # A doc_id with several texts joins what each of them belongs to.
+    several = written(sig.where("id is not null").groupBy("id").agg(F.min(F.struct("n", "h1", "h2")).alias("lo"), F.max(F.struct("n", "h1", "h2")).alias("hi")).where("lo != hi").select("id"), "minhash-several")
+    mixed = not several.isEmpty()
+    if mixed:
+        own = out.join(several, "id").where("node is not null").select("id", "node").distinct()
+        tied = own.join(own.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b").where("a != b")
+        links = tied if links is None else links.union(tied)
+        held = held + own.count()
     if links is not None:
         out = out.join(components(links, "minhash-components", held), "node", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("bigint"))
     component = F.coalesce("component", "node", "id")
+    if mixed:
+        whole = out.join(several, "id").groupBy("id").agg(F.min(component).alias("all_of_it"))
+        out, component = out.join(whole, "id", "left"), F.coalesce("all_of_it", "component", "node", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.when(F.col("id").isNotNull(), F.col("id") == component).otherwise(F.lit(True)).alias("kept"))
 
 
@@ -149,9 +177,9 @@ def _links(members: DataFrame, sets: DataFrame, percent: int, held: int) -> Data
     left = _open_clusters(members, links, held)
     if left is None:
         return links
-    held = left.join(sets, "node").withColumn("n", F.size("shingles"))
-    blocks = left.join(sets.select("node", F.size("shingles").alias("n")), "node").groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
-    dealt = held.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = left.join(sets.select("node", F.size("shingles").alias("n")), "node")
+    blocks = sizes.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
+    dealt = _spread_join(left, blocks, "cluster", "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "shingles")
     small_batches(sets.sparkSession)

@@ -1,8 +1,10 @@
+import random
 import re
 
 import numpy as np
 import pytest
 
+from quire.llm import minhash
 from quire.llm.minhash import band_keys, drop_near_duplicates, links_within, near_duplicates, permutation, signature
 from tests.llm import corpus
 
@@ -61,12 +63,41 @@ def test_empty_table(spark):
     assert near_duplicates(corpus.empty(spark)).count() == 0
 
 
+def test_a_doc_id_with_several_texts_is_one_document(spark):
+    r = random.Random(9)
+    a, b, c = (" ".join(corpus.words(r, 30)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, c), (9, ""), (11, ""), (12, None), (6, a + " end"), (20, c + " x"), (20, b)]
+    rows = [(i, t, "aa", "s", 0) for i, t in rows]
+    want = expected(rows, 3, 85)
+    got = near_duplicates(corpus.frame(spark, rows), 3, 85).collect()
+    assert len(got) == len(rows) and {(x.doc_id, x.component_id) for x in got} == set(want.items())
+    assert want[5] == 3 and want[7] == 3 and want[9] == 3
+    assert {x.doc_id for x in drop_near_duplicates(corpus.frame(spark, rows), 3, 85).collect()} == {i for i, x in want.items() if i == x}
+
+
+def test_hubs_of_many_and_blocks_of_few_give_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HEAVY", 2)
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 4)
+    r = random.Random(10)
+    base = corpus.words(r, 60)
+    rows = []
+    for k in range(90):  # a noisy group: each has lost some words of the base, and some got others
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(60)] = r.choice("uvwxyz") * 4
+        rows.append((k, " ".join(w), "aa", "s", 0))
+    got = near_duplicates(corpus.frame(spark, rows), 3, 85).collect()
+    assert {x.doc_id: x.component_id for x in got} == expected(rows, 3, 85)
+
+
 def test_signature_is_the_shifted_permutation():
     p, k = permutation(160), 160
     s = np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     from quire.llm.words import mix
 
-    places = (mix(s) >> np.uint64(42)).astype(int)
+    sigma = permutation(0)
+    assert (np.sort(sigma) == np.arange(1 << 22)).all() and (np.sort(p[:-k]) == np.arange(1 << 22)).all()
+    places = sigma[(mix(s) >> np.uint64(42)).astype(int)].astype(int)
     assert all(signature(s, k)[j] == min(p[(q + j) % (1 << 22)] for q in places) for j in range(0, k, 13))
     assert len(set(band_keys(signature(s, k), 32, 5).tolist())) == 32
 
