@@ -6,7 +6,9 @@ the learning documents of the language in question and takes the nearest codewor
 where the two nearest are closer than MARGIN.
 
 Learned from a bounded sample: about QUOTA documents of each language (SAMPLE in all), chosen by hash of doc_id, of
-each its whole text. Text that is null or has no letter: `und`, score 0. Without anything learned: `und` too.
+each its whole text. Text that is null or has no letter: `und`, score 0. Without anything learned: `und` too. Rows repeated
+under one doc_id are answered each. Ties between codewords go to the language that comes first by name. Long texts are
+counted whole, a segment at a time. An empty table gives no rows. Other columns of docs are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -122,7 +124,9 @@ def train(docs: DataFrame, held_fold: int | None = 1, folds: int = 3) -> CodeMod
     chosen = F.lit(False)
     for lang, n in sorted(sizes.items()):
         chosen = chosen | ((F.col("lang") == lang) & (place < int((1 << 40) * min(1.0, quota / n))))
-    rows = map_arrow(known.where(chosen).where(F.col("text").rlike(r"\p{L}")).select("lang", "text"), _counted, "lang string, x binary").limit(2 * max(SAMPLE, 20 * len(sizes))).collect()
+    # Rows repeated under one doc_id and language teach once, by the least of their texts.
+    once = known.where(chosen).where(F.col("text").rlike(r"\p{L}")).groupBy("lang", "id").agg(F.min("text").alias("text"))
+    rows = map_arrow(once.select("lang", "text"), _counted, "lang string, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))

@@ -4,9 +4,11 @@ A document is a bag of passages of PASSAGE bytes, every passage of the whole tex
 a feature vector (frequencies of byte-class pairs, repeats of recent words), an encoder layer h, and a gated attention
 weight a = softmax(w . (tanh(V h) * sigmoid(U h))); the document's score is a logistic function of sum(a h). Encoder,
 gates and output are learned together from document labels alone, by Adam on a bounded sample of labelled documents
-(SAMPLE, the least by hash of doc_id; of each, its whole text).
+(SAMPLE, the least by hash of doc_id; of each, at most FIT_PASSAGES passages, spread over its whole text).
 
-Nulls and empty texts: one passage of zeros, so the same score for all. Labels that are null, not 0 or 1, or that
+Nulls and empty texts: one passage of zeros, so the same score for all. Rows repeated under one doc_id are scored each. Ties
+on the sample's hash go to the lesser doc_id. Long texts: all passages are scored, a segment at a time. An empty table gives
+no rows. Other columns of docs are never read, and keep_good packs a row into one struct, so their names cannot clash. Labels that are null, not 0 or 1, or that
 contradict one another for one doc_id are not learned from; without any usable label every score is 0.5.
 """
 
@@ -23,7 +25,7 @@ from quire.llm.common import map_arrow
 from quire.llm.words import column_bytes, hash_words, segments, word_spans
 
 PASSAGE = 512
-SAMPLE = 2500
+SAMPLE, FIT_PASSAGES = 2500, 128
 THRESHOLD = 0.7
 HIDDEN, GATE, EPOCHS, RATE, BATCH = 24, 12, 14, 0.01, 64
 LAGS = (1, 2, 3, 4)
@@ -143,20 +145,29 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [[], []]
         for _, _, counts, x in passages(batch.column(1)):
             at = np.concatenate([[0], np.cumsum(counts)])
-            out[0] += counts.tolist()
-            out[1] += [x[at[k] : at[k + 1]].astype(np.float16).tobytes() for k in range(len(counts))]
+            for k, n in enumerate(counts.tolist()):
+                own = x[at[k] : at[k + 1]]
+                if n > FIT_PASSAGES:
+                    own = own[np.linspace(0, n - 1, FIT_PASSAGES).astype(np.int64)]
+                out[0].append(len(own))
+                out[1].append(own.astype(np.float16).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["y", "n", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, held_fold: int | None = 2, folds: int = 4, sample: int = SAMPLE) -> AttentionModel | None:
-    """Fit on at most `sample` labelled documents outside the held-out fold; None without labels of both kinds."""
+    """Fit on at most `sample` labelled documents outside the held-out fold; None without labels of both kinds.
+
+    At most FIT_PASSAGES passages of each reach the driver, evenly spaced; scores are of all passages.
+    """
     usable = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     if held_fold is not None:
         usable = usable.where(fold("id", folds) != held_fold)
     usable = usable.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y")
     chosen = usable.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
-    rows = map_arrow(texts, _features, "y int, n int, x binary").limit(4 * sample).collect()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    # Rows repeated under one doc_id teach once, by the least of their texts.
+    texts = texts.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
+    rows = map_arrow(texts, _features, "y int, n int, x binary").collect()
     y = np.array([r.y for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return None
