@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, on one machine only."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors of a cluster need a folder that all of them share")
         conf = f"file://{tempfile.gettempdir()}/quire-shared"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -54,7 +56,7 @@ def _sweep() -> None:
         try:
             remove_path(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before
-            return
+            continue
 
 
 def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
