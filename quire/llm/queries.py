@@ -66,6 +66,29 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(table(spark, sf_dir, "documents"))
 
 
+# What SQL can say of operators whose other columns it cannot: the same operators, fewer columns.
+
+
+def quality_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_attention_quality(spark, sf_dir).select("doc_id", "held_out")
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_output_code_language(spark, sf_dir).select("doc_id", "held_out")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_bottom_k_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def decoded_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_unigram_pieces(spark, sf_dir).select("doc_id", "n_bytes", "decoded_sha256")
+
+
+def private_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_weak_supervision_pii(spark, sf_dir).drop("spans", "n_added")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_simhash_decontamination": op2_simhash_decontamination,
@@ -77,8 +100,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_circulant_minhash": op7_circulant_minhash,
     "op9_deep_shallow_suffixes": op9_deep_shallow_suffixes,
     "op10_weak_supervision_pii": op10_weak_supervision_pii,
+    "quality_folds": quality_folds,
+    "language_folds": language_folds,
+    "edited_texts": edited_texts,
+    "decoded_pieces": decoded_pieces,
+    "private_base_spans": private_base_spans,
 }
 
+# The crc32 of a doc_id's text, bit by bit.
+_CRC = "list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))"
+
+
+def _folds(parts: int, held: int) -> str:
+    return f"select doc_id, case when doc_id is null then false else xor({_CRC}, 4294967295) % {parts} = {held} end as held_out from documents"
+
+
 ORACLES: dict[str, str] = {
     "op1_warc_chunks": """
         with p as (select page_id, coalesce(html, '') as h from pages),
@@ -127,4 +163,34 @@ ORACLES: dict[str, str] = {
                case when t.doc_id is null then sha256(b) else sha256(unhex(coalesce(kept, ''))) end as kept_sha256
         from n left join t using (doc_id) left join p using (doc_id)
     """,
+    "quality_folds": _folds(4, 2),
+    "language_folds": _folds(3, 1),
+    "edited_texts": """
+        with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
+        o as (select *, coalesce(lead(t) over (order by doc_id desc), first_value(t) over (order by doc_id desc)) as x from d)
+        select doc_id, n::bigint as n_chars, sha256(left(t, (n - n // 3)::int) || left(x, (n // 3)::int)) as edited_sha256 from o
+    """,
+    "decoded_pieces": "select doc_id, octet_length(encode(coalesce(text, '')))::bigint as n_bytes, sha256(coalesce(text, '')) as decoded_sha256 from documents",
+    "private_base_spans": r"""
+        with d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), '  ') as t from documents),
+        m as (
+          select r, 1 as o, 'email' as kind, regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', chr(1) || '\0' || chr(2), 'g') as m from d
+          union all select r, 2, 'ip', regexp_replace(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', chr(1) || '\0' || chr(2), 'g') from d
+          union all select r, 3, 'card', regexp_replace(t, '[0-9]([\x20-]?[0-9])+', chr(1) || '\0' || chr(2), 'g') from d
+          union all select r, 4, 'phone', regexp_replace(t, '\+[0-9][\x20().0-9-]+[0-9]', chr(1) || '\0' || chr(2), 'g') from d),
+        p as (select r, o, kind, unnest(string_split(m, chr(1))) as part, generate_subscripts(string_split(m, chr(1)), 1) as j from m),
+        h as (select r, o, kind, j, split_part(part, chr(2), 1) as hit,
+                     sum(length(replace(part, chr(2), ''))) over (partition by r, o order by j) - length(replace(part, chr(2), '')) as a from p),
+        s as (select *, regexp_replace(hit, '[^0-9]', '', 'g') as n from h where j > 1),
+        k as (select r, o, kind, a::bigint as a, (a + length(hit))::bigint as z from s
+              where kind = 'email'
+                 or kind = 'ip' and list_max(list_transform(string_split(hit, '.'), lambda x: case when length(ltrim(x, '0')) > 3 then 999 else ('0' || ltrim(x, '0'))::int end)) <= 255
+                 or kind = 'card' and length(n) between 16 and 19
+                    and list_sum(list_transform(range(length(n)), lambda i: (('0' || reverse(n)[i + 1])::int * (1 + i % 2)) - case when ('0' || reverse(n)[i + 1])::int * (1 + i % 2) > 9 then 9 else 0 end)) % 10 = 0
+                 or kind = 'phone' and length(n) between 8 and 15)
+        select d.doc_id, count(*) filter (kind = 'email')::bigint as n_email, count(*) filter (kind = 'ip')::bigint as n_ip,
+               count(*) filter (kind = 'card')::bigint as n_card, count(*) filter (kind = 'phone')::bigint as n_phone,
+               sha256(coalesce(string_agg(kind || ':' || a || ':' || z, ',' order by o, a), '')) as base_sha256
+        from d left join k using (r) group by d.r, d.doc_id
+    """,
 }
