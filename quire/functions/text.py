@@ -45,15 +45,21 @@ def squeezed(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+#: Characters that say nothing: undecodable, of private use, or control characters.
+UNREADABLE = r"[\x{FFFD}\x{E000}-\x{F8FF}\x00-\x1F]"
+
+
 def quality(s: Column) -> Column:
     """How far a text reads like text: letters, decodable characters and words of sane shape, 0 to 1, 2 decimals."""
     t = squeezed(s)
     n = F.length(t)
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    bad = F.length(F.regexp_replace(t, r"[^\x{FFFD}\x{E000}-\x{F8FF}\x00-\x1F]", ""))
-    cores = F.filter(F.transform(F.split(t, " "), lambda w: F.regexp_replace(w, r"[^\p{L}]", "")), lambda c: c != "")
-    sane = F.size(F.filter(cores, lambda c: (F.length(c) <= LONGEST_WORD) & F.lower(c).rlike(VOWELS)))
-    ratio = F.when(F.size(cores) > 0, sane / F.size(cores)).otherwise(0.0)
+    # Letters and the spaces between words, in one pass; what is counted of words is counted in it.
+    cores = F.regexp_replace(t, r"[^\p{L} ]+", "")
+    letters = F.length(F.replace(cores, F.lit(" "), F.lit("")))
+    bad = F.when(t.rlike(UNREADABLE), F.length(F.regexp_replace(t, rf"[^{UNREADABLE[1:]}", ""))).otherwise(0)
+    words = F.regexp_count(cores, F.lit("[^ ]+"))
+    sane = F.regexp_count(F.lower(cores), F.lit(rf"(?<![^ ])(?=[^ ]{{1,{LONGEST_WORD}}}(?![^ ]))[^ ]*?{VOWELS}[^ ]*"))
+    ratio = F.when(words > 0, sane / words).otherwise(0.0)
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), letters / n * 0.4 + (1 - bad / n) * 0.2 + ratio * 0.4))
     return F.when(n > 0, F.floor(score * 100 + 0.5) / 100).otherwise(0.0)
 

@@ -2,25 +2,70 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import snippet
 
-PAGES_PER_CHUNK, HITS = 25, 200
+PAGES_PER_CHUNK, HITS, MOST_DOUBLINGS = 25, 200, 40
 
 
 def ancestors(nodes: DataFrame, node: str = "section_id", parent: str = "parent", by: str = "doc_id") -> DataFrame:
-    """(by, node, ancestor, distance) of a forest, each node its own ancestor at distance 0; by a recursive query."""
-    view = f"__tree_{abs(hash((node, parent, by)))}"
-    nodes.select(by, node, parent).createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(
-        f"""with recursive up (k, node, ancestor, next, distance) as (
-              select {by}, {node}, {node}, {parent}, 0 from {view}
-              union all
-              select up.k, up.node, t.{node}, t.{parent}, up.distance + 1 from up join {view} t on t.{by} = up.k and t.{node} = up.next)
-            select k as {by}, node as {node}, ancestor, distance from up"""
-    )
+    """(by, node, ancestor, distance) of a forest, each node its own ancestor at distance 0.
+
+    Steps double: with the paths of less than 2**i steps and where 2**i steps lead, one join gives those of less than
+    2**(i + 1). A tree of depth d takes log2(d) rounds, whatever its size; each round's leaps are checkpointed. Parents that
+    are no nodes end a path. A circle would have no end and is refused.
+    """
+    tree = nodes.select(F.col(by).alias("k"), F.col(node).alias("node"), F.col(parent).alias("up"))
+    known = tree.select("k", F.col("node").alias("up")).distinct()
+    leaps = tree.where("up is not null").join(known, ["k", "up"], "left_semi")
+    paths = tree.select("k", "node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    for i in range(MOST_DOUBLINGS):
+        leaps = settled(leaps.select("k", "node", "up"))
+        if leaps.isEmpty():
+            return paths.select(F.col("k").alias(by), F.col("node").alias(node), "ancestor", "distance")
+        on = leaps.select("k", F.col("node").alias("ancestor"), "up")
+        further = paths.join(on, ["k", "ancestor"]).select("k", "node", F.col("up").alias("ancestor"), (F.col("distance") + 2**i).alias("distance"))
+        paths = paths.unionByName(further)
+        leaps = leaps.join(on.select("k", F.col("ancestor").alias("up"), F.col("up").alias("next")), ["k", "up"]).select("k", "node", F.col("next").alias("up"))
+    raise ValueError("the sections hold a circle")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed into spark.checkpoint.dir; on one machine, where that is unset, into a folder of our own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        where = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors of a cluster need a folder that all of them share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="quire-steps-"))
+    return df.checkpoint()
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(system, shares_with): of each system in (system, key), how many others hold a key of its own."""
+    own = keys.select("system", "key").distinct()
+    others = own.select("key", F.col("system").alias("other"))
+    return own.join(others, "key").where("system != other").groupBy("system").agg(F.count_distinct("other").alias("shares_with"))
+
+
+def first_on_page(blocks: DataFrame, page: str = "page", order: str = "ord", value: str = "block_id") -> DataFrame:
+    """(page, value) of the first block of each page; of equal orders the least value."""
+    return blocks.groupBy(page).agg(F.min_by(value, F.struct(order, value)).alias(value))
+
+
+def first_in_section(blocks: DataFrame) -> DataFrame:
+    """(doc_id, section, block_id): where a link to a section leads."""
+    return blocks.groupBy("doc_id", "section").agg(F.min_by("block_id", F.struct("ord", "block_id")).alias("block_id"))
+
+
+def chunk_window(blocks: DataFrame, page: int, around: int = 1) -> DataFrame:
+    """The blocks of a page's chunk and of the chunks next to it."""
+    here = (max(page, 1) - 1) // PAGES_PER_CHUNK
+    return blocks.where(chunk_of(F.col("page")).between(here - around, here + around))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, ties: str) -> DataFrame:

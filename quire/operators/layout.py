@@ -23,7 +23,7 @@ def shape_furniture(lines: DataFrame, profile: DataFrame, pages: DataFrame | Non
     profile: (doc_id, body_size). Many: at least 5 and 5 per cent of the pages. All of a shape bare numerals: page numbers.
     """
     pages = pages if pages is not None else _pages(lines)
-    small = lines.join(F.broadcast(profile), "doc_id").where((F.length("text") <= 70) & (F.col("size") <= F.col("body_size") * 1.1) & ~F.col("text").rlike(STRUCTURAL))
+    small = lines.join(profile, "doc_id").where((F.length("text") <= 70) & (F.col("size") <= F.col("body_size") * 1.1) & ~F.col("text").rlike(STRUCTURAL))
     keyed = small.withColumn("key", shape_key(F.col("text"))).withColumn("height", half_up(F.col("y") / 8))
     groups = keyed.groupBy("doc_id", "key", "height").agg(F.count("*").alias("n"), F.bool_and(F.col("text").rlike(NUMERAL_LINE)).alias("numeric"))
     many = groups.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(5.0), F.col("pages") * 0.05))
@@ -35,7 +35,7 @@ def wording_furniture(lines: DataFrame, profile: DataFrame, removed: DataFrame,
     """As above for lines not yet removed whose wording alone repeats: at least 8 and 8 per cent of the pages, to 45 letters."""
     pages = pages if pages is not None else _pages(lines)
     left = lines.join(removed.select("doc_id", "page", "idx"), ["doc_id", "page", "idx"], "left_anti")
-    small = left.join(F.broadcast(profile), "doc_id").where((F.length("text") <= 45) & (F.col("size") <= F.col("body_size") * 1.1) & ~F.col("text").rlike(STRUCTURAL))
+    small = left.join(profile, "doc_id").where((F.length("text") <= 45) & (F.col("size") <= F.col("body_size") * 1.1) & ~F.col("text").rlike(STRUCTURAL))
     keyed = small.withColumn("key", shape_key(F.col("text")))
     groups = keyed.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.bool_and(F.col("text").rlike(NUMERAL_LINE)).alias("numeric"))
     many = groups.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(8.0), F.col("pages") * 0.08))
@@ -97,7 +97,7 @@ def running_heads(lines: DataFrame, numbers: DataFrame, em: DataFrame) -> DataFr
     (em: (doc_id, em)) by a quarter. The nearest page before comes first: -2, -1, 1, 2.
     """
     bands = band_lines(lines).join(numbers.select("doc_id", "page", "idx"), ["doc_id", "page", "idx"], "left_anti").withColumn("key", head_key(F.col("text")))
-    mine = bands.join(F.broadcast(em), "doc_id").where((F.col("page_lines") >= 8) & F.length(F.trim("text")).between(3, 70) & (F.size(F.split(F.trim("text"), r"\s+")) <= 10) & (F.col("size") <= F.col("em") * 1.25) & (F.length("key") >= 3))
+    mine = bands.join(em, "doc_id").where((F.col("page_lines") >= 8) & F.length(F.trim("text")).between(3, 70) & (F.size(F.split(F.trim("text"), r"\s+")) <= 10) & (F.col("size") <= F.col("em") * 1.25) & (F.length("key") >= 3))
     near = mine.withColumn("step", F.explode(F.array(*[F.lit(d) for d in (-2, -1, 1, 2)]))).withColumn("other_page", F.col("page") + F.col("step"))
     others = bands.select("doc_id", F.col("page").alias("other_page"), "band", "key").distinct()
     return near.join(others, ["doc_id", "other_page", "band", "key"]).groupBy("doc_id", "page", "idx", "text").agg(F.min("step").alias("step")).select("doc_id", "page", "idx", "text", (F.col("page") + F.col("step")).alias("other_page"))

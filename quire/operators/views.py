@@ -22,9 +22,9 @@ def filter_references(refs: DataFrame, kind: str | None = None, method: str | No
 
 
 def filter_log(log: DataFrame, decision: str | None = None, text: str = "", shown: int = SHOWN_RECORDS) -> DataFrame:
-    """Decisions of a kind whose method, type or reason holds a text."""
+    """The first decisions of a kind, by place, whose method, type or reason holds a text."""
     said = F.lower(F.concat_ws(" ", "method", "type", "reason"))
-    return log.where((F.col("decision") == decision if decision else F.lit(True)) & F.contains(said, F.lit(text.lower()))).limit(shown)
+    return log.where((F.col("decision") == decision if decision else F.lit(True)) & F.contains(said, F.lit(text.lower()))).orderBy(*[c for c in ("doc_id", "from", "start", "method", "type") if c in log.columns]).limit(shown)
 
 
 def filter_index(index: DataFrame, show: str = "all", text: str = "", sections_count: bool = True) -> DataFrame:
@@ -91,7 +91,7 @@ def snapped_sizes(spans: DataFrame, share: float = 0.16) -> DataFrame:
     """Recognised spans whose size is within a share of the document's most frequent one take that; ties go to the first seen."""
     sizes = spans.groupBy("doc_id", "s").agg(F.count("*").alias("n"), F.min(F.struct("page", "o")).alias("first")).groupBy("doc_id").agg(F.min_by("s", F.struct(-F.col("n"), "first")).alias("body"))
     near = (F.col("body") > 0) & (F.abs(F.col("s") - F.col("body")) <= F.col("body") * share)
-    return spans.join(F.broadcast(sizes), "doc_id").withColumn("s", F.when(near, F.col("body")).otherwise(F.col("s"))).drop("body")
+    return spans.join(sizes, "doc_id").withColumn("s", F.when(near, F.col("body")).otherwise(F.col("s"))).drop("body")
 
 
 def with_made_systems(systems: DataFrame, blocks: DataFrame, sections: DataFrame, links: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quire.functions import numerals as N
 from quire.functions import text as T
 from quire.functions.stats import first_mode
-from quire.operators import graph, layout
+from quire.operators import graph, layout, views
 from quire.plans.common import LINES, table
 from quire.sources.texts import document_lines, html_blocks, html_links
+from quire.streaming.resume import pending
 
 Q, O = {}, {}
 
@@ -91,16 +92,29 @@ O["longest_page_run"] = """with d as (select distinct l_suppkey as doc_id, l_ord
     i as (select *, sum(coalesce(fresh, false)::int) over (partition by doc_id order by page) as island from g) select doc_id, max(n) as run from (select doc_id, island, count(*) as n from i group by all) group by doc_id"""
 
 
+#: Lines of a page where documents are taken as books.
+BOOK_LINES = 10
+
+
+def _book_lines(spark, sf):
+    lines = document_lines(table(spark, sf, "documents").where("doc_id is not null"))
+    return lines.select("doc_id", F.floor(F.col("line_no") / BOOK_LINES).cast("bigint").alias("page"), F.col("line_no").alias("idx"), F.lit(10.0).alias("size"), F.col("line").alias("text"))
+
+
 def band_recurrence(spark, sf):
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", T.head_key(F.substring("text", 1, 3)).alias("key")).where(F.length("key") >= 1)
-    near = turns.withColumn("step", F.explode(F.array(*[F.lit(d) for d in (-2, -1, 1, 2)]))).withColumn("other", F.col("turn") + F.col("step"))
-    others = turns.select("conv_id", F.col("turn").alias("other"), "key").distinct()
-    return near.join(others, ["conv_id", "other", "key"]).groupBy("conv_id", "turn", "key").agg(F.min("step").cast("bigint").alias("step"))
+    """Documents as books: running heads, lines of a page's edges whose wording recurs in the same band close by."""
+    lines = _book_lines(spark, sf)
+    em = lines.select("doc_id").distinct().withColumn("em", F.lit(10.0))
+    return layout.running_heads(lines, lines.limit(0), em)
 
 
 Q["band_recurrence"] = band_recurrence
-O["band_recurrence"] = r"""with t as (select conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 3)), '[^\p{L}\p{N} ]', '', 'g'), '[0-9]+', '#', 'g'), '\s+', ' ', 'g')) as key from conversations)
-    select a.conv_id, a.turn, a.key, min(b.turn - a.turn)::bigint as step from t a join t b on a.conv_id = b.conv_id and a.key = b.key and b.turn - a.turn in (-2, -1, 1, 2) where length(a.key) >= 1 group by all"""
+O["band_recurrence"] = rf"""with {LINES}, p as (select doc_id, line_no // {BOOK_LINES} as page, line_no as idx, line as text from lines),
+    r as (select *, row_number() over (partition by doc_id, page order by idx) as k, count(*) over (partition by doc_id, page) as n from p),
+    t as (select doc_id, page, idx, text, n, case when k <= 2 then 'top' else 'bottom' end as band,
+      trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}} ]', '', 'g'), '[0-9]+', '#', 'g'), '\s+', ' ', 'g')) as key from r where k <= 2 or k > n - 2)
+    select doc_id, page, idx, text, min(other)::bigint as other_page from (select a.doc_id, a.page, a.idx, a.text, b.page as other from t a join t b on a.doc_id = b.doc_id and a.band = b.band and a.key = b.key and b.page - a.page in (-2, -1, 1, 2)
+    where a.n >= 8 and length(trim(a.text)) between 3 and 70 and len(regexp_split_to_array(trim(a.text), '\s+')) <= 10 and length(a.key) >= 3) group by all"""
 
 
 #: Lines of a page where documents are taken as pages.
@@ -154,8 +168,19 @@ O["nearest_line"] = """with l as (select o_custkey, o_orderkey as p from orders
     c as (select l.o_custkey, p, q from l left join r using (o_custkey) qualify row_number() over (partition by l.o_custkey, p order by abs(q - p), q) = 1)
     select o_custkey, p as "at", q as near, abs(q - p) as distance from c"""
 
-Q["pending_pages"] = lambda spark, sf: table(spark, sf, "events").select("user_id").distinct().join(table(spark, sf, "events").where("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
-O["pending_pages"] = "select distinct user_id from events where user_id not in (select user_id from events where event_type = 'purchase')"
+
+
+def pending_pages(spark, sf):
+    """Users as documents of twenty pages: pages viewed or clicked want recognition, purchases are pages done, some in error."""
+    ev = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 20).alias("page"), "event_id", "event_type")
+    scan = ev.select("doc_id", "page", F.when(F.col("event_type").isin("view", "click"), "ocr").otherwise("native").alias("method")).distinct()
+    done = ev.where("event_type = 'purchase'").select("doc_id", "page", F.when(F.col("event_id") % 3 == 0, "unreadable").alias("error"))
+    return pending(scan, done, retry=True)
+
+
+Q["pending_pages"] = pending_pages
+O["pending_pages"] = """with e as (select user_id as doc_id, event_id % 20 as page, event_id, event_type from events)
+    select distinct doc_id, page from e where event_type in ('view', 'click') and not exists (select 1 from e d where d.doc_id = e.doc_id and d.page = e.page and d.event_type = 'purchase' and d.event_id % 3 <> 0)"""
 
 
 def caller_semi(spark, sf):
@@ -225,13 +250,18 @@ O["section_ancestors"] = """with recursive t as (select 'root' as section_id, nu
     select section_id, ancestor, distance::bigint as distance from up"""
 
 
-def _links(li):
-    return li.select((F.col("l_orderkey") % 7).alias("doc_id"), F.concat(F.lit("b"), "l_orderkey").alias("from"), F.when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("b"), (F.col("l_orderkey") + F.col("l_linenumber") * 7).cast("string"))).alias("to"), F.concat_ws("-", F.lit("r"), "l_orderkey", "l_linenumber").alias("ref_id"), F.col("l_returnflag").alias("type"))
+def _links(li, doc="l_orderkey % 7"):
+    return li.select(F.expr(doc).alias("doc_id"), F.concat(F.lit("b"), "l_orderkey").alias("from"), F.when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("b"), (F.col("l_orderkey") + F.col("l_linenumber") * 7).cast("string"))).alias("to"), F.concat_ws("-", F.lit("r"), "l_orderkey", "l_linenumber").alias("ref_id"), F.col("l_returnflag").alias("type"))
 
 
 def _edges(spark, sf):
-    """The first orders' edges only, as the SQL of adjacency and counts_by_type has them; their _all forms cover the table."""
-    return _links(table(spark, sf, "lineitem").where("l_orderkey <= 2000"))
+    """Documents of a thousand orders, as many as the table holds."""
+    return _links(table(spark, sf, "lineitem"), "l_orderkey div 1000")
+
+
+def _all_edges(spark, sf):
+    """Seven documents, whatever the size of the table."""
+    return _links(table(spark, sf, "lineitem"))
 
 
 def _adjacency(edges):
@@ -243,7 +273,7 @@ def _counts_by_type(edges):
     return types.join(edges.groupBy("doc_id").agg(F.count("*").alias("refs"), F.count("to").alias("resolved")), "doc_id")
 
 
-_EDGES = """e as (select l_orderkey % 7 as doc_id, 'b' || l_orderkey as src, case when l_linenumber % 4 <> 0 then 'b' || (l_orderkey + l_linenumber * 7) end as dst, 'r-' || l_orderkey || '-' || l_linenumber as ref_id, l_returnflag as type from lineitem where l_orderkey <= 2000)"""
+_EDGES = """e as (select l_orderkey // 1000 as doc_id, 'b' || l_orderkey as src, case when l_linenumber % 4 <> 0 then 'b' || (l_orderkey + l_linenumber * 7) end as dst, 'r-' || l_orderkey || '-' || l_linenumber as ref_id, l_returnflag as type from lineitem)"""
 Q["adjacency"] = lambda spark, sf: _adjacency(_edges(spark, sf))
 O["adjacency"] = f"""with {_EDGES}, o as (select doc_id, src as block_id, string_agg(ref_id, ',' order by ref_id) as outgoing from e group by all), i as (select doc_id, dst as block_id, string_agg(ref_id, ',' order by ref_id) as incoming from e where dst is not null group by all)
     select coalesce(o.doc_id, i.doc_id) as doc_id, coalesce(o.block_id, i.block_id) as block_id, coalesce(outgoing, '') as outgoing, coalesce(incoming, '') as incoming from o full join i on o.doc_id = i.doc_id and o.block_id = i.block_id"""
@@ -252,11 +282,11 @@ Q["counts_by_type"] = lambda spark, sf: _counts_by_type(_edges(spark, sf))
 O["counts_by_type"] = f"with {_EDGES} select doc_id, string_agg(distinct type, ',' order by type) as types, count(*) as refs, count(dst) as resolved from e group by doc_id"
 
 _ALL_EDGES = """e as (select l_orderkey % 7 as doc_id, 'b' || l_orderkey as src, case when l_linenumber % 4 <> 0 then 'b' || (l_orderkey + l_linenumber * 7) end as dst, 'r-' || l_orderkey || '-' || l_linenumber as ref_id, l_returnflag as type from lineitem)"""
-Q["adjacency_all"] = lambda spark, sf: _adjacency(_links(table(spark, sf, "lineitem")))
+Q["adjacency_all"] = lambda spark, sf: _adjacency(_all_edges(spark, sf))
 O["adjacency_all"] = f"""with {_ALL_EDGES}, o as (select doc_id, src as block_id, string_agg(ref_id, ',' order by ref_id) as outgoing from e group by all), i as (select doc_id, dst as block_id, string_agg(ref_id, ',' order by ref_id) as incoming from e where dst is not null group by all)
     select coalesce(o.doc_id, i.doc_id) as doc_id, coalesce(o.block_id, i.block_id) as block_id, coalesce(outgoing, '') as outgoing, coalesce(incoming, '') as incoming from o full join i on o.doc_id = i.doc_id and o.block_id = i.block_id"""
 
-Q["counts_by_type_all"] = lambda spark, sf: _counts_by_type(_links(table(spark, sf, "lineitem")))
+Q["counts_by_type_all"] = lambda spark, sf: _counts_by_type(_all_edges(spark, sf))
 O["counts_by_type_all"] = f"with {_ALL_EDGES} select doc_id, string_agg(distinct type, ',' order by type) as types, count(*) as refs, count(dst) as resolved from e group by doc_id"
 
 
@@ -348,8 +378,21 @@ O["verse_counter"] = """with e as (select event_id, user_id, case when event_id
     b as (select *, last_value(stated ignore nulls) over w as base, last_value(case when stated is not null then pos end ignore nulls) over w as since from e window w as (partition by user_id order by pos))
     select event_id, coalesce(base + pos - since, pos)::bigint as line from b"""
 
-Q["page_map_outer"] = lambda spark, sf: (lambda a, b: a.join(b, "k", "full_outer").select("k", F.coalesce("seq", "lone").alias("printed")))(table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy((F.col("o_custkey") % 500).alias("k")).agg(F.min("o_orderkey").alias("lone")), table(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy((F.col("o_custkey") % 700).alias("k")).agg(F.max("o_orderkey").alias("seq")))
-O["page_map_outer"] = "with a as (select o_custkey % 500 as k, min(o_orderkey) as lone from orders where o_orderstatus = 'F' group by 1), b as (select o_custkey % 700 as k, max(o_orderkey) as seq from orders where o_orderstatus = 'P' group by 1) select k, coalesce(seq, lone) as printed from a full join b using (k)"
+
+
+def page_map_outer(spark, sf):
+    """Orders as pages: part numbers as lone numerals taken off them, and a sequence for every third order."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "running-head").otherwise("printed-page-number")
+    removed = li.select((F.col("l_orderkey") % 9).alias("doc_id"), F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * F.lit(10_000_000_000) + F.col("l_partkey")).alias("idx"), F.concat(F.lit("- "), "l_partkey", F.lit(" -")).alias("text"), kind.alias("classification"))
+    sequences = o.where("o_custkey % 3 = 0").select((F.col("o_orderkey") % 9).alias("doc_id"), F.col("o_orderkey").alias("page"), F.col("o_custkey").cast("long").alias("idx"), F.col("o_custkey").cast("int").alias("printed"), F.lit(False).alias("roman"))
+    mapped = layout.page_map(removed, sequences)
+    return mapped.select("doc_id", "page", F.col("printed").cast("bigint").alias("printed"), "roman")
+
+
+Q["page_map_outer"] = page_map_outer
+O["page_map_outer"] = """with a as (select l_orderkey as page, arg_min(l_partkey, struct_pack(n := l_linenumber, p := l_partkey)) as lone from lineitem where l_linenumber % 2 = 1 and l_partkey between 1 and 5000 group by 1), b as (select o_orderkey as page, min(o_custkey) as seq from orders where o_custkey % 3 = 0 group by 1)
+    select page % 9 as doc_id, page, coalesce(seq, lone)::bigint as printed, false as roman from a full join b using (page)"""
 
 
 def summary_merge(spark, sf):
@@ -367,11 +410,20 @@ O["summary_merge"] = """with u as (select user_id as id, event_type, event_id, t
     select id, (select arg_max(event_type, struct_pack(ts := ts, e := event_id)) from u x where x.id = u.id) as status, (select arg_max(progress, struct_pack(ts := ts, e := event_id)) from u y where y.id = u.id and progress is not null)::bigint as progress,
       (select string_agg(k || '=' || v, ',' order by k) from s where s.id = u.id) as summary from u group by id"""
 
-Q["newest_documents"] = lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_orderpriority")
+
+
+def newest_documents(spark, sf):
+    """Orders as documents; the hundred newest."""
+    o = table(spark, sf, "orders")
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"), F.lit(0).alias("progress"), F.lit(1).alias("page_count"), F.col("o_orderdate").alias("created_at"))
+    return views.newest_first(docs).limit(100).select(F.col("doc_id").alias("o_orderkey"), F.col("title").alias("o_orderpriority"))
+
+
+Q["newest_documents"] = newest_documents
 O["newest_documents"] = "select o_orderkey, o_orderpriority from orders order by o_orderdate desc, o_orderkey limit 100"
 
-Q["shared_keys"] = lambda spark, sf: (lambda k: k.join(k.select("key", F.col("system").alias("other")), "key").where("system != other").groupBy("system").agg(F.count_distinct("other").alias("shares_with")))(table(spark, sf, "lineitem").select(F.col("l_shipdate").cast("string").alias("key"), (F.col("l_suppkey") % 20).alias("system")).distinct())
+Q["shared_keys"] = lambda spark, sf: graph.shared_keys(table(spark, sf, "lineitem").select(F.col("l_shipdate").cast("string").alias("key"), (F.col("l_suppkey") % 20).alias("system")))
 O["shared_keys"] = "with k as (select distinct l_shipdate as key, l_suppkey % 20 as system from lineitem) select a.system, count(distinct b.system) as shares_with from k a join k b on a.key = b.key and a.system <> b.system group by 1"
 
-Q["first_on_page"] = lambda spark, sf: table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("first_part"))
+Q["first_on_page"] = lambda spark, sf: graph.first_on_page(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey").withColumnRenamed("l_partkey", "first_part")
 O["first_on_page"] = "select l_orderkey, arg_min(l_partkey, struct_pack(n := l_linenumber, p := l_partkey)) as first_part from lineitem group by 1"

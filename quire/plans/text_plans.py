@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.stats import first_mode, low_quantile, percent, top_percentile, upper_median
-from quire.operators import lexicon
+from quire.operators import graph, lexicon
 from quire.operators.graph import chunk_of
 from quire.plans.common import LINES, table
 from quire.sources.texts import document_lines
@@ -159,11 +159,32 @@ Q["search_snippets"] = search_snippets
 O["search_snippets"] = """with h as (select doc_id, text, instr(lower(text), 'ndthat') - 1 as p from documents where instr(lower(text), 'ndthat') > 0)
     select doc_id, p::bigint as "at", substr(text, greatest(0, p - 60)::bigint + 1, p + 86 - greatest(0, p - 60)::bigint) as snippet from h"""
 
+
+
+def search_hits(spark, sf, q: str = "the"):
+    """Documents as blocks: the first hits of a search, as a reader is shown them."""
+    docs = table(spark, sf, "documents").where("doc_id is not null")
+    return graph.search(docs.select("doc_id", F.col("doc_id").alias("block_id"), F.col("doc_id").alias("ord"), "text"), q)
+
+
+Q["search_hits"] = search_hits
+O["search_hits"] = """with h as (select doc_id, text, instr(lower(text), 'the') - 1 as p from documents where instr(lower(text), 'the') > 0 order by doc_id limit 200)
+    select doc_id, doc_id as block_id, substr(text, greatest(0, p - 60)::bigint + 1, p + 83 - greatest(0, p - 60)::bigint) as snippet from h"""
+
 Q["chunk_partition"] = lambda spark, sf: table(spark, sf, "documents").groupBy(chunk_of(F.col("doc_id")).cast("bigint").alias("chunk")).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 O["chunk_partition"] = "select ((greatest(doc_id, 1) - 1) // 25)::bigint as chunk, count(*) as docs, min(doc_id) as first_doc, max(doc_id) as last_doc from documents group by 1"
 
-Q["chunk_lookup"] = lambda spark, sf: table(spark, sf, "documents").where(chunk_of(F.col("doc_id")) == 7).select("doc_id", "lang", "source")
-O["chunk_lookup"] = "select doc_id, lang, source from documents where (greatest(doc_id, 1) - 1) // 25 = 7"
+
+
+def chunk_lookup(spark, sf):
+    """Chunks as directories: every document with the chunk that holds it, found again from the chunk's range."""
+    docs = table(spark, sf, "documents").where("doc_id is not null").withColumn("chunk", chunk_of(F.col("doc_id")).cast("bigint"))
+    ranges = docs.groupBy("chunk").agg(F.count("*").alias("held"))
+    return docs.join(ranges, "chunk").select("doc_id", "lang", "source", "chunk", "held")
+
+
+Q["chunk_lookup"] = chunk_lookup
+O["chunk_lookup"] = "select doc_id, lang, source, ((greatest(doc_id, 1) - 1) // 25)::bigint as chunk, count(*) over (partition by (greatest(doc_id, 1) - 1) // 25) as held from documents where doc_id is not null"
 
 
 def chunk_firsts(spark, sf):

@@ -53,7 +53,8 @@ def spans(run_chars: DataFrame, font_table: DataFrame) -> DataFrame:
         F.first("size").alias("s"), F.first("font_id").alias("f"), raw.alias("t0"), F.count_if("__bad").cast("int").alias("unmapped"),
     )
     placed = grouped.withColumn("t", normal_text(F.col("t0"))).where((F.trim("t") != "") | (F.col("unmapped") > 0))
-    named = placed.join(F.broadcast(font_table.select("doc_id", F.col("font_id").alias("f"), F.col("family").alias("fam"), F.col("italic").alias("em"), F.col("bold").alias("strong"), "sc", "mono")), ["doc_id", "f"], "left")
+    fonts_of = font_table.select("doc_id", F.col("font_id").alias("f"), F.col("family").alias("fam"), F.col("italic").alias("em"), F.col("bold").alias("strong"), "sc", "mono")
+    named = placed.join(fonts_of, ["doc_id", "f"], "left")
     round_to = lambda c, n: (half_up(F.col(c) * 10**n) / 10**n).alias(c)
     return named.select("doc_id", "page", "o", round_to("x", 2), round_to("y", 2), round_to("w", 2), round_to("s", 1), "h", "f", "fam", "t", "t0", "em", "strong", "sc", "mono", "unmapped")
 
@@ -86,7 +87,7 @@ def recognised_spans(words: DataFrame, pages: DataFrame) -> DataFrame:
     sx = F.when(F.col("img_width") > 0, F.col("pdf_width") / F.col("img_width")).otherwise(1.0)
     sy = F.when(F.col("img_height") > 0, F.col("pdf_height") / F.col("img_height")).otherwise(1.0)
     tall = lambda a, b: F.when(F.coalesce(F.col(a), F.lit(0.0)) != 0, F.col(a)).otherwise(b)
-    scaled = words.join(F.broadcast(pages), ["doc_id", "page"]).withColumn("sx", sx).withColumn("sy", sy).withColumn("height", half_up(tall("lh", F.col("h")) * F.col("sy")).cast("double"))
+    scaled = words.join(pages, ["doc_id", "page"]).withColumn("sx", sx).withColumn("sy", sy).withColumn("height", half_up(tall("lh", F.col("h")) * F.col("sy")).cast("double"))
     modes = scaled.groupBy("doc_id", "page", "height").agg(F.count("*").alias("n")).groupBy("doc_id", "page").agg(F.max(F.struct("n", "height")).alias("m"))
     two = lambda c: half_up(c * 100) / 100
     mode = F.col("m.height")
