@@ -137,3 +137,42 @@ def known_files(paths: DataFrame, known: list[str]) -> DataFrame:
     return wanted.join(paths.select("path"), "path", "left_semi")
 
 
+
+
+def embedded_counts(blocks: DataFrame) -> DataFrame:
+    """(doc_id, embedded, n): how many embedded regions of each type a document has."""
+    return blocks.where("embedded is not null").groupBy("doc_id", "embedded").agg(F.count("*").alias("n"))
+
+
+def distinct_values(spans: DataFrame, refs: DataFrame) -> DataFrame:
+    """(doc_id, sizes, types, methods, decisions): the distinct sizes of spans, ascending, and what a reader can filter by."""
+    sizes = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("sizes"))
+    kinds = refs.groupBy("doc_id").agg(*[F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in ("type", "method", "decision")])
+    return sizes.join(kinds, "doc_id", "full_outer")
+
+
+def unresolved(refs: DataFrame) -> DataFrame:
+    """(doc_id, from, start, key, reason, ord): edges without a destination, by place, as a document's log holds them."""
+    left = refs.where(F.coalesce(F.col("to"), F.col("to_section")).isNull() & (F.col("type") != "external"))
+    w = Window.partitionBy("doc_id").orderBy("from", "start")
+    reason = F.coalesce("reason", F.when(F.col("ambiguous"), "ambiguous").otherwise("no destination"))
+    return left.select("doc_id", "from", "start", "key", reason.alias("reason"), F.row_number().over(w).alias("ord"))
+
+
+def inserted(documents: DataFrame, new: DataFrame) -> DataFrame:
+    """documents with new rows (doc_id, title, storage_path): queued, without progress; ids that are there already stay as they are.
+
+    A title that is missing is the file's name without its ending.
+    """
+    name = F.regexp_replace(F.element_at(F.split("storage_path", "/"), -1), r"\.[A-Za-z0-9]+$", "")
+    fresh = new.dropDuplicates(["doc_id"]).join(documents.select("doc_id"), "doc_id", "left_anti")
+    fresh = fresh.select("doc_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), name).alias("title"), "storage_path", F.lit("queued").alias("status"), F.lit(0).alias("progress"), F.lit(None).cast("string").alias("error"))
+    return documents.unionByName(fresh, allowMissingColumns=True)
+
+
+def failed(documents: DataFrame, errors: DataFrame) -> DataFrame:
+    """documents with those that errors (doc_id, error) name set to failed, with the first message by order; progress stays."""
+    first = errors.groupBy("doc_id").agg(F.min("error").alias("__error"), F.lit(True).alias("__failed"))
+    joined = documents.join(first, "doc_id", "left")
+    held = joined.withColumn("status", F.when(F.col("__failed"), "failed").otherwise(F.col("status"))).withColumn("error", F.coalesce("__error", "error"))
+    return held.drop("__error", "__failed")
