@@ -9,7 +9,7 @@ by the weighted Jaccard similarity of shingle counts. A shingle's weight is how
 
 Windows have the lengths that items have, or a shorter document's own, and are looked at only where they can matter: a
 window of weight v that reaches similarity s with an item of weight w shares at least s / (1 + s) of v + w with it, so
-windows without that many benchmark shingles cannot pass and are not fingerprinted; nor can a document that weighs less
+windows without that many shingles of items of their length cannot pass and are not fingerprinted; nor can a document that weighs less
 than s of the item. A fingerprint's distance is a random
 quantity: at similarity 0.8 it averages 39 bits of 256 with a deviation of 5.7; the default radius lies 3.7 deviations
 above and keeps more than 99.9 per cent of such windows, all exact copies (distance 0) among them. Where a whole
@@ -62,8 +62,8 @@ class BlockIndex:
     """Finds every indexed fingerprint within the radius of a query.
 
     Of BLOCKS blocks, a fingerprint within the radius lies within radius // BLOCKS bits in one of the first
-    radius % BLOCKS + 1, or within one bit less in one of the others. Items are listed by each block's value, six bytes a
-    block; a query looks up all values that near its own.
+    radius % BLOCKS + 1, or within one bit less in one of the others. Items are listed by each block's value, four bytes a
+    block, with where each value's list starts (4 MB in all, whatever the items); a query looks up all values near its own.
     """
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
@@ -72,17 +72,18 @@ class BlockIndex:
         for b in range(BLOCKS):
             near = radius // BLOCKS - (b > radius % BLOCKS)
             masks = np.array([sum(1 << i for i in some) for k in range(near + 1) for some in combinations(range(16), k)], np.uint16)
-            order = np.argsort(prints[:, b], kind="stable").astype(np.int32)
-            self.lists.append((masks, prints[order, b], order))
+            heads = np.concatenate([[0], np.cumsum(np.bincount(prints[:, b], minlength=1 << 16))]).astype(np.int32)
+            self.lists.append((masks, heads, np.argsort(prints[:, b], kind="stable").astype(np.int32)))
 
     def met(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) pairs that share a near block, each once."""
         found = [np.zeros(0, np.int64)]
-        for b, (masks, keys, items) in enumerate(self.lists):
-            tried = (queries[:, b][:, None] ^ masks[None, :]).reshape(-1)
-            start, end = np.searchsorted(keys, tried, "left"), np.searchsorted(keys, tried, "right")
-            hit = np.flatnonzero(end > start)
-            start, size = start[hit], (end - start)[hit]
+        for b, (masks, heads, items) in enumerate(self.lists):
+            tried = (queries[:, b][:, None] ^ masks[None, :]).reshape(-1).astype(np.int64)
+            start = heads.take(tried)
+            size = heads.take(tried + 1) - start
+            hit = np.flatnonzero(size)
+            start, size = start[hit], size[hit]
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
             found.append(np.repeat(hit // max(1, len(masks)), size) * np.int64(max(1, len(self.prints))) + items[at])
         pairs = np.unique(np.concatenate(found))
@@ -100,7 +101,10 @@ class Benchmark:
 
     def __init__(self, ids: list, texts: list[str | None], size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS):
         self.size, self.similarity = size, similarity
-        self.lengths: dict[int, tuple[list, list[dict[int, int]], np.ndarray]] = {}
+        #: Of each length: its items' ids and counted shingles, and the number of its first fingerprint.
+        self.lengths: dict[int, tuple[list, list[dict[int, int]], int]] = {}
+        self.known_of: dict[int, np.ndarray] = {}
+        prints, at = [np.zeros((0, BLOCKS), np.uint16)], 0
         by_length: dict[int, list] = {}
         every = []
         for (_, words), item in zip(text_rows(pa.array(texts, pa.string())), ids, strict=True):
@@ -110,20 +114,23 @@ class Benchmark:
                 every.append(s)
         self.known = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
         for n, items in sorted(by_length.items()):
-            prints = pack(np.stack([bit_signs(s).sum(0, dtype=np.int32) for _, s in items]))
+            prints.append(pack(np.stack([bit_signs(s).sum(0, dtype=np.int32) for _, s in items])))
             weights = []
             for _, s in items:
                 v, c = np.unique(s, return_counts=True)
                 weights.append(dict(zip(v.tolist(), c.tolist(), strict=True)))
-            self.lengths[n] = ([i for i, _ in items], weights, prints)
-        self.radius = radius
-        self._indexes: dict[int, BlockIndex] = {}
-
-    def index(self, length: int) -> BlockIndex:
-        """The index of the items of one length; each worker makes its own, so that only fingerprints travel."""
-        if length not in self._indexes:
-            self._indexes[length] = BlockIndex(self.lengths[length][2], radius=self.radius)
-        return self._indexes[length]
+            self.lengths[n] = ([i for i, _ in items], weights, at)
+            self.known_of[n] = np.unique(np.concatenate([s for _, s in items]))
+            at += len(items)
+        self.prints, self.radius = np.concatenate(prints), radius
+        self._index: BlockIndex | None = None
+
+    @property
+    def index(self) -> BlockIndex:
+        """The index of all items; each worker makes its own, so that only fingerprints travel."""
+        if self._index is None:
+            self._index = BlockIndex(self.prints, radius=self.radius)
+        return self._index
 
     def matches(self, words: np.ndarray) -> list[tuple]:
         """(item id, first word, words, similarity) of each item's best window in a text."""
@@ -140,7 +147,8 @@ class Benchmark:
             if not shared.any():
                 continue
             count = np.concatenate([[0], np.cumsum(shared)])
-            for length, (ids, weights, _) in self.lengths.items():
+            places = np.flatnonzero(shared)
+            for length, (ids, weights, base) in self.lengths.items():
                 if (size == self.size) != (length >= self.size) or (length < self.size and length != size):
                     continue
                 # A text shorter than the item is one window.
@@ -151,6 +159,12 @@ class Benchmark:
                 # Shared shingles that a window needs, of its weight and the item's.
                 need = max(1, int(np.ceil(self.similarity / (1 + self.similarity) * (held + held_item) - 1e-9)))
                 start = np.flatnonzero(count[held:] - count[:-held] >= need)
+                if len(start):
+                    # The same of the shingles that items of this length have.
+                    mine = self.known_of[length]
+                    own = mine[np.minimum(np.searchsorted(mine, shingles[places]), len(mine) - 1)] == shingles[places]
+                    near = places[own]
+                    start = start[np.searchsorted(near, start + held) - np.searchsorted(near, start) >= need]
                 if not len(start):
                     continue
                 lo = 0
@@ -165,7 +179,9 @@ class Benchmark:
                         first = int(here[0])
                         signs = np.zeros((int(here[-1]) + held - first + 1, BITS), np.int32)
                         np.cumsum(bit_signs(shingles[first : int(here[-1]) + held]), axis=0, dtype=np.int32, out=signs[1:])
-                        q, item = self.index(length).search(pack(signs[here + held - first] - signs[here - first]))
+                        q, item = self.index.search(pack(signs[here + held - first] - signs[here - first]))
+                        own = (item >= base) & (item < base + len(ids))
+                        q, item = q[own], item[own] - base
                     for k, i in zip(here[q].tolist(), item.tolist(), strict=True):
                         like = _weighted(shingles[k : k + held], weights[i], held + held_item)
                         if like >= self.similarity and like > best.get(ids[i], (0, 0, -1.0))[2]:
