@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quire.plans import document_plans, relation_plans, text_plans
+from quire.plans import book_plans, document_plans, relation_plans, text_plans
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (text_plans, relation_plans, document_plans):
+for _part in (text_plans, relation_plans, document_plans, book_plans):
     QUERIES |= _part.Q
     ORACLES |= _part.O
