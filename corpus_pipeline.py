@@ -1,6 +1,12 @@
 """A training corpus from the documents table: rejected documents go, one of each group of near copies stays, documents
 with benchmark passages go, personal data is replaced, and what is left is encoded. Each stage is written and read again
-as the next one's documents, so a lost executor costs a stage's tasks and nothing before it."""
+as the next one's documents, so a lost executor costs a stage's tasks and nothing before it.
+
+Nulls: a null text is scored as an empty one and, if it stays, is encoded as one; a null doc_id is a document of its own.
+Empty and very long texts go through every stage whole. Rows repeated under one doc_id are one document to the stage of
+near copies, of which all stay or go, and a row each to the others; of copies the least doc_id stays. An empty table of
+documents gives no rows; an empty table of labels rejects nothing, an empty benchmark finds nothing. Extra columns of
+documents are carried through all stages but the last, whatever their names, but for the name __gone."""
 
 from __future__ import annotations
 
