@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: A worker holds one Arrow batch at a time; long rows make short batches.
 ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
@@ -77,7 +78,7 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow in bounded batches, by workers that give their memory back after each task."""
     small_batches(df.sparkSession)
 

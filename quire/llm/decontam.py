@@ -256,7 +256,7 @@ def _clean(bench: Benchmark):
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that hold no benchmark item, with their own columns."""
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"), F.col("text").cast("string").alias("text"))
-    schema = f"key {wide.schema['key'].dataType.simpleString()}, text string"
+    schema = wide.schema  # as it is: names of columns may hold what DDL would not take
     for k, bench in enumerate(_benchmarks(items, size, similarity)):
         wide = map_arrow(wide if k == 0 else written(wide, "clean"), _clean(bench), schema)
     return wide.select("key.*")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.llm.common import map_arrow
 from quire.llm.words import column_bytes, hash_words, segments, word_spans
@@ -209,5 +210,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return docs
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"), F.col("text").cast("string").alias("text"))
-    schema = f"key {wide.schema['key'].dataType.simpleString()}, score double"
+    schema = StructType([wide.schema["key"], StructField("score", DoubleType())])  # names of columns may hold what DDL would not take
     return map_arrow(wide, _scorer(model), schema).where(F.col("score") >= THRESHOLD).select("key.*")

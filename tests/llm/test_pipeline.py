@@ -68,3 +68,23 @@ def test_every_operator_has_its_query():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert near_duplicates.__doc__
+
+
+def test_empty_tables_repeated_rows_and_extra_columns(spark, tmp_path):
+    r = random.Random(22)
+    texts = [" ".join(corpus.words(r, 60)) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1]), (3, texts[0] + " end"), (None, texts[2]), (4, None), (5, ""), (5, texts[3])]
+    more = "doc_id bigint, text string, key string, score double, `a.b` int"
+    frames = {"documents": spark.createDataFrame([(i, t, "k", 0.5, 7) for i, t in rows], more), "labels": spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), "benchmark": spark.createDataFrame([], "item_id bigint, text string")}
+    for name, df in frames.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    now = frames["documents"]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == frames["documents"].columns
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.text or "") for x in now.collect()) == sorted((-1 if i is None else i, t or "") for i, t in rows if i != 3)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 7
+    empty = tmp_path / "empty"
+    for name, df in frames.items():
+        df.limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
