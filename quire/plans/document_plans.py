@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import spans as S
 from quire.operators import report
 from quire.operators.lines import build_lines
-from quire.plans.common import table
+from quire.plans.common import texts
 from quire.plans.document import analyse_documents, reference_index, table_of
 from quire.sources.texts import document_lines
 
@@ -24,10 +24,10 @@ def laid_out(docs: DataFrame) -> DataFrame:
 
 
 def _model(spark, sf):
-    return analyse_documents(laid_out(table(spark, sf, "documents")))[0]
+    return analyse_documents(laid_out(texts(spark, sf)))[0]
 
 
-Q["lines_from_spans"] = lambda spark, sf: build_lines(laid_out(table(spark, sf, "documents"))).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max("page").alias("pages"), F.sum(F.length("text")).alias("chars"))
+Q["lines_from_spans"] = lambda spark, sf: build_lines(laid_out(texts(spark, sf))).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max("page").alias("pages"), F.sum(F.length("text")).alias("chars"))
 Q["content_blocks"] = lambda spark, sf: table_of(_model(spark, sf), "blocks").select("doc_id", "block_id", "ord", "page", "type", "section", F.length("text").alias("chars"))
 Q["document_sections"] = lambda spark, sf: table_of(_model(spark, sf), "sections").select("doc_id", "section_id", "type", "label", "number", "page", "parent", "depth", "start", "end")
 Q["reference_edges"] = lambda spark, sf: table_of(_model(spark, sf), "refs").select("doc_id", "ref_id", "type", "from", "start", "end", "to", "to_section", "method", "confidence", "score")
@@ -36,7 +36,7 @@ Q["reference_index"] = lambda spark, sf: reference_index(_model(spark, sf)).sele
 
 
 def stage_reports(spark, sf):
-    spans = laid_out(table(spark, sf, "documents"))
+    spans = laid_out(texts(spark, sf))
     model, removed, _ = analyse_documents(spans)
     pages = spans.select("doc_id", "page").distinct().select("doc_id", "page", F.lit("native").alias("method"), F.lit(None).cast("double").alias("mean_confidence"), F.lit(None).cast("string").alias("error"))
     lines = build_lines(spans).select("doc_id", "page", "idx")
@@ -44,5 +44,5 @@ def stage_reports(spark, sf):
 
 
 Q["stage_reports"] = stage_reports
-Q["sentences"] = lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(S.sentence_spans(F.col("text"))).alias("n", "s")).select("doc_id", F.col("n").cast("bigint").alias("n"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"))
-Q["phrase_anchors"] = lambda spark, sf: table(spark, sf, "documents").select("doc_id", S.phrase_spans(F.col("text"), F.regexp_extract("text", r"^\S+\s+(\S+\s+\S+)", 1)).alias("s")).select("doc_id", "s.start", "s.end")
+Q["sentences"] = lambda spark, sf: texts(spark, sf).select("doc_id", F.posexplode(S.sentence_spans(F.col("text"))).alias("n", "s")).select("doc_id", F.col("n").cast("bigint").alias("n"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"))
+Q["phrase_anchors"] = lambda spark, sf: texts(spark, sf).select("doc_id", S.phrase_spans(F.col("text"), F.regexp_extract("text", r"^\S+\s+(\S+\s+\S+)", 1)).alias("s")).select("doc_id", "s.start", "s.end")

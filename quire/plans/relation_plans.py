@@ -9,7 +9,7 @@ from quire.functions import numerals as N
 from quire.functions import text as T
 from quire.functions.stats import first_mode
 from quire.operators import graph, layout, views
-from quire.plans.common import LINES, table
+from quire.plans.common import LINES, table, texts
 from quire.sources.texts import document_lines, html_blocks, html_links
 from quire.streaming.resume import pending
 
@@ -97,7 +97,7 @@ BOOK_LINES = 10
 
 
 def _book_lines(spark, sf):
-    lines = document_lines(table(spark, sf, "documents").where("doc_id is not null"))
+    lines = document_lines(texts(spark, sf).where("doc_id is not null"))
     return lines.select("doc_id", F.floor(F.col("line_no") / BOOK_LINES).cast("bigint").alias("page"), F.col("line_no").alias("idx"), F.lit(10.0).alias("size"), F.col("line").alias("text"))
 
 
@@ -124,7 +124,7 @@ PAGE_LINES = 4
 def band_line_recurrence(spark, sf):
     """Documents as pages: the first and the last line of each, whole, that stand in the same band one or two pages away."""
     # Dealt by document once; pages, bands and neighbours are found where the document is.
-    docs = table(spark, sf, "documents").where("doc_id is not null").repartition("doc_id")
+    docs = texts(spark, sf).where("doc_id is not null").repartition("doc_id")
     lines = document_lines(docs).withColumn("page", F.floor(F.col("line_no") / PAGE_LINES).cast("bigint"))
     edges = lines.groupBy("doc_id", "page").agg(F.min_by("line", "line_no").alias("top"), F.max_by("line", "line_no").alias("bottom"))
     bands = F.array(*[F.struct(F.lit(band).alias("band"), T.head_key(F.col(band)).alias("key")) for band in ("top", "bottom")])

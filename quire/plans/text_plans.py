@@ -9,14 +9,14 @@ from quire.functions import text as T
 from quire.functions.stats import first_mode, low_quantile, percent, top_percentile, upper_median
 from quire.operators import graph, lexicon
 from quire.operators.graph import chunk_of
-from quire.plans.common import LINES, table
+from quire.plans.common import LINES, texts
 from quire.sources.texts import document_lines
 
 Q, O = {}, {}
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return document_lines(table(spark, sf, "documents"))
+    return document_lines(texts(spark, sf))
 
 
 def doc_lines_profile(spark, sf):
@@ -42,7 +42,7 @@ O["doc_lines_profile"] = f"""
 
 
 def text_quality(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.quality(F.col("text")).alias("quality"))
+    return texts(spark, sf).select("doc_id", T.quality(F.col("text")).alias("quality"))
 
 
 _QUALITY = rf"""
@@ -59,7 +59,7 @@ O["text_quality"] = f"with {_QUALITY} select doc_id, quality::double as quality
 
 
 def page_class(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.quality(F.col("text")).alias("quality"), F.length(T.squeezed(F.col("text"))).cast("bigint").alias("chars"))
+    docs = texts(spark, sf).select("doc_id", T.quality(F.col("text")).alias("quality"), F.length(T.squeezed(F.col("text"))).cast("bigint").alias("chars"))
     kind = T.page_kind(F.col("chars"), F.col("quality"))
     return docs.select("doc_id", "chars", "quality", kind.alias("kind"), F.when(kind == "native", "native").otherwise("ocr").alias("method"))
 
@@ -70,7 +70,7 @@ O["page_class"] = f"with {_CLASS} select *, case when kind = 'native' then 'nati
 
 
 def doc_kind(spark, sf):
-    pages = page_class(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    pages = page_class(spark, sf).join(texts(spark, sf).select("doc_id", "source"), "doc_id")
     native, ocr = F.count_if(F.col("method") == "native"), F.count_if(F.col("method") == "ocr")
     kind = F.when((ocr == 0) & (native == 0), "empty").when(ocr == 0, "native-text").when(native == 0, "scanned").otherwise("mixed")
     return pages.groupBy("source").agg(native.alias("native_pages"), ocr.alias("ocr_pages"), kind.alias("kind"))
@@ -84,7 +84,7 @@ O["doc_kind"] = f"""with {_CLASS}, m as (select source, count(*) filter (kind =
 
 def _repeated(spark, sf):
     lines = _lines(spark, sf).where((F.length("line") <= 45) & ~F.col("line").rlike(T.STRUCTURAL)).withColumn("key", T.shape_key(F.col("line")))
-    docs = table(spark, sf, "documents").agg(F.count("*").alias("docs"))
+    docs = texts(spark, sf).agg(F.count("*").alias("docs"))
     groups = lines.groupBy("key").agg(F.count("*").alias("n"), F.bool_and(F.col("line").rlike(T.NUMERAL_LINE)).alias("numeric"))
     # One row: how many documents there are.
     return lines, groups.join(F.broadcast(docs)).where(F.col("n") >= F.greatest(F.lit(8.0), F.col("docs") * 0.01))
@@ -151,7 +151,7 @@ O["line_joiners"] = f"""with {LINES}, comp as (select distinct doc_id, replace(c
 
 
 def search_snippets(spark, sf, q: str = "ndthat"):
-    docs = table(spark, sf, "documents").withColumn("at", F.instr(F.lower("text"), q) - 1).where("at >= 0")
+    docs = texts(spark, sf).withColumn("at", F.instr(F.lower("text"), q) - 1).where("at >= 0")
     return docs.select("doc_id", F.col("at").cast("bigint").alias("at"), T.snippet(F.col("text"), F.col("at"), len(q)).alias("snippet"))
 
 
@@ -163,7 +163,7 @@ O["search_snippets"] = """with h as (select doc_id, text, instr(lower(text), 'nd
 
 def search_hits(spark, sf, q: str = "the"):
     """Documents as blocks: the first hits of a search, as a reader is shown them."""
-    docs = table(spark, sf, "documents").where("doc_id is not null")
+    docs = texts(spark, sf).where("doc_id is not null")
     return graph.search(docs.select("doc_id", F.col("doc_id").alias("block_id"), F.col("doc_id").alias("ord"), "text"), q)
 
 
@@ -171,14 +171,14 @@ Q["search_hits"] = search_hits
 O["search_hits"] = """with h as (select doc_id, text, instr(lower(text), 'the') - 1 as p from documents where instr(lower(text), 'the') > 0 order by doc_id limit 200)
     select doc_id, doc_id as block_id, substr(text, greatest(0, p - 60)::bigint + 1, p + 83 - greatest(0, p - 60)::bigint) as snippet from h"""
 
-Q["chunk_partition"] = lambda spark, sf: table(spark, sf, "documents").groupBy(chunk_of(F.col("doc_id")).cast("bigint").alias("chunk")).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+Q["chunk_partition"] = lambda spark, sf: texts(spark, sf).groupBy(chunk_of(F.col("doc_id")).cast("bigint").alias("chunk")).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 O["chunk_partition"] = "select ((greatest(doc_id, 1) - 1) // 25)::bigint as chunk, count(*) as docs, min(doc_id) as first_doc, max(doc_id) as last_doc from documents group by 1"
 
 
 
 def chunk_lookup(spark, sf):
     """Chunks as directories: every document with the chunk that holds it, found again from the chunk's range."""
-    docs = table(spark, sf, "documents").where("doc_id is not null").withColumn("chunk", chunk_of(F.col("doc_id")).cast("bigint"))
+    docs = texts(spark, sf).where("doc_id is not null").withColumn("chunk", chunk_of(F.col("doc_id")).cast("bigint"))
     ranges = docs.groupBy("chunk").agg(F.count("*").alias("held"))
     return docs.join(ranges, "chunk").select("doc_id", "lang", "source", "chunk", "held")
 
@@ -189,7 +189,7 @@ O["chunk_lookup"] = "select doc_id, lang, source, ((greatest(doc_id, 1) - 1) //
 
 def chunk_firsts(spark, sf):
     """Every document with the first document of its chunk."""
-    docs = table(spark, sf, "documents").withColumn("chunk", chunk_of(F.col("doc_id")).cast("bigint"))
+    docs = texts(spark, sf).withColumn("chunk", chunk_of(F.col("doc_id")).cast("bigint"))
     firsts = docs.groupBy("chunk").agg(F.min("doc_id").alias("first_doc"))
     found = firsts.join(docs.select(F.col("doc_id").alias("first_doc"), F.col("lang").alias("first_lang")), "first_doc")
     return docs.join(found, "chunk").select("doc_id", "lang", "source", "chunk", "first_doc", "first_lang")
@@ -201,7 +201,7 @@ O["chunk_firsts"] = """with d as (select doc_id, lang, source, ((greatest(doc_id
 
 
 def _glued(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(T.glued_symbols(F.col("text"))).alias("symbol"))
+    return texts(spark, sf).select("doc_id", F.explode(T.glued_symbols(F.col("text"))).alias("symbol"))
 
 
 Q["glued_symbol_markers"] = lambda spark, sf: _glued(spark, sf).groupBy("doc_id", "symbol").agg(F.count("*").alias("n"))
@@ -210,7 +210,7 @@ O["glued_symbol_markers"] = r"""with m as (select doc_id, unnest(regexp_extract_
 
 
 def _parens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\(([0-9]{1,3})\)"), F.lit(1))).alias("pos", "key"))
+    return texts(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\(([0-9]{1,3})\)"), F.lit(1))).alias("pos", "key"))
 
 
 def marker_census(spark, sf):
@@ -228,7 +228,7 @@ O["paren_markers"] = r"with p as (select doc_id, regexp_extract_all(text, '\(([0
 
 
 def stage_metrics(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     text = F.col("text")
     glued, bad, broken = text.rlike("[a-z]{2}[.,;!?”][A-Za-z]"), text.rlike(r"[\x00\x{FFFD}]"), text.rlike(r"[A-Za-z0-9_]-\s[A-Za-z0-9_]")
     filled = F.count_if(F.length(F.trim("text")) > 0)
