@@ -66,6 +66,7 @@ def joiner(before: str, after: str, compounds: set[str]) -> str:
     before, after = before.rstrip(), after.lstrip()
     if not re.match("[a-z]", after):
         return " "
+    before = before[before.rfind(" ") + 1 :]  # no more than its last word is asked for
     if re.search("[-‐]$", before):
         a, b = re.search("([A-Za-zÀ-ɏ]+)[-‐]$", before), re.match("[a-zÀ-ɏ]+", after)
         return "-" if a and b and f"{a[1]}-{b[0]}".lower() in compounds else ""
@@ -79,6 +80,7 @@ def compounds_of(lines: list[dict]) -> set[str]:
 
 
 FLAGS = ("em", "strong", "sup", "sub", "code", "sc")
+SPACES = re.compile(r"\s+")
 
 
 def tidy_runs(runs: list[dict]) -> list[dict]:
@@ -93,10 +95,32 @@ def tidy_runs(runs: list[dict]) -> list[dict]:
         elif r["t"].strip() or out:
             out.append({"t": r["t"], "sources": sources, **flags})
     for r in out:
-        r["t"] = re.sub(r"\s+", " ", r["t"])
+        r["t"] = SPACES.sub(" ", r["t"])
     return [r for r in out if r["t"]]
 
 
+def joined(text: str, more: str) -> str:
+    """more at the end of a text whose white space is squeezed; work in proportion to what is new."""
+    more = SPACES.sub(" ", more)
+    return text + (more[1:] if more.startswith(" ") and text.endswith(" ") else more)
+
+
+def run_on(runs: list[dict], more: list[dict]) -> list[dict]:
+    """Runs at the end of tidy ones, joined and squeezed as tidy_runs has it."""
+    runs = [r for r in runs if r["t"]]
+    if not runs:
+        return tidy_runs(more)
+    for r in more:
+        flags = {f: True for f in FLAGS if r.get(f)}
+        sources = list(r.get("sources") or ([{"page": r.get("page"), "o": r["o"]}] if r.get("o") is not None else []))
+        if {f for f in FLAGS if runs[-1].get(f)} == set(flags):
+            runs[-1]["t"] = joined(runs[-1]["t"], r["t"])
+            runs[-1]["sources"] += sources
+        elif r["t"]:
+            runs.append({"t": SPACES.sub(" ", r["t"]), "sources": sources, **flags})
+    return runs
+
+
 @dataclass
 class Profile:
     """Measures of a document's page."""
@@ -175,6 +199,7 @@ class _Assembly:
     stack: list[dict] = field(default_factory=list)
     open: dict | None = None
     verse_line: int = 0
+    squeezed: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         self.enter({"type": "root", "label": self.title, "number": None, "title": self.title}, 1, -1)
@@ -208,11 +233,14 @@ class _Assembly:
         put = joiner(block["text"], text, self.compounds)
         runs = block["runs"]
         if put != " ":
-            block["text"] = re.sub("[-‐]$", "", block["text"])
+            block["text"] = block["text"][:-1] if block["text"].endswith(("-", "‐")) else block["text"]
             if runs:
                 runs[-1]["t"] = re.sub(r"[-‐]\s*$", "", runs[-1]["t"])
-        block["text"] = re.sub(r"\s+", " ", block["text"] + put + text)
-        block["runs"] = tidy_runs([*runs, *([{"t": put}] if put else []), *({**r, "page": line["page"]} for r in line["runs"])])
+        if block["block_id"] not in self.squeezed:
+            block["text"] = SPACES.sub(" ", block["text"])
+            self.squeezed.add(block["block_id"])
+        block["text"] = joined(block["text"], put + text)
+        block["runs"] = run_on(runs, [*([{"t": put}] if put else []), *({**r, "page": line["page"]} for r in line["runs"])])
         block["boxes"].append({"page": line["page"], "x": line["x"], "y": line["y"], "w": line["right"] - line["x"], "h": line["size"]})
         if line["page"] not in block["pages"]:
             block["pages"].append(line["page"])
