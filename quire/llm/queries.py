@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import table
+from quire.llm.conversations import structure
 from quire.llm.decontam import contaminated
 from quire.llm.fingerprint import fingerprints
 from quire.llm.langid import languages
+from quire.llm.licences import licences
+from quire.llm.merkle import manifest
 from quire.llm.minhash import near_duplicates
 from quire.llm.pieces import round_trip
 from quire.llm.pii import find_private
@@ -66,6 +69,18 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure(table(spark, sf_dir, "conversations"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(table(spark, sf_dir, "documents")).drop("expressions")
+
+
 # What SQL can say of operators whose other columns it cannot: the same operators, fewer columns.
 
 
@@ -89,6 +104,10 @@ def private_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_weak_supervision_pii(spark, sf_dir).drop("spans", "n_added")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_license_scan(spark, sf_dir).drop("labels", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_simhash_decontamination": op2_simhash_decontamination,
@@ -100,19 +119,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_circulant_minhash": op7_circulant_minhash,
     "op9_deep_shallow_suffixes": op9_deep_shallow_suffixes,
     "op10_weak_supervision_pii": op10_weak_supervision_pii,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_license_scan": op13_license_scan,
     "quality_folds": quality_folds,
     "language_folds": language_folds,
     "edited_texts": edited_texts,
     "decoded_pieces": decoded_pieces,
     "private_base_spans": private_base_spans,
+    "license_base": license_base,
 }
 
-# The crc32 of a doc_id's text, bit by bit.
-_CRC = "list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))"
+
+
+def _crc(text: str) -> str:
+    """The crc32 of an ASCII text, bit by bit."""
+    step = "lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)), {step}), 4294967295)"
 
 
 def _folds(parts: int, held: int) -> str:
-    return f"select doc_id, case when doc_id is null then false else xor({_CRC}, 4294967295) % {parts} = {held} end as held_out from documents"
+    return f"select doc_id, case when doc_id is null then false else {_crc('doc_id::varchar')} % {parts} = {held} end as held_out from documents"
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::varchar))::varchar || ':' || {column}::varchar, '-')"
+
+
+_LEAF = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The ways into each state by one insert, as (from, to).
+_NEXT = {"e": "u", "s": "u", "u": "a", "a": "u"}
+
+
+def _least(*ways: str) -> str:
+    """The least of (cost, audit) structs; nulls are no ways."""
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w is not null))[1]"
+
+
+def _way(state: str, cost: str, edit: str, when: str = "true") -> str:
+    return f"case when {state} is not null and {when} then {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}'}} end"
+
+
+def _repair() -> tuple[str, str]:
+    """SQL of the states after a turn, and of the states after at most one insert more."""
+    more, free = "cut", "not goes"
+    took = {
+        "e": [_way("e", "3", "D")],
+        "s": [_way("s", "3", "D"), _way("e", more, "K", f"{free} and i = 's'")],
+        "u": [_way("u", "3", "D")] + [_way(x, f"2 + {more}", "R", free) for x in "esa"] + [_way(x, more, "K", f"{free} and i = 'u'") for x in "esa"],
+        "a": [_way("a", "3", "D"), _way("u", f"2 + {more}", "R", free), _way("u", more, "K", f"{free} and i = 'a'")],
+    }
+    turn = ", ".join(f"{_least(*ways)} as {state}" for state, ways in took.items())
+    insert = ", ".join(f"{_least(state, *[_way(x, '2', 'I') for x, to in _NEXT.items() if to == state])} as {state}" for state in "esua")
+    return turn, insert
 
 
 ORACLES: dict[str, str] = {
@@ -163,6 +223,80 @@ ORACLES: dict[str, str] = {
                case when t.doc_id is null then sha256(b) else sha256(unhex(coalesce(kept, ''))) end as kept_sha256
         from n left join t using (doc_id) left join p using (doc_id)
     """,
+    "op11_merkle_manifest": f"""
+        with recursive d as (
+          select doc_id, lang, sha256({_LEAF} || {_field("text")}) as leaf, sha256({_LEAF} || {_field(_LOW)}) as bad,
+                 coalesce({_crc("doc_id::varchar")} % 3 = 0, false) as hit from documents),
+        l as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from d),
+        up(lang, n, lvl, i, h) as (
+          select lang, n, 0, i, leaf from l
+          union all select lang, (n + 7) // 8, lvl + 1, i // 8, sha256(string_agg(h, '' order by i)) from up where n > 1 group by lang, n, lvl, i // 8),
+        top as (select lang, lvl, h, row_number() over (order by lang nulls first) - 1 as r, count(*) over () as m from up where n = 1),
+        crown(n, lvl, i, h) as (
+          select m, 0, r, h from top
+          union all select (n + 7) // 8, lvl + 1, i // 8, sha256(string_agg(h, '' order by i)) from crown where n > 1 group by n, lvl, i // 8),
+        kids as (
+          select top.r as tree, up.lvl, up.i // 8 as run, list(up.h order by up.i) as hs from up join top on top.lang is not distinct from up.lang where up.n > 1 group by all
+          union all select -1, lvl, i // 8, list(h order by i) from crown where n > 1 group by all),
+        start as (select row_number() over () as k, l.*, top.r, top.h as subroot, top.lvl as depth from l join top on top.lang is not distinct from l.lang),
+        climb(k, r, depth, tree, lvl, i, h, sib) as (
+          select k, r, depth, r, 0, i, case when hit then bad else leaf end, '' from start
+          union all
+          select c.k, c.r, c.depth, coalesce(kids.tree, -1), case when kids.tree is null then 0 else c.lvl + 1 end, case when kids.tree is null then c.r else c.i // 8 end,
+                 case when kids.tree is null then c.h else sha256(array_to_string(hs[1 : (c.i % 8)::int], '') || c.h || array_to_string(hs[(c.i % 8 + 2)::int :], '')) end,
+                 case when kids.tree is null then c.sib else c.sib || array_to_string(hs[1 : (c.i % 8)::int], '') || array_to_string(hs[(c.i % 8 + 2)::int :], '') end
+          from climb c left join kids on kids.tree = c.tree and kids.lvl = c.lvl and kids.run = c.i // 8
+          where kids.tree is not null or c.tree >= 0),
+        done as (select k, h, sib from climb where tree = -1 qualify row_number() over (partition by k order by lvl desc) = 1),
+        root as (select h as root from crown where n = 1)
+        select doc_id, leaf, subroot, root, sha256(sib) as proof_sha256, h as folded_root, h = root as verified from start join done using (k), root
+    """,
+    "op12_conversation_repair": rf"""
+        with recursive o as (
+          select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                 {_crc("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as k from conversations),
+        d as (
+          select conv_id, turn, case when k = 4 then 'user' else role end as role,
+                 case k when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+          from (select *, unnest(range(case when k = 3 then 2 else 1 end)) from o where k <> 0)),
+        t as (
+          select *, row_number() over (partition by conv_id, role, text order by j) > 1 as again,
+                 rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as said, left(role, 1) as i,
+                 left(role, 1) || lead(left(role, 1)) over (partition by conv_id order by j) as pair
+          from (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(octet_length(encode(role)) || ':' || role || text)) as j from d)),
+        f as (
+          select *, said = '' as blank, said <> '' and again as duplicate, said <> '' and not again and right(said, 1) not in ('.', '!', '?') as short,
+                 said = '' or again as goes, case when said <> '' and not again and right(said, 1) not in ('.', '!', '?') then 1 else 0 end as cut from t),
+        z as (
+          select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+                 count(*) filter (short) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as n from f group by conv_id),
+        x(conv_id, j, e, s, u, a) as (
+          select conv_id, 0, {{'c': 0, 'a': ''}}, null::struct(c integer, a varchar), {{'c': 2, 'a': 'I'}}, {{'c': 4, 'a': 'II'}} from z
+          union all
+          select conv_id, j, {_repair()[1]} from (
+            select conv_id, j, {_repair()[1]} from (
+              select x.conv_id, f.j, {_repair()[0]} from x join f on f.conv_id is not distinct from x.conv_id and f.j = x.j + 1))),
+        b as (select z.*, {_least("e", "a")} as best from z join x on x.conv_id is not distinct from z.conv_id and x.j = z.n),
+        p as (select conv_id, best.a as audit, unnest(generate_series(1, length(best.a))) as q from b),
+        e as (
+          select conv_id, q, audit[q] as edit, audit, length(replace(audit[1 : q], 'I', '')) as j, length(replace(audit[1 : q], 'D', '')) - 1 as m,
+                 length(replace(audit, 'D', '')) % 2 as odd from p),
+        r as (
+          select e.conv_id, string_agg(case when edit = 'K' then f.role when (m - odd) % 2 = 0 then 'user' else 'assistant' end || ':' || case when edit = 'I' then '' else f.text end, chr(10) order by q) as said
+          from e left join f on f.conv_id is not distinct from e.conv_id and f.j = e.j where edit <> 'D' group by e.conv_id)
+        select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+               coalesce(illegal, 0)::bigint as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(said, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) c left join b on b.conv_id is not distinct from c.conv_id left join r on r.conv_id is not distinct from c.conv_id
+    """,
+    "license_base": r"""
+        with w as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        p as (select unnest([{'p': 'under the mit license', 'l': 'mit'}, {'p': 'apache license version 2', 'l': 'apache-2'}, {'p': 'cc by nc', 'l': 'cc-by-nc'}], recursive := true)),
+        h as (select r, l, unnest(range(len(w))) as i, w, string_split(p, ' ') as q from w, p where list_contains(w, string_split(p, ' ')[1])),
+        b as (select r, l, i from h where w[i + 1 : i + len(q)] = q)
+        select doc_id, len(any_value(w))::bigint as n_words, count(b.i) as n_base, min(b.i)::bigint as first_word, max(b.i)::bigint as last_word,
+               coalesce(string_agg(distinct l, ',' order by l), '') as base_labels
+        from w left join b using (r) group by w.r, doc_id
+    """,
     "quality_folds": _folds(4, 2),
     "language_folds": _folds(3, 1),
     "edited_texts": """
