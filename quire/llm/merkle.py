@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quire.llm.common import shared_dir
+from quire.llm.common import shared_dir, written
 
 FANOUT, CROWN = 8, -1
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -213,7 +213,9 @@ def inclusion_proofs(leaves: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     order = [F.asc_nulls_first("group"), F.asc_nulls_first("key"), F.asc("leaf")]
-    ordered = leaves.select("group", "key", "leaf", "carried").repartitionByRange(*order).sortWithinPartitions(*order)
+    # Rows are hashed once: the range sort samples its input before it deals it out.
+    leaves = written(leaves.select("group", "key", "leaf", "carried"), "merkle-leaves")
+    ordered = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = ordered.rdd.map(lambda r: (r[0], r[1], bytes(r[2]), None if r[3] is None else bytes(r[3])))
     rows.checkpoint()
     ends = dict(rows.mapPartitionsWithIndex(lambda part, it: [(part, e) for e in _ends(it)]).collect())

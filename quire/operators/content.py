@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from math import floor
 
 import regex as re
 
 from quire.operators.lexicon import SHORT_WORDS
-from quire.operators.lines import upper_median
 from quire.operators.systems import PROSE, Tree
-from quire.operators.verse import first_mode
 
 # How divisions are headed and what they are, and in which order they hold one another.
 DIVISION = re.compile(r"(book|volume|part|chapter|canto|act|scene|section|appendix|letter)\s+([0-9]+|[IVXLCDM]+|[A-Za-z]+(?:-[A-Za-z]+)?)(?![A-Za-z0-9_])[.:—–-]?\s*(.*)", re.IGNORECASE)
@@ -33,6 +32,16 @@ ITEM = re.compile(r"\s*\(?([0-9]{1,2}|[a-z]|[ivxIVX]{1,4})[.)]\s+\S")
 BIG, INDENT, ZONE = 1.12, 6.0, 24.0
 
 
+def upper_median(values: list[float]) -> float:
+    return sorted(values)[len(values) // 2] if values else 0.0
+
+
+def first_mode(values: list[float], step: float) -> float:
+    """The bin of a step's width that most values round to, of equals the one met first."""
+    bins = Counter(floor(v / step + 0.5) * step for v in values)
+    return float(bins.most_common(1)[0][0]) if bins else 0.0
+
+
 def roman(token: str) -> int | None:
     if not re.fullmatch("[IVXLCDM]+", token, re.IGNORECASE):
         return None

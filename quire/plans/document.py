@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex as re
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from quire.operators.content import Profile, assemble
 from quire.operators.lines import build_lines
 from quire.operators.references import references
 from quire.operators.systems import apparatus, page_notes
-from quire.operators.verse import detect_verse
+from quire.operators.verse import verse_input, verse_regions
 
 GATE = 50
 
@@ -42,40 +41,42 @@ TABLES = {
 MODEL = "doc_id string, " + ", ".join(f"{k} array<{v}>" for k, v in TABLES.items()) + ", profile struct<body:double,indent:double,left:double,right:double,leading:double>"
 
 
-def line_words(line: dict, top: float) -> list[dict]:
-    """A line's words with their extents, spread evenly over each run."""
-    runs = [r for r in line["runs"] if r["t"].strip()]
-    out = []
-    for k, r in enumerate(runs):
-        end = max(r["x"] + 1, runs[k + 1]["x"] if k + 1 < len(runs) else line["right"])
-        wide = (end - r["x"]) / max(1, len(r["t"]))
-        out += [{"x0": r["x"] + m.start() * wide, "x1": r["x"] + m.end() * wide, "text": m[0], "top": top} for m in re.finditer(r"\S+", r["t"])]
-    return out
-
-
-def verse_gate(lines: list[dict], profile: Profile):
-    """Which lines may be verse: all in short documents and where only unnumbered verse is proven, none where none is, else
-    those of the proven regions."""
-    if len(lines) < GATE:
-        return lambda line: True
-    tops: dict[int, float] = {}
-    for line in lines:
-        tops[line["page"]] = max(tops.get(line["page"], line["y"]), line["y"])
-    flat = [{**line, "top": tops[line["page"]] - line["y"], "words": line_words(line, tops[line["page"]] - line["y"])} for line in lines]
-    flat = [line for line in flat if line["words"]]
-    regions = detect_verse(flat, profile.body, profile.leading or 14.0)
-    if regions and not any(r["chains"] for r in regions):
-        return lambda line: True
-    allowed = {(flat[k]["page"], flat[k]["idx"]) for r in regions for k in range(r["start"], r["end"] + 1)}
-    return lambda line: (line["page"], line["idx"]) in allowed
+def verse_gate(lines: DataFrame) -> DataFrame:
+    """(doc_id, verse): which lines (page, idx) of a document may be verse; null where all may, since only verse without numbers
+    is proven. Documents of fewer than GATE lines have no row: all of theirs may."""
+    long = lines.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= GATE).select("doc_id")
+    mine = lines.join(long, "doc_id", "left_semi")
+    given = verse_input(mine, line_measures(mine))
+    regions = verse_regions(given).where("proven")
+    numbered = regions.groupBy("doc_id").agg(F.max("chains").alias("chains"))
+    covered = regions.select("doc_id", F.explode(F.sequence("start", "end")).alias("pos"))
+    allowed = given.select("doc_id", "pos", "page", "idx").join(covered, ["doc_id", "pos"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("page", "idx")).alias("allowed"))
+    none = F.array().cast("array<struct<page:int,idx:int>>")
+    return long.join(numbered, "doc_id", "left").join(allowed, "doc_id", "left").select("doc_id", F.when(F.col("chains") == 0, None).otherwise(F.coalesce("allowed", none)).alias("verse"))
+
+
+def line_measures(lines: DataFrame) -> DataFrame:
+    """(doc_id, body, leading): the most frequent size of lines over 40 letters, 12 where there are none, and gap, to a half; of
+    equals the first seen. One pass: each line counts for both."""
+    half = lambda c: F.floor(F.col(c) * 2 + 0.5) / 2
+    counted = F.array(
+        F.when(F.length("text") > 40, F.struct(F.lit("body").alias("kind"), half("size").alias("bin"))),
+        F.when((F.col("gap") > 2) & (F.col("gap") < 60), F.struct(F.lit("leading").alias("kind"), half("gap").alias("bin"))),
+    )
+    bins = lines.select("doc_id", F.struct("page", "idx").alias("at"), F.explode(counted).alias("m")).where("m is not null").groupBy("doc_id", "m.kind", "m.bin").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    most = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.col("bin")), F.when(F.col("kind") == kind, F.struct(-F.col("n"), F.col("at"))))
+    found = bins.groupBy("doc_id").agg(most("body").alias("body"), most("leading").alias("leading"))
+    return lines.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce(F.nullif("body", F.lit(0.0)), F.lit(12.0)).alias("body"), F.coalesce("leading", F.lit(0.0)).alias("leading"))
 
 
 def analyse(doc: dict) -> dict:
-    """One document's tables from {doc_id, title, lines, outline, links, page_map}."""
+    """One document's tables from {doc_id, title, lines, outline, links, page_map, verse}."""
     lines = sorted(doc["lines"] or [], key=lambda line: (line["page"], line["idx"]))
     profile = Profile.of(lines)
     outline = sorted(doc["outline"] or [], key=lambda o: o["ord"])
-    blocks, sections, profile = assemble(lines, outline, doc["title"] or "Document", verse_gate(lines, profile), profile)
+    verse = None if doc["verse"] is None else {(v["page"], v["idx"]) for v in doc["verse"]}
+    may_be_verse = lambda line: verse is None or (line["page"], line["idx"]) in verse
+    blocks, sections, profile = assemble(lines, outline, doc["title"] or "Document", may_be_verse, profile)
     systems, entries, rejected = apparatus(blocks, sections, any(b["type"] == "verse-line" for b in blocks))
     more, notes = page_notes(blocks, sections, len(systems))
     systems, entries = systems + more, entries + notes
@@ -132,11 +133,12 @@ def analyse_documents(spans: DataFrame, outline: DataFrame | None = None, links:
     for name, table in (("outline", outline), ("links", links)):
         docs = docs.join(by_doc(table, name), "doc_id", "left") if table is not None else docs.withColumn(name, F.lit(None).cast(blank[name]))
     docs = docs.join(titles, "doc_id", "left") if titles is not None else docs.withColumn("title", F.lit(None).cast("string"))
+    docs = docs.join(verse_gate(kept), "doc_id", "left")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     kind = StructType.fromDDL(MODEL)
     # Assembling is work by document, not by byte: as many tasks as a shuffle has, whatever the sizes.
     spread = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    model = spread.select("doc_id", "title", "lines", "outline", "links", "page_map").mapInArrow(_analyser(to_arrow_schema(kind)), MODEL)
+    model = spread.select("doc_id", "title", "lines", "outline", "links", "page_map", "verse").mapInArrow(_analyser(to_arrow_schema(kind)), MODEL)
     return model, removed, mapped
 
 
