@@ -3,35 +3,48 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import snippet
 
-PAGES_PER_CHUNK, HITS, MOST_DOUBLINGS = 25, 200, 40
+PAGES_PER_CHUNK, HITS = 25, 200
 
 
 def ancestors(nodes: DataFrame, node: str = "section_id", parent: str = "parent", by: str = "doc_id") -> DataFrame:
     """(by, node, ancestor, distance) of a forest, each node its own ancestor at distance 0.
 
-    Steps double: with the paths of less than 2**i steps and where 2**i steps lead, one join gives those of less than
-    2**(i + 1). A tree of depth d takes log2(d) rounds, whatever its size; each round's leaps are checkpointed. Parents that
-    are no nodes end a path. A circle would have no end and is refused.
+    First the leaps double: where one step leads, where two, four and so on, each a join of nodes with nodes, checkpointed.
+    A tree of depth d takes log2(d) rounds. In each, nodes nearer to the top than the leap drop out; a round that loses none
+    has met a circle, which is refused before any path is made. Then the paths double: those of less than 2**i steps and the
+    leaps of 2**i give those of 2**i to 2**(i + 1) - 1, checkpointed on their own, so that a plan is no longer than its round.
+
+    Parents that are no nodes, or null, end a path. Rows repeated whole count once; a node with several parents has the paths
+    by each of them. Nodes whose `by` is null have only themselves.
     """
-    tree = nodes.select(F.col(by).alias("k"), F.col(node).alias("node"), F.col(parent).alias("up"))
-    known = tree.select("k", F.col("node").alias("up")).distinct()
-    leaps = tree.where("up is not null").join(known, ["k", "up"], "left_semi")
-    paths = tree.select("k", "node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    for i in range(MOST_DOUBLINGS):
-        leaps = settled(leaps.select("k", "node", "up"))
-        if leaps.isEmpty():
-            return paths.select(F.col("k").alias(by), F.col("node").alias(node), "ancestor", "distance")
-        on = leaps.select("k", F.col("node").alias("ancestor"), "up")
-        further = paths.join(on, ["k", "ancestor"]).select("k", "node", F.col("up").alias("ancestor"), (F.col("distance") + 2**i).alias("distance"))
-        paths = paths.unionByName(further)
-        leaps = leaps.join(on.select("k", F.col("ancestor").alias("up"), F.col("up").alias("next")), ["k", "up"]).select("k", "node", F.col("next").alias("up"))
-    raise ValueError("the sections hold a circle")
+    tree = settled(nodes.select(F.col(by).alias("k"), F.col(node).alias("node"), F.col(parent).alias("up")).distinct())
+    names = tree.select("k", "node").distinct()
+    step = tree.where("up is not null").join(names.select("k", F.col("node").alias("up")), ["k", "up"], "left_semi").select("k", "node", "up")
+    leaps, left = [], None
+    while True:
+        step = settled(step)
+        still = step.select("k", "node").distinct().count()
+        if not still:
+            break
+        if still == left:
+            raise ValueError(f"{still} sections lie on or under a circle")
+        leaps, left = [*leaps, step], still
+        on = step.select("k", F.col("node").alias("up"), F.col("up").alias("next"))
+        step = step.join(on, ["k", "up"]).select("k", "node", F.col("next").alias("up")).distinct()
+    parts = [names.select("k", "node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))]
+    for i, leap in enumerate(leaps):
+        on = leap.select("k", F.col("node").alias("ancestor"), "up")
+        further = [p.join(on, ["k", "ancestor"]).select("k", "node", F.col("up").alias("ancestor"), (F.col("distance") + 2**i).alias("distance")) for p in parts]
+        parts.append(settled(reduce(DataFrame.unionByName, further).distinct()))
+    paths = reduce(DataFrame.unionByName, parts)
+    return paths.select(F.col("k").alias(by), F.col("node").alias(node), "ancestor", "distance")
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from quire.functions.spans import inline_pieces
 from quire.functions.stats import first_mode
 from quire.operators import layout
 from quire.operators.content import Profile, assemble
+from quire.operators.graph import settled
 from quire.operators.lines import build_lines
 from quire.operators.references import references
 from quire.operators.systems import apparatus, page_notes
@@ -46,8 +47,8 @@ def verse_gate(lines: DataFrame) -> DataFrame:
     is proven. Documents of fewer than GATE lines have no row: all of theirs may."""
     long = lines.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= GATE).select("doc_id")
     mine = lines.join(long, "doc_id", "left_semi")
-    given = verse_input(mine, line_measures(mine))
-    regions = verse_regions(given).where("proven")
+    given = settled(verse_input(mine, line_measures(mine)))
+    regions = settled(verse_regions(given).where("proven"))
     numbered = regions.groupBy("doc_id").agg(F.max("chains").alias("chains"))
     covered = regions.select("doc_id", F.explode(F.sequence("start", "end")).alias("pos"))
     allowed = given.select("doc_id", "pos", "page", "idx").join(covered, ["doc_id", "pos"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("page", "idx")).alias("allowed"))
@@ -121,10 +122,10 @@ def analyse_documents(spans: DataFrame, outline: DataFrame | None = None, links:
     text, dest_page, dest_y, url); titles (doc_id, title). The model is one row for each document.
     """
     spark = spans.sparkSession
-    # Furniture, numbers and texts all read the lines; they are folded once and can be folded again if an executor goes.
-    lines = build_lines(spans).persist(StorageLevel.MEMORY_AND_DISK)
+    # Furniture, numbers, verse and texts all read the lines; they are folded once and lie in the shared folder.
+    lines = settled(build_lines(spans))
     profile = body_profile(lines)
-    removed = layout.furniture(lines, profile)
+    removed = settled(layout.furniture(lines, profile))
     mapped = layout.page_map(removed, layout.page_numbers(lines))
     kept = lines.join(removed.select("doc_id", "page", "idx"), ["doc_id", "page", "idx"], "left_anti")
     by_doc = lambda df, name: df.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"])).alias(name))

@@ -1,37 +1,43 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import graph, layout, report
 from quire.operators.content import heading_of, joiner, repair_words
-from quire.operators.lines import build_lines, page_lines
+from quire.operators.lines import build_lines
 from quire.operators.references import Document, recognition, reconcile
 from quire.operators.systems import apparatus, census, longest_count, match_entry, opening_lemma, page_notes, Tree
-from quire.operators.verse import chains, detect_verse, smooth
-from quire.plans.document import analyse, analyse_documents, body_profile, inline_view, reference_index, table_of
+from quire.operators.verse import chain_members, smoothed, verse_input, verse_regions
+from quire.plans.document import analyse, analyse_documents, body_profile, inline_view, line_measures, reference_index, table_of, verse_gate
 from tests import books
 
 
-def document(book, links=None, outline=None):
+def document(spark, book, links=None, outline=None):
+    lines = build_lines(books.frame(spark, book)).cache()
+    gate = verse_gate(lines).first()
+    rows = [r.asDict(recursive=True) for r in lines.orderBy("page", "idx").collect()]
+    return {"doc_id": book.doc_id, "title": "A Book", "lines": rows, "outline": outline, "links": links, "page_map": None, "verse": gate and gate.asDict(recursive=True)["verse"]}
+
+
+def page_lines(spark, spans):
     names = [c.split()[0] for c in books.SPANS.split(", ")]
-    pages = {}
-    for r in book.rows:
-        pages.setdefault(r[1], []).append(dict(zip(names, r, strict=True)))
-    lines = [{**line, "page": p, "idx": k} for p in sorted(pages) for k, line in enumerate(page_lines(pages[p]))]
-    return {"doc_id": book.doc_id, "title": "A Book", "lines": lines, "outline": outline, "links": links, "page_map": None}
+    df = spark.createDataFrame([tuple({"doc_id": "d", "page": 1, **s}[c] for c in names) for s in spans], books.SPANS)
+    return [r.asDict(recursive=True) for r in build_lines(df).orderBy("idx").collect()]
 
 
 def span(x, y, t, w=None, s=10.0, f="r", **more):
-    return {"x": x, "y": y, "w": len(t) * 5.0 if w is None else w, "s": s, "f": f, "t": t, "o": None, "em": None, "strong": None, "sc": None, **more}
+    return {"x": float(x), "y": float(y), "w": len(t) * 5.0 if w is None else w, "s": s, "f": f, "t": t, "o": None, "em": None, "strong": None, "sc": None, **more}
 
 
-def test_lines_restore_spaces_and_fold_raised_markers():
-    lines = page_lines([span(72, 700, "want"), span(96, 700.5, "of a wife,and"), span(161, 704, "[2]", s=6.0), span(72, 686, "second line here"), span(72, 672, "")])
+def test_lines_restore_spaces_and_fold_raised_markers(spark):
+    lines = page_lines(spark, [span(72, 700, "want"), span(96, 700.5, "of a wife,and"), span(161, 704, "[2]", s=6.0), span(72, 686, "second line here"), span(72, 672, "")])
     assert [x["text"] for x in lines] == ["want of a wife, and[2]", "second line here"]
     assert [r["t"] for r in lines[0]["runs"] if r["sup"]] == ["[2]"] and lines[1]["gap"] == 14.5
 
 
-def test_a_small_passage_is_no_superscript():
-    lines = page_lines([span(72, 700, "Body text of the page goes here"), span(72, 686, "Body text of the page goes on"), *[span(90, 670 - 9 * k, "short", s=7.0) for k in range(4)], span(72, 620, "Body text again and again")])
+def test_a_small_passage_is_no_superscript(spark):
+    lines = page_lines(spark, [span(72, 700, "Body text of the page goes here"), span(72, 686, "Body text of the page goes on"), *[span(90, 670 - 9 * k, "short", s=7.0) for k in range(4)], span(72, 620, "Body text again and again")])
     assert len(lines) == 7 and not any(r["sup"] for x in lines for r in x["runs"])
 
 
@@ -49,8 +55,8 @@ def test_words_are_mended_on_the_documents_own_evidence():
     assert blocks[0]["text"] == "The great window of knowledge, everyday, well- known."
 
 
-def test_noted_book():
-    m = analyse(document(books.noted_book()))
+def test_noted_book(spark):
+    m = analyse(document(spark, books.noted_book()))
     assert [s["label"] for s in m["sections"]] == ["A Book", "Chapter 1", "Chapter 2", "Notes"]
     assert [(s["grammar"], s["kind"], s["entry_count"]) for s in m["systems"]] == [("sequential", "endnote", 6)]
     notes = [r for r in m["refs"] if r["type"] == "endnote"]
@@ -63,8 +69,8 @@ def test_noted_book():
     assert "".join(r["t"] for r in by_id[notes[0]["from"]]["runs"]) == by_id[notes[0]["from"]]["text"]
 
 
-def test_verse_book():
-    m = analyse(document(books.verse_book()))
+def test_verse_book(spark):
+    m = analyse(document(spark, books.verse_book()))
     verse = [b for b in m["blocks"] if b["type"] == "verse-line"]
     assert [b["line"] for b in verse] == list(range(1, 61)) and {b["section"] for b in verse} == {"s2"}
     assert not any(b["text"][0].isdigit() for b in verse)
@@ -73,9 +79,9 @@ def test_verse_book():
     assert [r["method"] for r in m["refs"] if r["source_text"] == "see below"] == ["unresolved"]
 
 
-def test_links_anchor_exactly_and_land_where_they_say():
+def test_links_anchor_exactly_and_land_where_they_say(spark):
     b = books.noted_book()
-    doc = document(b)
+    doc = document(spark, b)
     first = next(x for x in doc["lines"] if "[1]" in x["text"])
     notes = [x for x in doc["lines"] if x["text"].startswith("3. ")][0]
     links = [
@@ -181,16 +187,94 @@ def test_recognition_is_bounded():
     assert recognition(["superscript", "math-context"]) == 0.21 and recognition([]) == 0.0 and recognition(["explicit-link", "lemma"]) <= 1
 
 
-def test_smoothing_and_chains():
-    import numpy as np
-
-    assert smooth(np.array([3.0] * 5)).tolist() == [1] * 5 and smooth(np.array([1.0] * 5)).tolist() == [0] * 5
-    assert smooth(np.array([-2.0, 3, 3, 3, 3, 3, -9, -9])).tolist() == [0, 1, 1, 1, 1, 1, 0, 0]
-    assert smooth(np.zeros(0)).tolist() == []
-    got = chains({4: (5, "left"), 9: (10, "left"), 14: (15, "left"), 7: (1912, "right"), 30: (1913, "right")})
-    assert [(c["step"], c["n"]) for c in got] == [(5, [5, 10, 15])]
-    prose = [{"page": 1, "x": 72.0, "right": 500.0, "top": 14.0 * k, "text": "the words run on and on", "words": [{"x0": 72.0 + 30 * j, "x1": 95.0 + 30 * j, "text": w} for j, w in enumerate("the words run on and on".split())]} for k in range(80)]
-    assert detect_verse(prose, 12.0, 14.0) == []
+def likeliest(evidence, switch):
+    """The best course by trying states one line at a time, all courses kept by their last state; of equals that which stays."""
+    best = [(0, (0,)), (evidence[0] - switch, (1,))]
+    for e in evidence[1:]:
+        prose = best[0] if best[0][0] >= best[1][0] - switch else (best[1][0] - switch, best[1][1])
+        verse = best[1] if best[1][0] >= best[0][0] - switch else (best[0][0] - switch, best[0][1])
+        best = [(prose[0], (*prose[1], 0)), (verse[0] + e, (*verse[1], 1))]
+    return list(best[1][1] if best[1][0] > best[0][0] else best[0][1])
+
+
+def test_smoothing_equals_the_likeliest_course(spark):
+    r = random.Random(3)
+    cases = [[30] * 5, [10] * 5, [-20, 30, 30, 30, 30, 30, -90, -90], [60, 0, -60, 120, 0], [0] * 700]
+    cases += [[r.choice((-35, -22, -16, -1, -1, 24, 29, 54)) for _ in range(r.choice((1, 7, 255, 256, 257, 900)))] for _ in range(40)]
+    df = spark.createDataFrame([(str(k), i, e) for k, c in enumerate(cases) for i, e in enumerate(c)], "doc_id string, pos long, e long")
+    got = {}
+    for row in smoothed(df).orderBy("doc_id", "pos").collect():
+        got.setdefault(int(row.doc_id), []).append(int(row.verse))
+    assert got == {k: likeliest(c, 60) for k, c in enumerate(cases)}
+
+
+def test_smoothing_of_one_document_of_many_blocks(spark):
+    """A long course of blocks of blocks: states by a rule that a fold over 150,000 lines must give."""
+    e = F.when(F.floor(F.col("id") / 1000) % 2 == 0, 10).otherwise(-10).cast("long")
+    out = smoothed(spark.range(150_000, numPartitions=8).select(F.lit("d").alias("doc_id"), F.col("id").alias("pos"), e.alias("e")))
+    wrong = out.where(F.col("verse") != (F.floor(F.col("pos") / 1000) % 2 == 0))
+    assert out.count() == 150_000 and wrong.count() == 0
+
+
+def chains_in_turn(numbers):
+    """Chains of one side's (pos, number), taken in turn: a number goes on with the open chain or opens one."""
+    out, now, step = [], [], None
+    for pos, n in [*numbers, (None, None)]:
+        more = n - now[-1][1] if now and pos is not None else None
+        fits = more in (1, 5, 10) and step in (None, more) and 0.9 * more <= pos - now[-1][0] <= 1.8 * more
+        if not fits:
+            out += [(step, now)] if len(now) >= 3 else []
+            now, step = [], None
+        elif step is None:
+            step = more
+        now = [*now, (pos, n)]
+    return out
+
+
+def test_chains_equal_those_taken_in_turn(spark):
+    r = random.Random(5)
+    cases = [[(4, 5), (9, 10), (14, 15)], [(7, 1912), (30, 1913)], [(1, 1), (2, 2), (7, 7), (12, 12), (13, 13), (14, 14)]]
+    for _ in range(60):
+        at, n, c = 0, 0, []
+        for _ in range(r.randint(1, 40)):
+            more = r.choice((1, 1, 5, 5, 10, 2))
+            at, n = at + r.choice((more, more, more, more + 1, 3 * more)), n + more
+            c.append((at, n))
+        cases.append(c)
+    df = spark.createDataFrame([(str(k), p, n, "left") for k, c in enumerate(cases) for p, n in c], "doc_id string, pos long, number int, side string")
+    got = {}
+    for row in chain_members(df).orderBy("doc_id", "chain", "pos").collect():
+        got.setdefault(int(row.doc_id), {}).setdefault((row.chain, row.step), []).append((row.pos, row.number))
+    want = {k: [(step, c) for step, c in chains_in_turn(case)] for k, case in enumerate(cases)}
+    assert {k: [(step, c) for (_, step), c in v.items()] for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_prose_is_no_verse(spark):
+    spans = spark.createDataFrame([("p", 1 + k // 40, k % 40, 72.0, 720.0 - 14 * (k % 40), 450.0, 12.0, "r", "the words run on and on", None, None, None) for k in range(80)], books.SPANS)
+    lines = build_lines(spans)
+    assert verse_regions(verse_input(lines, line_measures(lines))).where("proven").count() == 0
+
+
+def test_ancestors_of_deep_trees_and_circles(spark):
+    kind = "doc_id string, section_id int, parent int"
+    deep = spark.range(2000).select(F.concat(F.lit("d"), F.col("id") % 2).alias("doc_id"), F.floor(F.col("id") / 2).cast("int").alias("section_id")).withColumn("parent", F.expr("nullif(section_id, 0) - 1"))
+    got = graph.ancestors(deep).agg(F.count("*").alias("n"), F.sum((F.col("distance") != F.col("section_id") - F.col("ancestor")).cast("int")).alias("wrong"), F.max("distance").alias("deepest")).first()
+    assert tuple(got) == (1000 * 1001, 0, 999)
+    r = random.Random(2)
+    rows = [(d, k, r.randrange(k) if k and r.random() < 0.9 else r.choice((None, 999))) for d in "ab" for k in range(120)]
+    up = {(d, k): p for d, k, p in rows}
+    want = set()
+    for d, k, _ in rows:
+        at, n = k, 0
+        while (d, at) in up:
+            want.add((d, k, at, n))
+            at, n = up[d, at], n + 1
+    found = [tuple(x) for x in graph.ancestors(spark.createDataFrame([*rows, *rows[:5]], kind)).collect()]
+    assert len(found) == len(want) and set(found) == want
+    for circle in ([("a", 0, 1), ("a", 1, 0)], [("a", 0, 0)], [("a", k, (k + 1) % 3) for k in range(3)] + [("a", 5, 0), *[("b", k, k - 1 if k else None) for k in range(40)]]):
+        with pytest.raises(ValueError, match="circle"):
+            graph.ancestors(spark.createDataFrame(circle, kind))
+    assert graph.ancestors(spark.createDataFrame([], kind)).count() == 0
 
 
 def test_furniture_and_page_numbers(spark):
