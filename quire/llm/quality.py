@@ -3,8 +3,9 @@
 A document is a bag of passages of PASSAGE bytes, every passage of the whole text among them. Each passage becomes
 a feature vector (frequencies of byte-class pairs, repeats of recent words), an encoder layer h, and a gated attention
 weight a = softmax(w . (tanh(V h) * sigmoid(U h))); the document's score is a logistic function of sum(a h). Encoder,
-gates and output are learned together from document labels alone, by Adam on a bounded sample of labelled documents
-(SAMPLE, the least by hash of doc_id; of each, at most FIT_PASSAGES passages, spread over its whole text).
+gates and output are learned together from document labels alone, by Adam on a bounded sample of labelled documents: the
+SAMPLE least by hash of doc_id, of those the ones that fit, in that order, into FIT_PASSAGES passages in all, where no one
+takes more than a FIT_SHARE-th. The bounds take rows or leave them: of each row learned from, every passage is encoded.
 
 Nulls and empty texts: one passage of zeros, so the same score for all. Rows repeated under one doc_id are scored each. Ties
 on the sample's hash go to the lesser doc_id. Long texts: all passages are scored, a segment at a time. An empty table gives
@@ -18,15 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quire.llm.common import map_arrow
+from quire.llm.common import map_arrow, written
 from quire.llm.words import column_bytes, hash_words, segments, word_spans
 
 PASSAGE = 512
-SAMPLE, FIT_PASSAGES = 2500, 128
+SAMPLE, FIT_PASSAGES, FIT_SHARE = 2500, 400_000, 10
 THRESHOLD = 0.7
 HIDDEN, GATE, EPOCHS, RATE, BATCH = 24, 12, 14, 0.01, 64
 LAGS = (1, 2, 3, 4)
@@ -147,19 +148,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, counts, x in passages(batch.column(1)):
             at = np.concatenate([[0], np.cumsum(counts)])
             for k, n in enumerate(counts.tolist()):
-                own = x[at[k] : at[k + 1]]
-                if n > FIT_PASSAGES:
-                    own = own[np.linspace(0, n - 1, FIT_PASSAGES).astype(np.int64)]
-                out[0].append(len(own))
-                out[1].append(own.astype(np.float16).tobytes())
+                out[0].append(n)
+                out[1].append(x[at[k] : at[k + 1]].astype(np.float16).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["y", "n", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, held_fold: int | None = 2, folds: int = 4, sample: int = SAMPLE) -> AttentionModel | None:
-    """Fit on at most `sample` labelled documents outside the held-out fold; None without labels of both kinds.
-
-    At most FIT_PASSAGES passages of each reach the driver, evenly spaced; scores are of all passages.
-    """
+def train(docs: DataFrame, labels: DataFrame, held_fold: int | None = 2, folds: int = 4, sample: int = SAMPLE, fit_passages: int = FIT_PASSAGES) -> AttentionModel | None:
+    """Fit on at most `sample` labelled documents outside the held-out fold, of `fit_passages` passages in all; None without
+    labels of both kinds. All passages of each reach the driver, as vectors; 400,000 are 140 MB."""
     usable = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     if held_fold is not None:
         usable = usable.where(fold("id", folds) != held_fold)
@@ -167,8 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, held_fold: int | None = 2, folds:
     chosen = usable.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
     # Rows repeated under one doc_id teach once, by the least of their texts.
-    texts = texts.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
-    rows = map_arrow(texts, _features, "y int, n int, x binary").collect()
+    texts = written(texts.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text")), "quality-sample")
+    # Which rows fit is decided on their sizes alone: at most `sample` pairs of numbers in one task.
+    n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
+    sizes = texts.select("id", n.alias("n")).where(F.col("n") <= fit_passages // FIT_SHARE)
+    fits = sizes.withColumn("all", F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id"))).where(F.col("all") <= fit_passages).select("id")
+    rows = map_arrow(texts.join(F.broadcast(fits), "id", "left_semi").select("y", "text"), _features, "y int, n int, x binary").collect()
     y = np.array([r.y for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return None

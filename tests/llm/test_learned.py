@@ -63,6 +63,24 @@ def test_quality_filter_keeps_columns_and_good_rows(spark):
     assert len(ids & {i for i in range(300) if i % 3}) > 190 and len(ids & {i for i in range(0, 300, 3)}) < 5
 
 
+def test_every_passage_of_the_rows_learned_from_is_encoded(spark, monkeypatch):
+    met = {}
+
+    def fit(self, x, counts, y):
+        met.update(counts=sorted(counts.tolist()), rows=len(x))
+        return self
+
+    monkeypatch.setattr(quality.AttentionModel, "fit", fit)
+    docs = [(k, "a word " * (80_000 if k == 0 else 40 * k), "aa", "s", 0) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    sizes = {k: max(1, -(-len(d[1]) // quality.PASSAGE)) for k, d in enumerate(docs)}
+    quality.train(corpus.frame(spark, docs), labels, held_fold=None)
+    assert met["counts"] == sorted(sizes.values()) and met["rows"] == sum(sizes.values()) and max(sizes.values()) > 1000
+    # A row that takes more than its share is no row to learn from; of the others as many as fit.
+    quality.train(corpus.frame(spark, docs), labels, held_fold=None, fit_passages=300)
+    assert met["rows"] <= 300 and max(met["counts"]) <= 30 and met["rows"] > 250
+
+
 def test_nothing_to_learn_from(spark):
     docs, labels = labelled(spark)
     assert {r.score for r in quality.classify(corpus.frame(spark, docs[:5]), labels.limit(0)).collect()} == {0.5}
