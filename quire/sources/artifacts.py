@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions.stats import half_up
 
 #: Levels of an outline that are read, and entries of one parent.
-OUTLINE_DEPTH, SIBLINGS = 6, 5000
+OUTLINE_DEPTH = 6
 #: The details of a file besides its title and author.
 DETAILS = ("Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
 #: Horizontal slack of a line's box, and the confidence under which a word is doubtful.
@@ -30,8 +30,7 @@ def outline_schema(depth: int = OUTLINE_DEPTH) -> str:
 def outline(docs: DataFrame, column: str = "outline", depth: int = OUTLINE_DEPTH) -> DataFrame:
     """(doc_id, ord, depth, title, page, y): entries of nested outlines, given as JSON, from the top, parents first.
 
-    Entries without a title are dropped, what they hold is not. Levels below `depth` and entries past SIBLINGS of one
-    parent are not read. A null or malformed outline gives no rows.
+    Entries without a title are dropped, what they hold is not. Levels below `depth` are not read. A null or malformed outline gives no rows.
     """
 
     def flat(entries: Column, level: int) -> Column:
@@ -39,8 +38,8 @@ def outline(docs: DataFrame, column: str = "outline", depth: int = OUTLINE_DEPTH
             own = F.array(F.struct(F.lit(level).alias("depth"), F.trim(e["title"]).alias("title"), e["page"].alias("page"), e["y"].alias("y")))
             return F.concat(own, flat(e["children"], level + 1)) if level + 1 < depth else own
 
-        first = F.slice(F.coalesce(entries, F.array().cast(entries_type(level))), 1, SIBLINGS)
-        return F.flatten(F.transform(first, one))
+        held = F.coalesce(entries, F.array().cast(entries_type(level)))
+        return F.flatten(F.transform(held, one))
 
     def entries_type(level: int) -> str:
         return outline_schema(depth - level)
