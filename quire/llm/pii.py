@@ -1,9 +1,10 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Candidates are spans of four kinds (email, ip, card, phone): all matches of the base rules, those that fail their test
-included, and looser forms. Four labelers vote yes, no or abstain on each: the base rule itself, a gazetteer (address
-endings, issuer prefixes, calling codes, reserved networks), the words before the span, and the span's shape. Counts of
-vote patterns (at most 4 * 2 * 81 rows, whatever the input) reach the driver; there expectation-maximisation estimates
+included, and looser forms, sought in the text with all base spans masked. Four labelers vote yes, no or abstain on each: the base rule itself, a gazetteer (address
+endings, issuer prefixes, calling codes, reserved networks), the words before the span, and the span's shape. What a labeler asks
+of a loose form differs from what it asks of a strict one (a national number has a trunk or area code in place of a calling
+code). Counts of vote patterns (at most 4 * 2 * 81 rows, whatever the input) reach the driver; there expectation-maximisation estimates
 each labeler's reliability without labels, and a logistic span classifier is trained on the posteriors. It is applied
 as a column expression. Spans that pass the base rules always stay; looser ones join where the classifier accepts them
 and they overlap no span found before. Offsets are code points, ends exclusive.
@@ -41,20 +42,28 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Looser forms.
 LOOSE_EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++"
 LOOSE_IP = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
-LOOSE_PHONE = r"(?<![0-9A-Za-z.+(-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9]|[.-][0-9])"
+LOOSE_PHONE = r"(?<![0-9A-Za-z.+(-])(?<![0-9]\x20)(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![\x20.-]?[0-9])"
+#: What stands for each code point of a base span where loose forms are sought: no form holds it.
+MASK = "\u0001"
 
 # Gazetteers and context words.
 ENDINGS = r"(?i)\.(com|org|net|edu|gov|info|biz|io|de|fr|es|it|uk|us|ca|eu|ch|at|nl|be|mx|ar|example|test)$"
 ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 CALLING = r"^(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 RESERVED = r"^(0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
+GLOBAL_V6 = r"(?i)^([23][0-9a-f]{3}|f[cde][0-9a-f]{2}):"
+SHORT_ISSUERS = r"^(3[47][0-9]{13}|3(0[0-5]|[68][0-9])[0-9]{11}|4[0-9]{12}|(2131|1800)[0-9]{11})$"
+NATIONAL = r"^(0[1-9]|[2-9][0-8][0-9][2-9])"
+#: A context word may be followed by a few others ("call me on"), but by no number or end of a sentence.
+_NEAR = r"\b[^.!?0-9]{0,16}[.:]?\s*$"
 YES_WORDS = {
-    "email": r"(?i)(e-?mail|mail|contact|write|correo|courriel|kontakt)\W*$",
-    "ip": r"(?i)(\bip|address|host|server|login|client|adresse)\W*$",
-    "card": r"(?i)(card|visa|mastercard|amex|credit|karte|tarjeta|carte|account)\W*$",
-    "phone": r"(?i)(tel|telephone|phone|call|mobile|fax|telefon|teléfono|téléphone)\W*$",
+    "email": r"(?i)\b(e-?mail|mail|contact|write|correo|courriel|kontakt)" + _NEAR,
+    "ip": r"(?i)\b(ip|address|host|server|login|client|adresse)" + _NEAR,
+    "card": r"(?i)\b(card|visa|mastercard|amex|credit|karte|tarjeta|carte|account)" + _NEAR,
+    "phone": r"(?i)\b(tel|telephone|phone|call|mobile|fax|telefon|teléfono|téléphone)" + _NEAR,
 }
-NO_WORDS = r"(?i)(version|release|isbn|order|invoice|part|section|serial|page|chapter)\W*(no\.?|number|#)?\W*$"
+NO_WORDS = r"(?i)\b(version|release|isbn|order|invoice|part|section|serial|page|chapter)\W*(no\b\.?|number|#)?\W*$"
+
 
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,base:boolean,loose:boolean,rule:int,gazetteer:int,context:int,shape:int>>"
 
@@ -156,6 +165,20 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, 0).otherwise(-1)
 
 
+def _either(yes: Column) -> Column:
+    return F.when(yes, 1).otherwise(0)
+
+
+def _masked(text: Column, pattern: str, test: Callable[[Column], Column]) -> Column:
+    """text with each match of the pattern that passes its test replaced by as many code points of MASK."""
+    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: F.when(test(h), F.repeat(F.lit(MASK), F.length(h))).otherwise(h))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), hits, lambda gap, h: F.concat(gap, F.coalesce(h, F.lit("")))), "")
+
+
+def _masking(pattern: str, test: Callable[[Column], Column], may: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda t: F.when(may(t), _masked(t, pattern, test)).otherwise(t)
+
+
 def _labeled(kind: str, spans: Column, base: Callable[[Column], Column], loose: bool, gazetteer, shape) -> Column:
     def one(s: Column) -> Column:
         def seen(x: Column) -> Column:
@@ -169,7 +192,7 @@ def _labeled(kind: str, spans: Column, base: Callable[[Column], Column], loose:
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text with their votes, by kind, strict ones before loose ones, then by start."""
+    """All candidate spans of a text with their votes, strict ones before loose ones, then by kind and start."""
     n = F.length
     gaz = {
         "email": lambda h, d: _vote(h.rlike(ENDINGS), F.lit(False)),
@@ -183,23 +206,45 @@ def candidates(text: Column) -> Column:
         "card": lambda h, d: _vote(h.rlike(r"^[0-9]{4}([\x20-])[0-9]{4,6}\1|^[0-9]{15,16}$"), (n(d) < 13) | (n(d) > 19)),
         "phone": lambda h, d: _vote((n(d) >= 9) & (n(d) <= 13), (n(d) < 8) | (n(d) > 15)),
     }
-    has = lambda s: F.contains(text, F.lit(s))
-    digit = text.rlike("[0-9]")
+    loose_gaz = {
+        "email": lambda h, d: _either(F.regexp_replace(h, r"\x20?[(\[]dot[)\]]\x20?", ".").rlike(ENDINGS)),
+        "ip": lambda h, d: _either(h.rlike(GLOBAL_V6)),
+        "card": lambda h, d: _either(d.rlike(SHORT_ISSUERS)),
+        "phone": lambda h, d: _either(d.rlike(NATIONAL)),
+    }
+    loose_shape = {
+        "email": lambda h, d: _vote(h.rlike(r"(?i)[a-z]{2,24}$"), h.rlike(r"[0-9-]$|^[.]")),
+        "ip": lambda h, d: _either(h.rlike(r"[0-9A-Fa-f]{3}") & h.rlike("[A-Fa-f]")),
+        "card": lambda h, d: _either(h.rlike(r"^[0-9]{4}([\x20-])[0-9]{6}\1[0-9]{4,5}$|^[0-9]{13,15}$")),
+        "phone": lambda h, d: _either(h.rlike(r"^\(|^[0-9]+([\x20.-])[0-9]+\1[0-9]+$") & n(d).between(9, 11)),
+    }
+    has = lambda t, s: F.contains(t, F.lit(s))
+    is_card = lambda h: n(_digits(h)).between(16, 19) & _luhn(_digits(h))
+    is_phone = lambda h: n(_digits(h)).between(8, 15)
     never = lambda h: F.lit(False)
-    numbers = _if(digit, _matches(text, DIGITS, 13))
-    parts = [
-        _labeled("email", _if(has("@"), _matches(text, EMAIL)), lambda h: F.lit(True), False, gaz["email"], shape["email"]),
-        _labeled("email", _if(has("(at)") | has("[at]"), _matches(text, LOOSE_EMAIL)), never, True, gaz["email"], shape["email"]),
+    digit = text.rlike("[0-9]")
+    strict = [
+        _labeled("email", _if(has(text, "@"), _matches(text, EMAIL)), lambda h: F.lit(True), False, gaz["email"], shape["email"]),
         _labeled("ip", _if(digit, _matches(text, IP)), _octets, False, gaz["ip"], shape["ip"]),
-        _labeled("ip", _if(digit & has(":"), _matches(text, LOOSE_IP)), never, True, gaz["ip"], shape["ip"]),
-        _let(numbers, lambda ns: F.concat(
-            _labeled("card", F.filter(ns, lambda s: n(_digits(s["hit"])).between(16, 19)), lambda h: _luhn(_digits(h)), False, gaz["card"], shape["card"]),
-            _labeled("card", F.filter(ns, lambda s: n(_digits(s["hit"])).between(13, 15) & _luhn(_digits(s["hit"]))), never, True, gaz["card"], shape["card"]),
-        )),
-        _labeled("phone", _if(has("+"), _matches(text, PHONE)), lambda h: n(_digits(h)).between(8, 15), False, gaz["phone"], shape["phone"]),
-        _labeled("phone", _if(digit, _matches(text, LOOSE_PHONE)), never, True, gaz["phone"], shape["phone"]),
+        _labeled("card", F.filter(_if(digit, _matches(text, DIGITS, 13)), lambda s: n(_digits(s["hit"])).between(16, 19)), is_card, False, gaz["card"], shape["card"]),
+        _labeled("phone", _if(has(text, "+"), _matches(text, PHONE)), is_phone, False, gaz["phone"], shape["phone"]),
     ]
-    return F.concat(*parts)
+
+    def loose(t: Column) -> Column:
+        digit = t.rlike("[0-9]")
+        return F.concat(
+            _labeled("email", _if(has(t, "(at)") | has(t, "[at]"), _matches(t, LOOSE_EMAIL)), never, True, loose_gaz["email"], loose_shape["email"]),
+            _labeled("ip", _if(digit & has(t, ":"), _matches(t, LOOSE_IP)), never, True, loose_gaz["ip"], loose_shape["ip"]),
+            _labeled("card", F.filter(_if(digit, _matches(t, DIGITS, 13)), lambda s: n(_digits(s["hit"])).between(13, 15) & _luhn(_digits(s["hit"]))), never, True, loose_gaz["card"], loose_shape["card"]),
+            _labeled("phone", _if(digit, _matches(t, LOOSE_PHONE)), never, True, loose_gaz["phone"], loose_shape["phone"]),
+        )
+
+    # Each rule masks what the ones before left of it: the longest forms first. What then still reaches into a base span is
+    # refused by add_accepted.
+    masked = text
+    for pattern, test, may in ((PHONE, is_phone, lambda t: has(t, "+")), (EMAIL, lambda h: F.lit(True), lambda t: has(t, "@")), (IP, _octets, lambda t: has(t, ".")), (DIGITS, is_card, lambda t: t.rlike("[0-9]{4}"))):
+        masked = _let(masked, _masking(pattern, test, may))
+    return F.concat(*strict, _let(F.when(digit | has(text, "@"), masked).otherwise(text), loose))
 
 
 VOTERS = ("rule", "gazetteer", "context", "shape")
@@ -218,17 +263,18 @@ class SpanClassifier:
         patterns = sorted(patterns)
         votes = np.array([[int(v) for v in p[2:6]] for p in patterns])
         kind = np.array([KINDS.index(p[0]) for p in patterns])
+        group = kind + len(KINDS) * np.array([int(p[1]) for p in patterns])
         count = np.array([float(p[6]) for p in patterns])
         cast = (votes >= 0).sum(1)
         q = np.clip(np.where(cast > 0, (votes == 1).sum(1) / np.maximum(1, cast), 0.5), 0.1, 0.9)
         for _ in range(EM_ROUNDS):
             w = np.stack([count * (1 - q), count * q])
-            prior = np.stack([[(w[c][kind == k].sum() + EM_SMOOTH) for k in range(len(KINDS))] for c in (0, 1)])
+            prior = np.stack([[(w[c][group == g].sum() + EM_SMOOTH) for g in range(2 * len(KINDS))] for c in (0, 1)])
             prior = prior / prior.sum(0)
             # Smoothed towards a labeler that is right four times in five.
             table = np.array([[[w[c][votes[:, v] == o].sum() + EM_SMOOTH * (2.0 if o < 0 else 4.0 if o == c else 1.0) for o in (-1, 0, 1)] for v in range(len(VOTERS))] for c in (0, 1)])
             table = table / table.sum(2, keepdims=True)
-            log = np.log(prior[:, kind]) + sum(np.log(table[:, v, votes[:, v] + 1]) for v in range(len(VOTERS)))
+            log = np.log(prior[:, group]) + sum(np.log(table[:, v, votes[:, v] + 1]) for v in range(len(VOTERS)))
             q = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         self.reliability = {v: (float(table[1, i, 2]), float(table[0, i, 1])) for i, v in enumerate(VOTERS)}
         x = np.stack([self._features(p) for p in patterns])
