@@ -8,12 +8,13 @@ characters competes within a block.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import regex as re
 
 from quire.functions.numerals import ACCEPT_RESOLVED, KEEP_UNRESOLVED, SIGNALS
-from quire.functions.spans import disjoint, is_marker, literal_span, marker_span, opening_span, phrase_span, sentence_at, snapped
+from quire.functions.spans import disjoint, is_marker, literal_span, marker_span, opening_span, phrase_span, sentence_at, snapped, words_of
 from quire.operators.content import number
 from quire.operators.systems import GLUED, Tree, census, marker_class, marker_key
 
@@ -218,10 +219,17 @@ class Document:
         """Tie entries keyed by phrases to the first place after the last one where the text has the phrase."""
         readable = [b for b in self.body if b["type"] not in ("heading", "entry")]
         cursor: dict[str, int] = defaultdict(lambda: -1)
-        for e in self.entries:
-            if self.systems[e["system"]]["grammar"] != "lemma-keyed" or not e["lemma"]:
-                continue
-            hits = [(b, f) for b in readable if (f := phrase_span(b["text"], e["lemma"])) and f[2] >= PHRASE]
+        keyed = [e for e in self.entries if self.systems[e["system"]]["grammar"] == "lemma-keyed" and e["lemma"]]
+        holding: dict[str, set[int]] = defaultdict(set)
+        for i, b in enumerate(readable if keyed else ()):
+            for w in words_of(b["text"]).places:
+                holding[w].add(i)
+        for e in keyed:
+            # So long a run of a phrase holds the words in its middle: only blocks with all of them are searched.
+            words = words_of(e["lemma"]).words
+            least = math.ceil(len(words) * PHRASE - 1e-9)
+            middle = sorted((holding.get(w, set()) for w in words[len(words) - least : least]), key=len)
+            hits = [(b, f) for b in map(readable.__getitem__, sorted(set.intersection(*middle) if middle else ())) if (f := phrase_span(b["text"], e["lemma"])) and f[2] >= PHRASE]
             if not hits:
                 continue
             b, f = next((h for h in hits if h[0]["ord"] >= cursor[e["system"]]), hits[0])

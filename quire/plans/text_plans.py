@@ -9,7 +9,8 @@ from quire.functions import text as T
 from quire.functions.stats import first_mode, low_quantile, percent, top_percentile, upper_median
 from quire.operators import graph, lexicon
 from quire.operators.graph import chunk_of
-from quire.plans.common import LINES, texts
+from quire.operators.phrases import contained
+from quire.plans.common import LINES, table, texts
 from quire.sources.texts import document_lines
 
 Q, O = {}, {}
@@ -251,3 +252,25 @@ def readiness(spark, sf):
 
 Q["readiness"] = readiness
 O["readiness"] = f"with s as ({O['stage_metrics']}) select count(*) as parts, case when bool_or(status = 'failed') then 'unreadable' when bool_or(status = 'warn') then 'degraded' else 'ready' end as readiness from s"
+
+
+def contained_phrases(spark, sf):
+    """Every item of benchmark, as a phrase, in every document that has 85 per cent of it in one run."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return contained(texts(spark, sf), items, "doc_id", "item_id")
+
+
+Q["contained_phrases"] = contained_phrases
+_FOLD = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+O["contained_phrases"] = rf"""
+    with d as (select doc_id, ' ' || array_to_string({_FOLD}, ' ') || ' ' as t from documents where text is not null),
+    w as (select item_id, {_FOLD} as words from benchmark where text is not null),
+    q as (select item_id, words, len(words) as n, ceil(len(words) * 0.85 - 1e-9)::bigint as m from w where len(words) > 0),
+    short as (select item_id, ' ' || array_to_string(words[k + 1:k + m], ' ') || ' ' as run from (select *, unnest(range(0, n - m + 1)) as k from q)),
+    pairs as (select distinct item_id, doc_id from short join d on contains(t, run)),
+    ends as (select *, unnest(range(k + m, n + 1)) as e from (select *, unnest(range(0, n - m + 1)) as k from q)),
+    runs as (select item_id, n, k, e - k as size, ' ' || array_to_string(words[k + 1:e], ' ') || ' ' as run from ends),
+    hits as (select item_id, doc_id, n, k, size, instr(t, run) as c, t from pairs join runs using (item_id) join d using (doc_id) where contains(t, run))
+    select item_id, doc_id, n as n_words, size as n_matched, k as from_word, length(t[1:c]) - length(replace(t[1:c], ' ', '')) - 1 as at_word
+    from hits qualify row_number() over (partition by item_id, doc_id order by size desc, k) = 1
+"""
