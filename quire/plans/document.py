@@ -14,12 +14,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quire.functions.spans import inline_pieces
 from quire.functions.stats import first_mode
 from quire.operators import layout
-from quire.operators.content import Profile, assemble
+from quire.operators.content import ZONE, Profile, assemble
 from quire.operators.graph import settled
 from quire.operators.lines import build_lines
 from quire.operators.references import references
@@ -56,6 +56,23 @@ def verse_gate(lines: DataFrame) -> DataFrame:
     return long.join(numbered, "doc_id", "left").join(allowed, "doc_id", "left").select("doc_id", F.when(F.col("chains") == 0, None).otherwise(F.coalesce("allowed", none)).alias("verse"))
 
 
+def zoned(lines: DataFrame) -> DataFrame:
+    """(doc_id) of the documents in which a line may lie in a zone of verse: those where something begins a ZONE to the right of
+    where the first of the lines over 40 letters does, rounded down, and those without such lines. Elsewhere nothing asks the gate."""
+    starts = F.array_max(F.concat(F.array("x"), F.transform("runs", lambda r: r["x"])))
+    edge = F.floor(F.coalesce(F.min(F.when(F.length("text") > 40, F.col("x"))), F.lit(0.0)))
+    return lines.groupBy("doc_id").agg(F.max(starts).alias("last"), edge.alias("edge")).where(F.col("last") >= F.col("edge") + ZONE).select("doc_id")
+
+
+def model_type(tables: dict[str, list[str]] | None) -> StructType:
+    """The model's type, of all tables or of those named and their columns."""
+    whole = StructType.fromDDL(MODEL)
+    if tables is None:
+        return whole
+    pick = lambda name: StructType([f for f in whole[name].dataType.elementType if f.name in tables[name]])
+    return StructType([whole["doc_id"], *[StructField(name, ArrayType(pick(name))) for name in TABLES if name in tables]])
+
+
 def line_measures(lines: DataFrame) -> DataFrame:
     """(doc_id, body, leading): the most frequent size of lines over 40 letters, 12 where there are none, and gap, to a half; of
     equals the first seen. One pass: each line counts for both."""
@@ -70,19 +87,26 @@ def line_measures(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce(F.nullif("body", F.lit(0.0)), F.lit(12.0)).alias("body"), F.coalesce("leading", F.lit(0.0)).alias("leading"))
 
 
-def analyse(doc: dict) -> dict:
-    """One document's tables from {doc_id, title, lines, outline, links, page_map, verse}."""
+def analyse(doc: dict, wanted: frozenset[str] = frozenset(TABLES)) -> dict:
+    """One document's tables from {doc_id, title, lines, outline, links, page_map, verse}; no step is taken that none of the
+    wanted ones depends on."""
     lines = sorted(doc["lines"] or [], key=lambda line: (line["page"], line["idx"]))
     profile = Profile.of(lines)
     outline = sorted(doc["outline"] or [], key=lambda o: o["ord"])
     verse = None if doc["verse"] is None else {(v["page"], v["idx"]) for v in doc["verse"]}
     may_be_verse = lambda line: verse is None or (line["page"], line["idx"]) in verse
-    blocks, sections, profile = assemble(lines, outline, doc["title"] or "Document", may_be_verse, profile)
+    noted = bool(wanted - {"sections"})
+    blocks, sections, profile = assemble(lines, outline, doc["title"] or "Document", may_be_verse, profile, noted)
+    found = {"doc_id": doc["doc_id"], "sections": sections, "profile": vars(profile)}
+    if not noted:
+        return found
     systems, entries, rejected = apparatus(blocks, sections, any(b["type"] == "verse-line" for b in blocks))
     more, notes = page_notes(blocks, sections, len(systems))
     systems, entries = systems + more, entries + notes
-    refs, log = references(blocks, sections, systems, entries, doc["links"] or [], doc["page_map"] or [])
-    return {"doc_id": doc["doc_id"], "blocks": blocks, "sections": sections, "systems": systems, "entries": entries, "rejected": rejected, "refs": refs, "log": log, "profile": vars(profile)}
+    found |= {"blocks": blocks, "systems": systems, "entries": entries, "rejected": rejected}
+    if wanted & {"refs", "log"}:
+        found["refs"], found["log"] = references(blocks, sections, systems, entries, doc["links"] or [], doc["page_map"] or [])
+    return found
 
 
 def _fit(value, kind):
@@ -99,11 +123,12 @@ def _fit(value, kind):
 
 
 def _analyser(schema: pa.Schema):
+    wanted = frozenset(schema.names) & frozenset(TABLES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                found = analyse(row)
-                yield pa.RecordBatch.from_arrays([pa.array([_fit(found[f.name], f.type)], f.type) for f in schema], schema=schema)
+            made = [analyse(row, wanted) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_fit(found[f.name], f.type) for found in made], f.type) for f in schema], schema=schema)
 
     return run
 
@@ -115,11 +140,12 @@ def body_profile(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id").distinct().join(sizes, "doc_id", "left").select("doc_id", F.coalesce("body_size", F.lit(12.0)).cast("double").alias("body_size"))
 
 
-def analyse_documents(spans: DataFrame, outline: DataFrame | None = None, links: DataFrame | None = None, titles: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def analyse_documents(spans: DataFrame, outline: DataFrame | None = None, links: DataFrame | None = None, titles: DataFrame | None = None, tables: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(model, removed lines, page map) of documents.
 
     spans as quire.operators.lines has them; outline (doc_id, ord, title, page, depth); links (doc_id, page, x, y, w, h,
-    text, dest_page, dest_y, url); titles (doc_id, title). The model is one row for each document.
+    text, dest_page, dest_y, url); titles (doc_id, title). The model is one row for each document; tables: those of its tables
+    and of their columns that are asked for, all by default. What is not asked for is not made.
     """
     spark = spans.sparkSession
     # Furniture, numbers, verse and texts all read the lines; they are folded once and lie in the shared folder.
@@ -134,12 +160,12 @@ def analyse_documents(spans: DataFrame, outline: DataFrame | None = None, links:
     for name, table in (("outline", outline), ("links", links)):
         docs = docs.join(by_doc(table, name), "doc_id", "left") if table is not None else docs.withColumn(name, F.lit(None).cast(blank[name]))
     docs = docs.join(titles, "doc_id", "left") if titles is not None else docs.withColumn("title", F.lit(None).cast("string"))
-    docs = docs.join(verse_gate(kept), "doc_id", "left")
+    docs = docs.join(verse_gate(kept.join(zoned(kept), "doc_id", "left_semi")), "doc_id", "left")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    kind = StructType.fromDDL(MODEL)
+    kind = model_type(tables)
     # Assembling is work by document, not by byte: as many tasks as a shuffle has, whatever the sizes.
     spread = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    model = spread.select("doc_id", "title", "lines", "outline", "links", "page_map", "verse").mapInArrow(_analyser(to_arrow_schema(kind)), MODEL)
+    model = spread.select("doc_id", "title", "lines", "outline", "links", "page_map", "verse").mapInArrow(_analyser(to_arrow_schema(kind)), kind)
     return model, removed, mapped
 
 
