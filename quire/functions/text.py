@@ -36,13 +36,15 @@ def normal_text(s: Column) -> Column:
 
 def respaced(s: Column) -> Column:
     """Put back the space that got lost after punctuation before a letter, a sentence's end, or a closing quote."""
+    # Few texts have such a place; one look tells whether any of the three rules may find one.
+    may = s.rlike(rf"[,;:”’](?=[{LETTER}])|[.!?](?=[\"“'‘]?[A-ZÀ-Þ])")
     t = F.regexp_replace(s, f"([,;:])(?=[{LETTER}])", "$1 ")
     t = F.regexp_replace(t, r"([a-zß-ɏ’'”\"])([.!?]+)(?=[\"“'‘]?[A-ZÀ-Þ])", "$1$2 ")
-    return F.regexp_replace(t, rf"([”’])(?=[{LETTER}])", "$1 ")
+    return F.when(may, F.regexp_replace(t, rf"([”’])(?=[{LETTER}])", "$1 ")).otherwise(s)
 
 
 def squeezed(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.when(s.rlike(r"\s\s|[\s&&[^ ]]"), F.regexp_replace(s, r"\s+", " ")).otherwise(s))
 
 
 #: Characters that say nothing: undecodable, of private use, or control characters.

@@ -10,8 +10,9 @@ from quire.functions.text import squeezed
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): the lines of each text that hold anything, white space squeezed; line_no from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), squeezed(F.col("raw")).alias("line")).where("line != ''")
+    # Asked of the raw line: a condition on the squeezed one would squeeze it twice.
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).where(F.col("raw").rlike(r"\S"))
+    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), squeezed(F.col("raw")).alias("line"))
 
 
 #: The tags that make blocks, and the kinds of block they make.

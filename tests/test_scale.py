@@ -7,10 +7,12 @@ import pytest
 import regex as re
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators.content import FUSED, HALF, SEEN, WORD, compounds_of, repair_words
 from quire.operators.lines import build_lines
 from quire.plans import document
 from quire.plans.document import TABLES, analyse, analyse_documents, zoned
+from quire.sources.texts import document_lines
 from tests import books
 
 
@@ -83,3 +85,24 @@ def test_words_are_repaired_as_by_counting_all(seed):
     want = repaired_plainly(blocks, lines)
     repair_words(blocks, lines)
     assert [[x["t"] for x in b["runs"]] for b in blocks] == want
+
+
+def test_texts_of_lines_are_made_once(spark):
+    lines = build_lines(books.frame(spark, books.noted_book())).groupBy("doc_id").agg(F.sum(F.length("text")))
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("trim(regexp_replace(") == 1
+
+
+def test_texts_without_a_place_to_mend_are_left_alone(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choices(" \t\n\x0b\x1c  ab,;.!?”’\"'ZÄé1", k=r.randrange(14))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    letter = T.LETTER
+    plain = F.regexp_replace("t", f"([,;:])(?=[{letter}])", "$1 ")
+    plain = F.regexp_replace(plain, r"([a-zß-ɏ’'”\"])([.!?]+)(?=[\"“'‘]?[A-ZÀ-Þ])", "$1$2 ")
+    plain = F.regexp_replace(plain, rf"([”’])(?=[{letter}])", "$1 ")
+    same = df.select((T.respaced(F.col("t")) == plain).alias("a"), (T.squeezed(F.col("t")) == F.trim(F.regexp_replace("t", r"\s+", " "))).alias("b"))
+    assert same.where("not (a and b)").count() == 0
+    docs = df.select(F.monotonically_increasing_id().alias("doc_id"), F.col("t").alias("text"))
+    every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("line")).where("line != ''")
+    got = document_lines(docs)
+    assert got.exceptAll(every).count() == every.exceptAll(got).count() == 0
