@@ -50,11 +50,18 @@ def band_lines(lines: DataFrame) -> DataFrame:
 
 
 def longest_run(pages: DataFrame, by: list[str], gap: int = 2) -> DataFrame:
-    """(*by, run): the most distinct pages in a row that are at most `gap` apart."""
+    """(*by, run): the most distinct pages in a row that are at most `gap` apart.
+
+    One sort by key and page, and no table of pages or of stretches in memory: a page met before stands right after itself, and
+    a stretch's length is how many pages have been met less how many had been when it began.
+    """
     w = Window.partitionBy(*by).orderBy("page")
-    marked = pages.select(*by, "page").distinct().withColumn("new", (F.col("page") - F.lag("page").over(w) > gap).cast("int"))
-    islands = marked.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(w)).groupBy(*by, "island").agg(F.count("*").alias("n"))
-    return islands.groupBy(*by).agg(F.max("n").alias("run"))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.lag(F.struct("page")).over(w)
+    marked = pages.select(*by, "page").withColumn("met", (~F.struct("page").eqNullSafe(before)).cast("long")).withColumn("apart", before.isNull() | F.coalesce(F.col("page") - before["page"] > gap, F.lit(False)))
+    counted = marked.withColumn("seen", F.sum("met").over(upto))
+    begun = counted.withColumn("begun", F.max(F.when(F.col("apart"), F.col("seen") - 1)).over(upto))
+    return begun.groupBy(*by).agg(F.max(F.col("seen") - F.col("begun")).alias("run"))
 
 
 def number_offsets(bands: DataFrame, pages: DataFrame) -> DataFrame:
