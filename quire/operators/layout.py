@@ -13,6 +13,10 @@ from quire.functions.stats import half_up
 from quire.functions.text import NUMERAL_LINE, STRUCTURAL, head_key, shape_key, within_one_edit
 
 
+# How long a line of furniture may be that is told by its shape, and how often the shape must come back.
+SHAPE_LETTERS, SHAPE_LEAST = 70, 5
+
+
 def _pages(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
 
@@ -23,10 +27,10 @@ def shape_furniture(lines: DataFrame, profile: DataFrame, pages: DataFrame | Non
     profile: (doc_id, body_size). Many: at least 5 and 5 per cent of the pages. All of a shape bare numerals: page numbers.
     """
     pages = pages if pages is not None else _pages(lines)
-    small = lines.join(profile, "doc_id").where((F.length("text") <= 70) & (F.col("size") <= F.col("body_size") * 1.1) & ~F.col("text").rlike(STRUCTURAL))
+    small = lines.join(profile, "doc_id").where((F.length("text") <= SHAPE_LETTERS) & (F.col("size") <= F.col("body_size") * 1.1) & ~F.col("text").rlike(STRUCTURAL))
     keyed = small.withColumn("key", shape_key(F.col("text"))).withColumn("height", half_up(F.col("y") / 8))
     groups = keyed.groupBy("doc_id", "key", "height").agg(F.count("*").alias("n"), F.bool_and(F.col("text").rlike(NUMERAL_LINE)).alias("numeric"))
-    many = groups.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(5.0), F.col("pages") * 0.05))
+    many = groups.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(float(SHAPE_LEAST)), F.col("pages") * 0.05))
     hit = keyed.join(many, ["doc_id", "key", "height"])
     return hit.select("doc_id", "page", "idx", "text", F.when(F.col("numeric"), "printed-page-number").otherwise("running-head").alias("classification"), F.least(F.lit(0.98), 0.6 + F.col("n") / (F.col("pages") * 4)).alias("confidence"))
 
@@ -110,12 +114,16 @@ def running_heads(lines: DataFrame, numbers: DataFrame, em: DataFrame) -> DataFr
     return near.join(others, ["doc_id", "other_page", "band", "key"]).groupBy("doc_id", "page", "idx", "text").agg(F.min("step").alias("step")).select("doc_id", "page", "idx", "text", (F.col("page") + F.col("step")).alias("other_page"))
 
 
-def furniture(lines: DataFrame, profile: DataFrame) -> DataFrame:
-    """(doc_id, page, idx, text, classification, confidence): all that is no reading text; the first rule that takes a line has it."""
+def furniture(lines: DataFrame, profile: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, idx, text, classification, confidence): all that is no reading text; the first rule that takes a line has it.
+
+    numbers: the lines' page numbers, where they are known. Nothing is found in a document of one page with fewer than SHAPE_LEAST
+    lines of SHAPE_LETTERS letters at most: numbers and heads need other pages, shapes and wordings need to come back.
+    """
     one = shape_furniture(lines, profile)
     two = wording_furniture(lines, profile, one)
     first = one.unionByName(two)
-    numbers = page_numbers(lines)
+    numbers = numbers if numbers is not None else page_numbers(lines)
     heads = running_heads(lines, numbers, profile.select("doc_id", F.col("body_size").alias("em")))
     late = numbers.select("doc_id", "page", "idx", "text", F.lit("printed-page-number").alias("classification"), F.lit(0.9).alias("confidence")).unionByName(heads.select("doc_id", "page", "idx", "text", F.lit("running-head").alias("classification"), F.lit(0.8).alias("confidence")))
     late = late.where(~F.col("text").rlike(STRUCTURAL)).join(first.select("doc_id", "page", "idx"), ["doc_id", "page", "idx"], "left_anti")

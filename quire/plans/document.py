@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -56,12 +56,35 @@ def verse_gate(lines: DataFrame) -> DataFrame:
     return long.join(numbered, "doc_id", "left").join(allowed, "doc_id", "left").select("doc_id", F.when(F.col("chains") == 0, None).otherwise(F.coalesce("allowed", none)).alias("verse"))
 
 
+def _zone(lines: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, last, edge, *more): where the last thing begins to the right, and the first of the lines over 40 letters, rounded down."""
+    starts = F.array_max(F.concat(F.array("x"), F.transform("runs", lambda r: r["x"])))
+    edge = F.floor(F.coalesce(F.min(F.when(F.length("text") > 40, F.col("x"))), F.lit(0.0)))
+    return lines.groupBy("doc_id").agg(F.max(starts).alias("last"), edge.alias("edge"), *more)
+
+
 def zoned(lines: DataFrame) -> DataFrame:
     """(doc_id) of the documents in which a line may lie in a zone of verse: those where something begins a ZONE to the right of
     where the first of the lines over 40 letters does, rounded down, and those without such lines. Elsewhere nothing asks the gate."""
-    starts = F.array_max(F.concat(F.array("x"), F.transform("runs", lambda r: r["x"])))
-    edge = F.floor(F.coalesce(F.min(F.when(F.length("text") > 40, F.col("x"))), F.lit(0.0)))
-    return lines.groupBy("doc_id").agg(F.max(starts).alias("last"), edge.alias("edge")).where(F.col("last") >= F.col("edge") + ZONE).select("doc_id")
+    return _zone(lines).where(F.col("last") >= F.col("edge") + ZONE).select("doc_id")
+
+
+def document_facts(lines: DataFrame) -> DataFrame:
+    """(doc_id, repeats, long, zoned), what tells which steps a document needs, in one pass. repeats: it may have furniture or page
+    numbers, for it has two pages, or short lines enough for a shape. long: it has GATE lines. zoned: as `zoned` has it."""
+    short = F.count(F.when(F.length("text") <= layout.SHAPE_LETTERS, True))
+    repeats = (F.min("page") < F.max("page")) | (short >= layout.SHAPE_LEAST)
+    found = _zone(lines, F.coalesce(repeats, F.lit(False)).alias("repeats"), (F.count("*") >= GATE).alias("long"))
+    return found.select("doc_id", "repeats", "long", F.coalesce(F.col("last") >= F.col("edge") + ZONE, F.lit(False)).alias("zoned"))
+
+
+def gated(lines: DataFrame, facts: DataFrame, removed: DataFrame) -> DataFrame:
+    """The lines left of the documents that the gate of verse is to be asked for: long and zoned without their furniture. What no
+    furniture was taken from is as its facts say; of the rest the long ones are looked at again."""
+    taken = removed.select("doc_id").distinct().withColumn("taken", F.lit(True))
+    asked = facts.where("long").join(taken, "doc_id", "left").where("zoned or taken").select("doc_id")
+    kept = settled(lines.join(asked, "doc_id", "left_semi").join(removed.select("doc_id", "page", "idx"), ["doc_id", "page", "idx"], "left_anti"))
+    return kept.join(zoned(kept), "doc_id", "left_semi")
 
 
 def model_type(tables: dict[str, list[str]] | None) -> StructType:
@@ -88,9 +111,10 @@ def line_measures(lines: DataFrame) -> DataFrame:
 
 
 def analyse(doc: dict, wanted: frozenset[str] = frozenset(TABLES)) -> dict:
-    """One document's tables from {doc_id, title, lines, outline, links, page_map, verse}; no step is taken that none of the
-    wanted ones depends on."""
-    lines = sorted(doc["lines"] or [], key=lambda line: (line["page"], line["idx"]))
+    """One document's tables from {doc_id, title, lines, outline, links, page_map, verse, and removed: (page, idx) of lines that
+    are no text}; no step is taken that none of the wanted ones depends on."""
+    gone = {(r["page"], r["idx"]) for r in doc.get("removed") or []}
+    lines = sorted((line for line in doc["lines"] or [] if (line["page"], line["idx"]) not in gone), key=lambda line: (line["page"], line["idx"]))
     profile = Profile.of(lines)
     outline = sorted(doc["outline"] or [], key=lambda o: o["ord"])
     verse = None if doc["verse"] is None else {(v["page"], v["idx"]) for v in doc["verse"]}
@@ -122,12 +146,30 @@ def _fit(value, kind):
     return int(value) if pa.types.is_integer(kind) else value
 
 
+def _values(column: pa.Array) -> list:
+    """What to_pylist gives, made leaf by leaf: nested rows are put together from whole columns."""
+    kind = column.type
+    if pa.types.is_struct(kind):
+        names = [f.name for f in kind]
+        rows = [dict(zip(names, v, strict=True)) for v in zip(*map(_values, column.flatten()), strict=True)]
+        return [row if held else None for row, held in zip(rows, column.is_valid().to_pylist(), strict=True)] if column.null_count else rows
+    if pa.types.is_list(kind):
+        items, at, out = _values(column.flatten()), 0, []
+        for n in column.value_lengths().to_pylist():
+            out.append(None if n is None else items[at : at + n])
+            at += n or 0
+        return out
+    if column.null_count or not (pa.types.is_floating(kind) or pa.types.is_integer(kind) or pa.types.is_boolean(kind)):
+        return column.to_pylist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _analyser(schema: pa.Schema):
     wanted = frozenset(schema.names) & frozenset(TABLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [analyse(row, wanted) for row in batch.to_pylist()]
+            made = [analyse(row, wanted) for row in _values(batch.to_struct_array())]
             yield pa.RecordBatch.from_arrays([pa.array([_fit(found[f.name], f.type) for found in made], f.type) for f in schema], schema=schema)
 
     return run
@@ -150,22 +192,27 @@ def analyse_documents(spans: DataFrame, outline: DataFrame | None = None, links:
     spark = spans.sparkSession
     # Furniture, numbers, verse and texts all read the lines; they are folded once and lie in the shared folder.
     lines = settled(build_lines(spans))
-    profile = body_profile(lines)
-    removed = settled(layout.furniture(lines, profile))
-    mapped = layout.page_map(removed, layout.page_numbers(lines))
-    kept = lines.join(removed.select("doc_id", "page", "idx"), ["doc_id", "page", "idx"], "left_anti")
+    facts = settled(document_facts(lines))
+    # Most documents are too short for anything to repeat in them; their lines are not looked at.
+    held = settled(lines.select("doc_id", "page", "idx", "y", "size", "text").join(facts.where("repeats").select("doc_id"), "doc_id", "left_semi"))
+    numbers = settled(layout.page_numbers(held))
+    removed = settled(layout.furniture(held, body_profile(held), numbers))
+    mapped = layout.page_map(removed, numbers)
     by_doc = lambda df, name: df.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"])).alias(name))
-    docs = by_doc(kept, "lines").join(by_doc(mapped.select("doc_id", "page", "printed", "roman"), "page_map"), "doc_id", "left")
+    # Assembling is work by document, not by byte: as many tasks as a shuffle has, whatever the sizes. All lines are dealt out once;
+    # those removed go with them, and are left out where the document is assembled.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = by_doc(lines.repartition(tasks, "doc_id"), "lines").join(by_doc(mapped.select("doc_id", "page", "printed", "roman"), "page_map"), "doc_id", "left")
+    gone = by_doc(removed.select("doc_id", "page", "idx"), "removed")
+    docs = docs.join(gone, "doc_id", "left").where(F.size("lines") > F.coalesce(F.size(F.array_distinct("removed")), F.lit(0)))
     blank = {"outline": "array<struct<ord:int,title:string,page:int,depth:int>>", "links": "array<struct<page:int,x:double,y:double,w:double,h:double,text:string,dest_page:int,dest_y:double,url:string>>"}
     for name, table in (("outline", outline), ("links", links)):
         docs = docs.join(by_doc(table, name), "doc_id", "left") if table is not None else docs.withColumn(name, F.lit(None).cast(blank[name]))
     docs = docs.join(titles, "doc_id", "left") if titles is not None else docs.withColumn("title", F.lit(None).cast("string"))
-    docs = docs.join(verse_gate(kept.join(zoned(kept), "doc_id", "left_semi")), "doc_id", "left")
+    docs = docs.join(verse_gate(gated(lines, facts, removed)), "doc_id", "left")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     kind = model_type(tables)
-    # Assembling is work by document, not by byte: as many tasks as a shuffle has, whatever the sizes.
-    spread = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    model = spread.select("doc_id", "title", "lines", "outline", "links", "page_map", "verse").mapInArrow(_analyser(to_arrow_schema(kind)), kind)
+    model = docs.select("doc_id", "title", "lines", "removed", "outline", "links", "page_map", "verse").mapInArrow(_analyser(to_arrow_schema(kind)), kind)
     return model, removed, mapped
 
 
