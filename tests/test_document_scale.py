@@ -10,6 +10,7 @@ from quire.operators import content, lines as L
 from quire.operators.content import repair_words
 from quire.operators.lines import build_lines
 from quire.plans import document
+from quire.plans.document import document_facts
 from quire.plans.document_plans import laid_out
 from tests import books
 
@@ -40,6 +41,25 @@ def test_plain_pages_are_as_gathering_makes_them(spark):
     assert one.count() == all_.count() > 0 and one.exceptAll(all_).count() == 0
 
 
+def lines_of(spark, texts):
+    return build_lines(laid_out(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).cache()
+
+
+def test_furniture_is_sought_where_something_may_repeat(spark):
+    page = [f"prose {k} " + "and more of it " * 6 for k in range(39)]
+    books_ = ["\n".join(line for p in range(6) for line in (str(p + 1), *page)), "\n".join(["same"] * 5), "\n".join(["same"] * 4), "\n".join(page), "one line"]
+    lines = lines_of(spark, books_)
+    repeats = {r.doc_id for r in document_facts(lines).where("repeats").collect()}
+    assert repeats == {"0", "1"}
+
+
+def test_removed_lines_are_left_out_of_a_document(spark):
+    lines = [r.asDict(recursive=True) for r in lines_of(spark, ["running head\nA sentence that is long enough to be prose, surely.\nAnother one."]).collect()]
+    doc = {"doc_id": "d", "title": None, "outline": None, "links": None, "page_map": None, "verse": None}
+    cut = document.analyse({**doc, "lines": lines, "removed": [{"page": 1, "idx": 0}]})
+    assert cut == document.analyse({**doc, "lines": [x for x in lines if x["idx"]]}) and "running head" not in cut["blocks"][0]["text"]
+
+
 def test_pairs_are_counted_only_where_a_word_may_be_fused(monkeypatch):
     counted = []
     monkeypatch.setattr(content, "Counter", lambda x: counted.append(1) or Counter(x))
