@@ -11,9 +11,16 @@ STAGES = ("extraction", "font-unicode", "geometry", "reading-order", "structure"
 PROSE = ("paragraph", "blockquote", "letter", "list-item")
 
 
-def measures(spans: DataFrame, pages: DataFrame, model: DataFrame, removed: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row for each document of pages (doc_id, page, method, mean_confidence, error): all that the stages go by."""
-    items = spans.groupBy("doc_id", "page").agg(F.count("*").alias("items"), F.sum(F.length("t")).alias("chars"), F.sum(F.length(F.regexp_replace("t", r"[^\x00\x{FFFD}]", ""))).alias("bad"))
+def page_items(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, items, chars, bad): each page's spans, their letters, and those that could not be read."""
+    bad = F.length("t") - F.length(F.regexp_replace("t", r"[\x00\x{FFFD}]", ""))
+    return spans.groupBy("doc_id", "page").agg(F.count("*").alias("items"), F.sum(F.length("t")).alias("chars"), F.sum(bad).alias("bad"))
+
+
+def measures(spans: DataFrame, pages: DataFrame, model: DataFrame, removed: DataFrame, lines: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """One row for each document of pages (doc_id, page, method, mean_confidence, error): all that the stages go by. items: the
+    spans' page_items, where they are made already."""
+    items = page_items(spans) if items is None else items
     ocr = F.col("method") == "ocr"
     page = pages.join(items, ["doc_id", "page"], "left").groupBy("doc_id").agg(
         F.count("*").alias("pages"), F.count_if(F.coalesce("items", F.lit(0)) > 0).alias("with_text"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"),

@@ -22,7 +22,7 @@ from quire.operators import layout
 from quire.operators.content import ZONE, Profile, assemble
 from quire.operators.graph import settled
 from quire.operators.lines import build_lines
-from quire.operators.references import references
+from quire.operators.references import may_refer, references
 from quire.operators.systems import apparatus, page_notes
 from quire.operators.verse import verse_input, verse_regions
 
@@ -129,6 +129,10 @@ def analyse(doc: dict, wanted: frozenset[str] = frozenset(TABLES)) -> dict:
     systems, entries = systems + more, entries + notes
     found |= {"blocks": blocks, "systems": systems, "entries": entries, "rejected": rejected}
     if wanted & {"refs", "log"}:
+        # Without notes, links, headings and raised keys all that may be proposed stands in the words; most texts have none such.
+        plain = not (entries or doc["links"] or len(sections) > 1 or any(r.get("sup") for b in blocks for r in b["runs"]))
+        if plain and not may_refer("\n".join(b["text"] for b in blocks)):
+            return found | {"refs": [], "log": []}
         found["refs"], found["log"] = references(blocks, sections, systems, entries, doc["links"] or [], doc["page_map"] or [])
     return found
 
@@ -182,16 +186,17 @@ def body_profile(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id").distinct().join(sizes, "doc_id", "left").select("doc_id", F.coalesce("body_size", F.lit(12.0)).cast("double").alias("body_size"))
 
 
-def analyse_documents(spans: DataFrame, outline: DataFrame | None = None, links: DataFrame | None = None, titles: DataFrame | None = None, tables: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def analyse_documents(spans: DataFrame, outline: DataFrame | None = None, links: DataFrame | None = None, titles: DataFrame | None = None, tables: dict[str, list[str]] | None = None, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(model, removed lines, page map) of documents.
 
     spans as quire.operators.lines has them; outline (doc_id, ord, title, page, depth); links (doc_id, page, x, y, w, h,
     text, dest_page, dest_y, url); titles (doc_id, title). The model is one row for each document; tables: those of its tables
-    and of their columns that are asked for, all by default. What is not asked for is not made.
+    and of their columns that are asked for, all by default. What is not asked for is not made. lines: those of build_lines, settled,
+    where the caller has made them already.
     """
     spark = spans.sparkSession
     # Furniture, numbers, verse and texts all read the lines; they are folded once and lie in the shared folder.
-    lines = settled(build_lines(spans))
+    lines = settled(build_lines(spans)) if lines is None else lines
     facts = settled(document_facts(lines))
     # Most documents are too short for anything to repeat in them; their lines are not looked at.
     held = settled(lines.select("doc_id", "page", "idx", "y", "size", "text").join(facts.where("repeats").select("doc_id"), "doc_id", "left_semi"))

@@ -2,7 +2,9 @@
 
 import random
 import re
+from unittest import mock
 
+from quire.operators import report
 from quire.operators.references import may_refer
 from quire.plans import document, document_plans
 from tests.test_document_scale import lines_of
@@ -44,7 +46,8 @@ def laid(text: str) -> list[dict]:
 
 def found(text: str, removed=(), verse=None) -> list:
     blank = {"doc_id": "d", "title": None, "outline": None, "links": None, "page_map": None, "verse": verse}
-    made = document.analyse({**blank, "lines": laid(text), "removed": list(removed)}, frozenset(("refs", "log")))
+    with mock.patch.object(document, "may_refer", lambda text: True):
+        made = document.analyse({**blank, "lines": laid(text), "removed": list(removed)}, frozenset(("refs", "log")))
     return made["refs"] + made["log"]
 
 
@@ -86,3 +89,29 @@ def test_only_documents_that_may_refer_are_laid_out(spark, tmp_path, monkeypatch
     rows = {name: document_plans.Q[name](spark, str(tmp_path)).collect() for name in ("reference_edges", "recognition_log", "reference_index")}
     assert seen == [[2]] * 3
     assert [len(rows[n]) for n in rows] == [3, 3, 3] and {r.doc_id for n in rows for r in rows[n]} == {"2"}
+
+
+def test_detectors_are_asked_only_where_something_may_be_proposed(monkeypatch):
+    asked = []
+    monkeypatch.setattr(document, "references", lambda blocks, *more: asked.append(len(blocks)) or ([], []))
+    blank = {"doc_id": "d", "title": None, "outline": None, "links": None, "page_map": None, "verse": None}
+    wanted = frozenset(("blocks", "refs"))
+    assert document.analyse({**blank, "lines": laid("The river stone and the window.")}, wanted)["refs"] == [] and not asked
+    document.analyse({**blank, "lines": laid("The river stone, see above, and the window.")}, wanted)
+    raised = laid("The river stone and the window.")
+    raised[0]["runs"].append({**raised[0]["runs"][0], "t": "1", "sup": True})
+    document.analyse({**blank, "lines": raised}, wanted)
+    document.analyse({**blank, "lines": laid("The river stone."), "links": [{"page": 1, "x": 0.0, "y": 0.0, "w": 1.0, "h": 1.0, "text": "", "dest_page": None, "dest_y": None, "url": "u"}]}, wanted)
+    assert len(asked) == 3
+
+
+def test_a_report_makes_lines_and_page_facts_once(spark, tmp_path, monkeypatch):
+    docs = [(1, "The river\x00 stone.\n\nMorning, silver��."), (2, "A stone, see above, and the river. " * 3), (3, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    facts = report.page_items(document_plans.laid_out(spark.read.parquet(str(tmp_path / "documents.parquet"))))
+    assert {(r.doc_id, r.page, r.items, r.chars, r.bad) for r in facts.collect()} == {("1", 1, 2, 35, 3), ("2", 1, 1, 104, 0)}
+    build, made = document_plans.build_lines, []
+    monkeypatch.setattr(document_plans, "build_lines", lambda spans: made.append(1) or build(spans))
+    monkeypatch.setattr(document, "build_lines", lambda spans: made.append(1) or build(spans))
+    rows = {(r.stage, r.status): r.documents for r in document_plans.stage_reports(spark, str(tmp_path)).collect()}
+    assert made == [1] and rows["font-unicode", "failed"] == 1 and rows["reference-resolution", "failed"] == 1
